@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import line_dedup
+from isobath.llm import line_dedup, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 SQL = {
