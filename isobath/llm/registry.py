@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from isobath.llm import line_dedup, token_counts
+from isobath.llm import line_dedup, near_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 SQL = {
