@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from isobath.llm import line_dedup, near_dedup, token_counts
+from isobath.llm import line_dedup, near_dedup, quality_rules, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 SQL = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
