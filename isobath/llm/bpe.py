@@ -22,6 +22,13 @@ def byte_names() -> list[str]:
     return [chr(b if b in plain else next(moved)) for b in range(256)]
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] positions, then those of the next run."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class MergeTable:
     """Merge rules of a tokenizers JSON file with a byte-level BPE model.
 
@@ -76,10 +83,18 @@ class MergeTable:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the symbols of word i are ids[offsets[i]:offsets[i + 1]]."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        return self.encode_runs(np.frombuffer(b"".join(words), np.uint8), ends)
+
+    def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of the words data[starts[i]:ends[i]]."""
+        return self.encode_runs(data[ragged(starts, ends - starts)], np.cumsum(ends - starts))
+
+    def encode_runs(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of words that lie end to end in raw."""
+        words = ends
+        sizes = np.diff(ends, prepend=0)
         sym = self.first[raw]
-        ends = np.cumsum(sizes)
         full = sizes > 0
         sym[ends[full] - 1] = self.last[raw[ends[full] - 1]]
         seq = np.repeat(np.arange(len(words), dtype=np.int32), sizes)

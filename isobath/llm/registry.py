@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from isobath.llm import line_dedup, near_dedup, quality_rules, token_counts
+from isobath.llm import line_dedup, near_dedup, packing, quality_rules, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 SQL = {
