@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.llm import language_id, line_dedup, near_dedup, packing, quality_rules, token_counts
+from isobath.llm import language_id, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
@@ -10,9 +10,11 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
 }
