@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import language_id, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_counts
+from isobath.llm import language_id, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
