@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from isobath.llm import decontamination, language_id, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
+from isobath.llm import decontamination, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secrets_scan, substring_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_secrets": secrets_scan.op3_secrets,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
