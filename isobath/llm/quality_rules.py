@@ -8,6 +8,8 @@ removed, and a document that keeps too few of its words is rejected.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ def score_quality(
     lines = keyed.select("__id", "__same", F.posexplode("__l").alias("p", "l")).select("__id", "__same", "p", "l.h", "l.w").filter("w > 0")
     gone = join_checked(lines, common, ["h"]).groupBy("__id", "__same").agg(F.collect_set(F.struct("p", "h", "w")).alias("__gone"))
     gone = gone.select("__id", "__same", F.array_distinct("__gone.h").alias("__hot"), F.aggregate("__gone.w", F.lit(0), lambda x, y: x + y).alias("__lost"))
-    joined = measure(base).alias("m").join(gone.alias("g"), F.col("m.__id").eqNullSafe(F.col("g.__id")) & (F.col("m.__same") == F.col("g.__same")), "left")
+    # filters on the verdict must not be pushed below the measures, which would repeat their expressions many times over
+    measured = measure(base).observe(f"quality {uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+    joined = measured.alias("m").join(gone.alias("g"), F.col("m.__id").eqNullSafe(F.col("g.__id")) & (F.col("m.__same") == F.col("g.__same")), "left")
     joined = joined.select("m.*", "g.__hot", F.coalesce("g.__lost", F.lit(0)).alias("__lost"))
     stay = F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hot", line_hash(x)) | (F.size(words_of(x)) == 0)))
     joined = joined.withColumn(text, F.array_join(stay, "\n"))
