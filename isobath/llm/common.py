@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,15 +46,25 @@ def working_path(spark: SparkSession, name: str) -> str:
 def _dispose_at_exit(spark: SparkSession, path: str) -> None:
     def dispose() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
         except Exception:  # the session has already gone; its shared folder is cleaned with it
             pass
 
     atexit.register(dispose)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a working folder that no later plan reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect plans that are done with, so that Spark removes their shuffle files now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit

@@ -19,11 +19,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from isobath.llm.common import join_checked, materialise, quoted, with_fields, working_path
+from isobath.llm.common import delete, join_checked, materialise, quoted, release, small, with_fields, working_path
 from isobath.llm.textnum import Poly, Words, text_slices
 
 WINDOW, GRAM = 35, 12
@@ -67,7 +67,7 @@ def anchors(h: np.ndarray, of_doc: np.ndarray, window: int, gram: int) -> dict[s
     return {"doc": doc, "at": at, "first": first, "last": last, "fp": value[at], "span": _SPAN.spans(h, first, last + window)}
 
 
-ANCHORS = "__k1 long, __k2 long, first int, size int, shift int, fp long, span long"
+ANCHORS = "__k1 long, __k2 int, first int, size int, shift int, fp long, span long"
 
 
 def find_anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
@@ -87,9 +87,17 @@ def find_anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def summarise(found: DataFrame) -> DataFrame:
-    """(fp, n, lo, hi): the occurrences of each anchor and the range of its span classes."""
+    """(fp, n, kind, mixed): the occurrences of each anchor, one of its span classes, and whether there are several."""
     kind = F.xxhash64("span", "size", "shift")
-    return found.groupBy("fp").agg(F.count("*").alias("n"), F.min(kind).alias("lo"), F.max(kind).alias("hi"))
+    known = found.groupBy("fp").agg(F.count("*").alias("n"), F.min(kind).alias("kind"), F.max(kind).alias("hi"))
+    return known.select("fp", F.col("n").cast("int").alias("n"), "kind", (F.col("kind") != F.col("hi")).alias("mixed"))
+
+
+def _together(a: str, b: str) -> list:
+    """The columns of a summary that joins those of a and b; either may lack an anchor."""
+    n = F.coalesce(f"{a}.n", F.lit(0)) + F.coalesce(f"{b}.n", F.lit(0))
+    either = F.coalesce(f"{a}.mixed", F.lit(False)) | F.coalesce(f"{b}.mixed", F.lit(False)) | F.coalesce(F.col(f"{a}.kind") != F.col(f"{b}.kind"), F.lit(False))
+    return [F.coalesce(f"{a}.fp", f"{b}.fp").alias("fp"), n.alias("n"), F.coalesce(f"{a}.kind", f"{b}.kind").alias("kind"), either.alias("mixed")]
 
 
 class FingerprintLog:
@@ -102,15 +110,13 @@ class FingerprintLog:
 
     def _write(self, summary: DataFrame) -> str:
         name = f"isobath_run_{uuid.uuid4().hex}"
-        writer = summary.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp")
+        writer = summary.write.bucketBy(self.buckets, "fp").sortBy("fp")
         writer.option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
         return name
 
     @staticmethod
     def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.alias("a").join(b.hint("merge").alias("b"), F.col("a.fp") == F.col("b.fp"), "full")
-        n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-        return both.select(F.coalesce("a.fp", "b.fp").alias("fp"), n.alias("n"), F.least("a.lo", "b.lo").alias("lo"), F.greatest("a.hi", "b.hi").alias("hi"))
+        return a.alias("a").join(b.hint("merge").alias("b"), F.col("a.fp") == F.col("b.fp"), "full").select(*_together("a", "b"))
 
     def merged(self) -> DataFrame:
         """The summary of all runs."""
@@ -122,32 +128,43 @@ class FingerprintLog:
         self.runs.append(self._write(batch))
         own = self.spark.table(self.runs[-1])
         for run in history:
-            old = self.spark.table(run).hint("merge")
-            both = own.alias("a").join(old.alias("b"), F.col("a.fp") == F.col("b.fp"), "left")
-            own = both.select("a.fp", (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"), F.least("a.lo", "b.lo").alias("lo"), F.greatest("a.hi", "b.hi").alias("hi"))
+            own = own.alias("a").join(self.spark.table(run).hint("merge").alias("b"), F.col("a.fp") == F.col("b.fp"), "left").select(*_together("a", "b"))
         if len(self.runs) > MAX_RUNS:
-            self.compact()
+            self.compact(keep=True)
         return own.filter("n > 1")
 
-    def compact(self) -> None:
-        """Replace all runs by one; older runs stay on disk, so plans that read them still run."""
+    def compact(self, keep: bool = False) -> None:
+        """Replace all runs by one; with keep, the files of the old ones stay for plans that still read them."""
         if len(self.runs) > 1:
-            self.runs = [self._write(self.merged())]
+            old, self.runs = self.runs, [self._write(self.merged())]
+            if not keep:
+                self._drop(old)
+
+    def _drop(self, runs: list[str]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE {run}")
+            delete(self.spark, f"{self.path}/{run}")
+
+    def drop(self) -> None:
+        """Remove all runs."""
+        self._drop(self.runs)
+        self.runs = []
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """docs with __k1 and __k2, which name a row by its id and whole text; equal rows share them."""
     t = F.coalesce(quoted(text), F.lit(""))
-    return docs.withColumn("__k1", F.xxhash64(F.lit("id"), quoted(id_col))).withColumn("__k2", F.xxhash64(t)).withColumn("__text", t)
+    return docs.withColumn("__k1", F.xxhash64(F.lit("id"), quoted(id_col))).withColumn("__k2", F.hash(t)).withColumn("__text", t)
 
 
-def _class_windows(texts: DataFrame, mixed: DataFrame, window: int) -> DataFrame:
-    """Which windows of each span class occur twice: (fp, span, size, shift, hits), hits being the places in the span."""
-    kind = ["fp", "span", "size", "shift"]
-    classes = mixed.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("__k1", "__k2", "first")).alias("e"))
-    wanted = classes.groupBy("e.__k1", "e.__k2").agg(F.collect_list(F.struct("fp", "span", "size", "shift", "n", F.col("e.first").alias("first"))).alias("__spans"))
+def _class_windows(texts: DataFrame, mixed: DataFrame, window: int, equal_rows: bool) -> DataFrame:
+    """Which windows of each span class occur twice: (c, span, hits), hits being the places in the span."""
+    kind = F.xxhash64("fp", "span", "size", "shift")
+    classes = mixed.withColumn("c", kind).groupBy("c", "span").agg(F.count("*").alias("n"), F.min(F.struct("__k1", "__k2", "first", "size")).alias("e"))
+    wanted = classes.groupBy("e.__k1", "e.__k2").agg(F.collect_list(F.struct("c", "span", "n", F.col("e.first").alias("first"), F.col("e.size").alias("size"))).alias("__spans"))
     wanted = materialise(wanted, "wanted")
-    source = _join_spans(texts, wanted, "inner")
+    # texts that no class needs are left out before anything is shuffled, while the names of the others are few
+    source = _join_spans(join_checked(texts, wanted.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi") if small(wanted) else texts, wanted, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,20 +172,39 @@ def _class_windows(texts: DataFrame, mixed: DataFrame, window: int) -> DataFrame
             for i, j, data, offsets in text_slices(batch.column(2)):
                 w = Words(data, offsets)
                 h = w.hashes()
-                rows = [(s["fp"], s["span"], s["size"], s["shift"], s["n"], s["first"] + int(w.of_doc[r])) for r in range(j - i) for s in spans[i + r]]
-                fp, span, size, shift, n, first = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 6
-                own = np.repeat(np.arange(len(fp)), size)
+                rows = [(s["c"], s["span"], s["n"], s["size"], s["first"] + int(w.of_doc[r])) for r in range(j - i) for s in spans[i + r]]
+                c, span, n, size, first = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 5
+                own = np.repeat(np.arange(len(c)), size)
                 place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
                 start = first[own] + place
                 a, b = _W1.spans(h, start, start + window), _W2.spans(h, start, start + window)
-                columns = [fp[own], span[own], size[own].astype(np.int32), shift[own].astype(np.int32), n[own], place.astype(np.int32), a.view(np.int64), b.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "span", "size", "shift", "n", "place", "a", "b"])
+                columns = [c[own], span[own], n[own], place.astype(np.int32), a.view(np.int64), b.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "span", "n", "place", "a", "b"])
 
-    windows = source.mapInArrow(run, "fp long, span long, size int, shift int, n long, place int, a long, b long")
+    windows = materialise(source.mapInArrow(run, "c long, span long, n long, place int, a long, b long"), "windows")
     # equal rows compute a class more than once
-    windows = materialise(windows.groupBy("fp", "span", "size", "shift", "place", "a", "b").agg(F.max("n").alias("n")), "windows")
-    twice = windows.groupBy("a", "b").agg(F.sum("n").alias("t")).filter("t > 1").select("a", "b")
-    return windows.join(twice, ["a", "b"]).groupBy(*kind).agg(F.collect_list("place").alias("hits"))
+    if not equal_rows:
+        once = windows
+    else:
+        once = windows.groupBy("c", "span", "place", "a", "b").agg(F.max("n").alias("n"))
+    twice = once.groupBy("a", "b").agg(F.sum("n").alias("t")).filter("t > 1").select("a", "b")
+    # the windows of a class that occurs twice are repeats whatever else holds them
+    certain = windows.filter("n > 1").select("c", "span", "place")
+    found = windows.filter("n = 1").join(twice, ["a", "b"]).select("c", "span", "place")
+    return certain.union(found).groupBy("c", "span").agg(F.collect_set("place").alias("hits"))
+
+
+def _covered(spans: Column, window: int) -> Column:
+    """Ranges (first, end) of words that sorted spans cover, joined where they touch."""
+    kind = "array<struct<first:int,end:int>>"
+
+    def add(out: Column, s: Column) -> Column:
+        end = s["first"] + s["size"] - 1 + window
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["end"], end).alias("end"))))
+        return F.when((F.size(out) > 0) & (s["first"] <= last["end"]), joined).otherwise(F.concat(out, F.array(F.struct(s["first"].alias("first"), end.alias("end")))))
+
+    return F.aggregate(spans, F.array().cast(kind), add)
 
 
 def _join_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -194,14 +230,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if log is not None and log.runs and history is None:
         raise ValueError("a log of earlier rows needs these rows as history")
     keyed = _keyed(docs, id_col, text)
+    private = log is None
     log = log or FingerprintLog(spark, working_path(spark, "log"))
     found = materialise(find_anchors(keyed.select("__k1", "__k2", "__text"), window, gram), "anchors")
     for part in range(batches):
         log.append(summarise(found.filter(F.pmod("__k1", F.lit(batches)) == part)))
-    if len(log.runs) > 1:
-        log.compact()
-    repeated = log.merged().filter("n > 1").select("fp", (F.col("lo") == F.col("hi")).alias("whole"))
+        release(spark)
+    log.compact()
+    repeated = log.merged().filter("n > 1").select("fp", (~F.col("mixed")).alias("whole"))
     hit = materialise(join_checked(found, repeated, ["fp"]), "hits")
+    if private:
+        log.drop()
+    release(spark)
     whole = hit.filter("whole").select("__k1", "__k2", F.struct("first", "size").alias("s"))
     mixed = hit.filter(~F.col("whole"))
     texts, members = keyed.select("__k1", "__k2", "__text"), mixed
@@ -210,10 +250,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         same = find_anchors(old, window, gram)
         members = mixed.unionByName(join_checked(same, mixed.select("fp").distinct(), ["fp"], "left_semi"), allowMissingColumns=True)
         texts = texts.union(old)
-    places = _class_windows(texts, members, window)
-    part = mixed.join(places, ["fp", "span", "size", "shift"]).select("__k1", "__k2", "first", F.explode("hits").alias("p"))
+    names_twice = texts.groupBy("__k1", "__k2").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
+    places = materialise(_class_windows(texts, members, window, names_twice), "places")
+    part = mixed.withColumn("c", F.xxhash64("fp", "span", "size", "shift")).join(places, ["c", "span"]).select("__k1", "__k2", "first", F.explode("hits").alias("p"))
     part = part.select("__k1", "__k2", F.struct((F.col("first") + F.col("p")).alias("first"), F.lit(1).alias("size")).alias("s"))
-    spans = materialise(whole.union(part).groupBy("__k1", "__k2").agg(F.collect_set("s").alias("__spans")), "__spans")
+    spans = whole.union(part).groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("s")).alias("__spans"))
+    spans = materialise(spans.select("__k1", "__k2", _covered(F.col("__spans"), window).alias("__spans")), "spans")
+    release(spark)
     joined = _join_spans(keyed, spans, "left")
     names = ["n_words", "n_removed"]
     added = StructType([StructField(text, StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
@@ -232,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 if own:
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, [s["first"] for s in own], 1)
-                    np.add.at(edge, [s["first"] + s["size"] - 1 + window for s in own], -1)
+                    np.add.at(edge, [s["end"] for s in own], -1)
                     words = [w for w, c in zip(words, np.cumsum(edge).tolist()) if not c]
                 gone.append(total[-1] - len(words))
                 out.append(b" ".join(words))
