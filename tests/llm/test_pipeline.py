@@ -63,7 +63,8 @@ def test_stages_equal_brute_force(spark):
         assert rows_of(docs) == sorted(own)
     packed = corpus_pipeline.packing(spark, docs, sf).collect()
     check(packed, [(i, t) for i, t, _ in own])
-    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(r.doc_id for r in packed)
+    # where a document is cut depends on the partitions, so the two runs agree in tokens and not in pieces
+    check(corpus_pipeline.run(spark, sf).collect(), [(i, t) for i, t, _ in own])
 
 
 def test_hosts_and_depleted_documents(spark):
