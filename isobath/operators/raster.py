@@ -14,9 +14,7 @@ REACH = 2
 def indices(pixels: DataFrame) -> DataFrame:
     """pixels with reflectances, ratios, turbidity and the water mask; a missing coastal band is blue."""
     df = pixels.withColumn("ndwi", D.ndwi(F.col("green"), F.col("nir"))).withColumn("water", D.water_mask(F.col("scl"), F.col("ndwi")))
-    raw = {"b": "blue", "g": "green", "r": "red"}
-    df = df.withColumns({k: D.reflectance(F.col(v)) for k, v in raw.items()}).withColumn("k", D.reflectance(F.coalesce("coastal", "blue")))
-    b, g, r, k = (F.col(c) for c in "bgrk")
+    b, g, r, k = (D.reflectance(x) for x in (F.col("blue"), F.col("green"), F.col("red"), F.coalesce("coastal", "blue")))
     red, green, blue = (F.col(c) / 10000.0 for c in ("red", "green", "blue"))
     return df.withColumns({
         "x_bg": D.log_ratio(b, g), "x_cg": D.log_ratio(k, g), "ln_rg": F.log(r / g + D.EPS), "b_g": b / g, "c_g": k / g, "lum": F.log10(b + g + k + D.EPS), "c_b": k / b,
