@@ -44,15 +44,21 @@ def measure(docs: DataFrame, text: str = "__text") -> DataFrame:
     df = df.withColumn("__worded", worded).withColumn("n_dup_lines", (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"))
     w = F.col("__words")
     last = F.size(w) - 3
-    hashed = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    df = df.withColumn("__sorted", F.when(last >= 0, F.sort_array(hashed)))
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    df = df.withColumn("__h", F.when(last >= 0, F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+    # only texts that repeat a window go on; there a window is one number: the upper bits of its hash, then its place in
+    # as many bits as the text needs, so that equal windows come to lie side by side; whole hashes are compared then
+    df = df.withColumn("__place", F.expr("shiftleft(1L, CAST(ceil(log2(size(__words) + 1)) AS INT)) - 1"))
+    h, place = F.col("__h"), F.col("__place")
+    packed = F.transform("__h", lambda x, i: x.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))
+    df = df.withColumn("__sorted", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.transform(F.sort_array(packed), lambda x: x.bitwiseAND(place).cast("int"))))
     s = F.col("__sorted")
-    same = F.filter("__sorted", lambda x, i: (x["h"] == F.get(s, i + 1)["h"]) | ((i > 0) & (x["h"] == F.get(s, i - 1)["h"])))
-    df = df.withColumn("__at", F.sort_array(F.transform(same, lambda x: x["i"])))
+    same = F.filter("__sorted", lambda x, j: (F.get(h, x) == F.get(h, F.get(s, j + 1))) | ((j > 0) & (F.get(h, x) == F.get(h, F.get(s, j - 1)))))
+    df = df.withColumn("__at", F.sort_array(same))
     at = F.col("__at")
     covered = F.aggregate(F.transform("__at", lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.drop("__words", "__worded", "__sorted", "__at")
+    return df.drop("__words", "__worded", "__h", "__place", "__sorted", "__at")
 
 
 def score_quality(
@@ -77,18 +83,22 @@ def score_quality(
     def line_hash(line: Column) -> Column:
         return F.xxhash64(_line_key(line), F.col("__host"))
 
-    keyed = base.select("__id", "__same", F.transform(F.split("__text", "\n"), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("w"))).alias("__l"))
+    def solid(line: Column) -> Column:
+        return F.btrim(line, F.lit(WHITE)) != ""
+
     # a document counts a line once: its distinct line hashes are taken inside the row, before any shuffle
-    once = keyed.select(F.explode(F.array_distinct(F.transform(F.filter("__l", lambda x: x["w"] > 0), lambda x: x["h"]))).alias("h"))
+    once = base.select(F.explode(F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), solid), line_hash))).alias("h"))
     common = materialise(once.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs).select("h"), "lines")
-    lines = keyed.select("__id", "__same", F.posexplode("__l").alias("p", "l")).select("__id", "__same", "p", "l.h", "l.w").filter("w > 0")
-    gone = join_checked(lines, common, ["h"]).groupBy("__id", "__same").agg(F.collect_set(F.struct("p", "h", "w")).alias("__gone"))
+    lines = base.select("__id", "__same", "__host", F.posexplode(F.split("__text", "\n")).alias("p", "line")).filter(solid(F.col("line")))
+    lines = lines.select("__id", "__same", "p", "line", line_hash(F.col("line")).alias("h"))
+    gone = join_checked(lines, common, ["h"]).select("__id", "__same", "p", "h", F.size(words_of(F.col("line"))).alias("w"))
+    gone = gone.groupBy("__id", "__same").agg(F.collect_set(F.struct("p", "h", "w")).alias("__gone"))
     gone = gone.select("__id", "__same", F.array_distinct("__gone.h").alias("__hot"), F.aggregate("__gone.w", F.lit(0), lambda x, y: x + y).alias("__lost"))
     # filters on the verdict must not be pushed below the measures, which would repeat their expressions many times over
     measured = measure(base).observe(f"quality {uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
     joined = measured.alias("m").join(gone.alias("g"), F.col("m.__id").eqNullSafe(F.col("g.__id")) & (F.col("m.__same") == F.col("g.__same")), "left")
     joined = joined.select("m.*", "g.__hot", F.coalesce("g.__lost", F.lit(0)).alias("__lost"))
-    stay = F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hot", line_hash(x)) | (F.size(words_of(x)) == 0)))
+    stay = F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hot", line_hash(x)) | ~solid(x)))
     joined = joined.withColumn(text, F.array_join(stay, "\n"))
     joined = joined.withColumn("n_words_left", F.col("n_words") - F.col("__lost"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
