@@ -33,11 +33,12 @@ def marked_text(text: Column) -> Column:
 
     A name is a capitalised word after a lower-case letter, comma or semicolon and a space.
     """
-    t = F.regexp_replace(F.replace(text, F.lit("%"), F.lit(" percent ")), r"[^\p{L}\p{N}.,;]+", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", "<$0")
-    t = F.regexp_replace(t, r"(?<![\p{L}0-9])[0-9]++(?:[.,][0-9]++)*+", " #$0 ")
+    # each pattern begins with the character that it looks for, and looks back only from there
+    t = F.regexp_replace(F.replace(text, F.lit("%"), F.lit(" percent ")), r"[^a-zA-Z0-9.,;\p{L}\p{N}](?:[^a-zA-Z0-9.,;\p{L}\p{N}]+|(?<! ))", " ")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+", "<$0")
+    t = F.regexp_replace(t, r"[0-9](?<![\p{L}0-9][0-9])[0-9]*+(?:[.,][0-9]++)*+", " #$0 ")
     t = F.regexp_replace(t, r"(#[0-9.,]++) +(?i:(" + "|".join(UNITS) + r"))(?![\p{L}\p{N}])", "$1 @$2")
-    t = F.regexp_replace(t, r"[.,;](?![0-9])|(?<![0-9])[.,;]|;", " ")
+    t = F.regexp_replace(t, r"[.,;](?:(?![0-9])|(?<![0-9].)|(?<=;))", " ")
     return F.lower(t)
 
 
