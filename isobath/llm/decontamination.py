@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question with other
 values keeps its template.  Windows of template words are hashed and joined with
 those of the benchmark; a document that holds enough of an item's windows is a
 suspect.  For suspects the values in the placeholders are compared: a question
-asked with new values replaces each value in one way throughout.
+asked with new values replaces each value in one way throughout.  They are judged
+over the document and, where values differ, in each occurrence of the item by itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ WINDOW = 5
 COVERAGE = 0.5
 #: Share of the pairs of an item's and a document's value that must be explained by one value each.
 CONSISTENCY = 0.8
+#: Words that may be put in or left out within one occurrence of an item; at most half of the item's windows.
+GAP = 10
 #: Rows of benchmark windows that may be broadcast.
 BROADCAST_WINDOWS = 500_000
 UNITS = [
@@ -69,6 +72,44 @@ def _placed(df: DataFrame, window: int) -> DataFrame:
     return df.withColumn("__w", F.explode(rows)).select("*", "__w.h", "__w.pos", "__w.words").drop("__raw", "__h", "__w")
 
 
+def _same_pair(a: str, b: str) -> Column:
+    """Whether rows of the aliases a and b are of one document text and item."""
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.same") == F.col(f"{b}.same")) & (F.col(f"{a}.item") == F.col(f"{b}.item"))
+
+
+def _occurrences(met: DataFrame, open_pairs: DataFrame, coverage: float, consistency: float) -> DataFrame:
+    """(id, same, item, n_slots, n_changed) of each occurrence of an item that by itself holds enough windows with consistent values.
+
+    met has the matching windows of document (pos, d) and item (ipos, b).  An
+    occurrence is what lies at most GAP words off one of the offsets pos - ipos; of
+    several matches of an item's window the one nearest to that offset counts.
+    """
+    rows = met.alias("m").join(open_pairs.alias("o"), _same_pair("m", "o")).select("m.*", "o.n_windows", (F.col("m.pos") - F.col("m.ipos")).alias("off"))
+    offsets = rows.select("id", "same", "item", "off").distinct()
+    reach = F.least(F.lit(GAP), F.floor(F.col("n_windows") / 2).cast("int"))
+    near = rows.withColumn("at", F.explode(F.sequence(F.col("off") - reach, F.col("off") + reach))).alias("m")
+    near = near.join(offsets.alias("o"), _same_pair("m", "o") & (F.col("m.at") == F.col("o.off"))).select("m.*")
+    best = near.groupBy("id", "same", "item", "n_windows", "at", "ipos").agg(F.min(F.struct(F.abs(F.col("off") - F.col("at")).alias("far"), "off", "h", "b", "d")).alias("w"))
+    slots = F.filter(F.transform("w.b", lambda x, k: F.struct((F.col("ipos") + k).alias("slot"), x.alias("theirs"), F.get("w.d", k).alias("ours"))), lambda x: F.substring(x["theirs"], 1, 1).isin("#", "<", "@"))
+    # one row an item's window: the lists are no longer than the item
+    held = best.select("id", "same", "item", "n_windows", "at", "w.h", slots.alias("s")).groupBy("id", "same", "item", "n_windows", "at").agg(F.collect_set("h").alias("h"), F.flatten(F.collect_list("s")).alias("s"))
+    held = held.filter(F.size("h") >= coverage * F.col("n_windows"))
+    pairs = F.size(F.array_distinct(F.transform("s", lambda x: F.struct(x["theirs"], x["ours"]))))
+    changed = F.transform(F.filter("s", lambda x: x["theirs"] != x["ours"]), lambda x: x["slot"])
+    held = held.filter(F.size(F.array_distinct("s.theirs")) >= consistency * pairs)
+    return held.select("id", "same", "item", F.size(F.array_distinct("s.slot")).cast("long").alias("n_slots"), F.size(F.array_distinct(changed)).cast("long").alias("n_changed"))
+
+
+def _scattered(met: DataFrame, open_pairs: DataFrame, coverage: float) -> DataFrame:
+    """(id, same, item, n_slots, n_changed) of items whose own values stand in enough windows, wherever these lie, and in each value that any match covers."""
+    rows = met.alias("m").join(open_pairs.alias("o"), _same_pair("m", "o")).select("m.*", "o.n_windows", (F.col("m.b") == F.col("m.d")).alias("equal"))
+    rows = rows.select("id", "same", "item", "n_windows", "h", "equal", F.explode(F.transform("b", lambda x, k: F.when(F.substring(x, 1, 1).isin("#", "<", "@"), F.col("ipos") + k))).alias("slot"))
+    found = rows.groupBy("id", "same", "item", "n_windows").agg(
+        F.countDistinct(F.when(F.col("equal"), F.col("h"))).alias("n_equal"), F.countDistinct("slot").alias("n_slots"), F.countDistinct(F.when(F.col("equal"), F.col("slot"))).alias("own")
+    )
+    return found.filter((F.col("n_equal") >= coverage * F.col("n_windows")) & (F.col("own") == F.col("n_slots"))).select("id", "same", "item", "n_slots", F.lit(0).cast("long").alias("n_changed"))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
     window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY,
@@ -78,7 +119,8 @@ def contamination(
     Columns: id_col, item_col, ``n_windows`` (distinct windows of the item),
     ``n_matched``, ``n_slots`` (values of the item that the matched windows cover),
     ``n_changed`` (those that differ in the document) and ``kind`` (verbatim or
-    reparameterised).  Texts of fewer template words than a window match only
+    reparameterised).  An item that occurs several times counts with the occurrence
+    that has the fewest changed values.  Texts of fewer template words than a window match only
     texts that are equal as a whole.  Null and empty texts match nothing.  Rows of
     one id are judged by their texts together where they agree, so repeated rows
     give one row; a null id is reported as null.
@@ -98,21 +140,25 @@ def contamination(
     own = base.alias("b").join(F.broadcast(who).alias("w") if who.count() <= BROADCAST_WINDOWS else who.alias("w"), F.col("b.id").eqNullSafe(F.col("w.id")) & (F.col("b.same") == F.col("w.same")), "left_semi")
     in_docs = _placed(own, window).dropDuplicates(["id", "same", "pos"])
     pair = suspects.select(F.col("id").alias("sid"), F.col("same").alias("ssame"), "item")
-    wanted = in_docs.join(pair, F.col("id").eqNullSafe(F.col("sid")) & (F.col("same") == F.col("ssame"))).select("id", "same", "item", "h", F.col("words").alias("d"))
-    met = wanted.join(placed.select("item", "h", F.col("pos").alias("ipos"), F.col("words").alias("b")), ["item", "h"])
-    met = met.select("id", "same", "item", F.explode(F.transform("b", lambda x, k: F.struct((F.col("ipos") + k).alias("slot"), x.alias("theirs"), F.get("d", k).alias("ours")))).alias("s"))
-    slots = met.select("id", "same", "item", "s.*").filter(F.substring("theirs", 1, 1).isin("#", "<", "@")).distinct()
+    wanted = in_docs.join(pair, F.col("id").eqNullSafe(F.col("sid")) & (F.col("same") == F.col("ssame"))).select("id", "same", "item", "h", "pos", F.col("words").alias("d"))
+    met = materialise(wanted.join(placed.select("item", "h", F.col("pos").alias("ipos"), F.col("words").alias("b")), ["item", "h"]), "matches")
+    slots = met.select("id", "same", "item", F.explode(F.transform("b", lambda x, k: F.struct((F.col("ipos") + k).alias("slot"), x.alias("theirs"), F.get("d", k).alias("ours")))).alias("s"))
+    slots = slots.select("id", "same", "item", "s.*").filter(F.substring("theirs", 1, 1).isin("#", "<", "@")).distinct()
     judged = slots.groupBy("id", "same", "item").agg(
         F.countDistinct("slot").alias("n_slots"), F.countDistinct(F.when(F.col("theirs") != F.col("ours"), F.col("slot"))).alias("n_changed"),
         F.countDistinct("theirs").alias("values"), F.countDistinct("theirs", "ours").alias("pairs"),
     )
-    on = F.col("s.id").eqNullSafe(F.col("j.id")) & (F.col("s.same") == F.col("j.same")) & (F.col("s.item") == F.col("j.item"))
-    found = suspects.alias("s").join(judged.alias("j"), on, "left")
-    found = found.filter(F.col("j.pairs").isNull() | (F.col("j.values") >= consistency * F.col("j.pairs")))
-    changed = F.coalesce("j.n_changed", F.lit(0))
+    judged = materialise(suspects.alias("s").join(judged.alias("j"), _same_pair("s", "j"), "left").select("s.*", "j.n_slots", "j.n_changed", "j.values", "j.pairs"), "judged")
+    whole = judged.filter(F.col("pairs").isNull() | (F.col("values") >= consistency * F.col("pairs")))
+    whole = whole.select("id", "same", "item", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    # where values differ, other occurrences or chance matches may hide a true one
+    unsure = judged.filter("n_changed > 0").select("id", "same", "item", "n_windows")
+    ways = whole.unionByName(_occurrences(met, unsure, coverage, consistency)).unionByName(_scattered(met, unsure, coverage))
+    found = ways.alias("y").join(suspects.alias("s"), _same_pair("y", "s"))
     found = found.groupBy(F.col("s.id").alias(id_col), F.col("s.item").alias(item_col)).agg(
-        F.max("s.n_windows").alias("n_windows"), F.max("s.n_matched").alias("n_matched"), F.max(F.coalesce("j.n_slots", F.lit(0))).alias("n_slots"), F.min(changed).alias("n_changed")
+        F.max("s.n_windows").alias("n_windows"), F.max("s.n_matched").alias("n_matched"), F.min(F.struct("y.n_changed", (-F.col("y.n_slots")).alias("less"))).alias("__least")
     )
+    found = found.select(quoted(id_col), quoted(item_col), "n_windows", "n_matched", (-F.col("__least.less")).alias("n_slots"), F.col("__least.n_changed").alias("n_changed"))
     return found.withColumn("kind", F.when(F.col("n_changed") == 0, "verbatim").otherwise("reparameterised"))
 
 

@@ -54,6 +54,37 @@ def test_other_values_and_inconsistent_ones(spark):
     assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    def asked(name, *values):
+        t = QUESTION.replace("Anna", name)
+        for old, new in zip(("12 apples", "3 dollars", "5 pears"), values):
+            t = t.replace(old, new)
+        return t
+
+    fill = " and so the talk went on about quite other things that nobody there had heard of before"
+    first, second = asked("Anna", "12 apples", "3 dollars", "5 pears"), asked("Boris", "77 apples", "9 dollars", "8 pears")
+    mixed = QUESTION.replace("12 apples for", "31 apples for").replace("named Anna", "named Carla").replace("3", "8").replace("5", "6")
+    one = "the old lamp on the wall of the inn was lit by a boy who had walked for 9 miles through deep snow that night"
+    parts = QUESTION.split(" and later ")
+    rows = [
+        (1, QUESTION + fill * 3 + ". " + mixed),  # verbatim and once more with mixed values
+        (2, first + fill + ". " + second),  # two items of one template
+        (3, one + fill + " who had walked for 4 miles through the town"),  # a chance window with another value
+        (4, mixed + fill + ". " + mixed.replace("81", "66")),  # no true occurrence
+        (5, second.replace("market and", "market today and really") + fill + ". " + mixed),  # other values, words put in
+        (6, parts[0] + fill * 2 + " and later " + parts[1] + fill + " and later buys 7 pears; how many"),  # in two places
+        (7, one.replace("9 miles", "4 miles") + " " + one.replace("9 miles", "5 miles")),  # twice, each with its own value
+        (None, QUESTION + ". " + mixed),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, first), (11, second), (12, one)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in contamination(docs, bench).collect()}
+    verbatim = {(1, 10), (2, 10), (2, 11), (3, 12), (5, 11), (6, 10), (None, 10)}
+    assert {k for k, v in got.items() if v == "verbatim"} == verbatim
+    assert got[(7, 12)] == "reparameterised" and not any(k[0] == 4 for k in got)
+    assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [4]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, QUESTION, 2)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
