@@ -26,6 +26,7 @@ VIEWS = {
         o_orderpriority AS tag1, o_orderstatus AS tag2, o_custkey AS uploaded_by, CASE WHEN o_orderkey % 4 = 0 THEN 8 ELSE 16 END AS bit_depth, CASE WHEN o_orderkey % 6 = 0 THEN 'bathymetry' ELSE 'source' END AS source_kind FROM orders""",
     "raster_timeseries": "SELECT c_custkey AS id, 'series ' || CAST(c_custkey AS STRING) AS name FROM customer WHERE c_custkey < 50",
     "raster_timeseries_entries": "SELECT o_custkey AS timeseries_id, o_orderkey AS raster_id, o_orderkey % 50 AS sort_order FROM orders WHERE o_custkey < 50",
+    "all_timeseries_entries": "SELECT o_custkey AS timeseries_id, o_orderkey AS raster_id, o_orderkey % 50 AS sort_order FROM orders",
     "vector_datasets": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'annotation layer' END AS description, s_suppkey * 3 AS created_by, s_nationkey AS shared_group, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE '5-LOW' END AS tag FROM supplier",
     "vector_features": """SELECT p_partkey AS id, p_partkey % 10 AS dataset_id, CASE WHEN p_partkey % 10 = 3 THEN 'Point' WHEN p_partkey % 4 = 0 THEN 'LineString' ELSE 'Polygon' END AS geometry_type,
         -170 + CAST((p_partkey * 29) % 2700 AS DOUBLE) / 8 AS xmin, -80 + CAST((p_partkey * 31) % 1250 AS DOUBLE) / 8 AS ymin, CASE WHEN p_partkey % 10 = 3 THEN CAST(0 AS DOUBLE) ELSE CAST(1 + p_partkey % 5 AS DOUBLE) / 8 END AS extent, p_name AS label FROM part WHERE p_partkey % 10 <> 7""",
