@@ -51,14 +51,19 @@ def measure(docs: DataFrame, text: str = "__text") -> DataFrame:
     df = df.withColumn("__place", F.expr("shiftleft(1L, CAST(ceil(log2(size(__words) + 1)) AS INT)) - 1"))
     h, place = F.col("__h"), F.col("__place")
     packed = F.transform("__h", lambda x, i: x.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))
-    df = df.withColumn("__sorted", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.transform(F.sort_array(packed), lambda x: x.bitwiseAND(place).cast("int"))))
+    # where unequal windows share the upper bits, whole hashes are sorted with their places
+    df = df.withColumn("__kinds", F.size(F.array_distinct("__h")))
+    repeats = F.col("__kinds") < F.size("__h")
+    df = df.withColumn("__clash", F.when(repeats, F.size(F.array_distinct(F.transform("__h", lambda x: x.bitwiseAND(F.bitwise_not(place))))) < F.col("__kinds")))
+    whole = F.transform(F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda x: x["i"])
+    df = df.withColumn("__sorted", F.when(F.col("__clash"), whole).when(repeats, F.transform(F.sort_array(packed), lambda x: x.bitwiseAND(place).cast("int"))))
     s = F.col("__sorted")
     same = F.filter("__sorted", lambda x, j: (F.get(h, x) == F.get(h, F.get(s, j + 1))) | ((j > 0) & (F.get(h, x) == F.get(h, F.get(s, j - 1)))))
     df = df.withColumn("__at", F.sort_array(same))
     at = F.col("__at")
     covered = F.aggregate(F.transform("__at", lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.drop("__words", "__worded", "__h", "__place", "__sorted", "__at")
+    return df.drop("__words", "__worded", "__h", "__place", "__kinds", "__clash", "__sorted", "__at")
 
 
 def score_quality(
