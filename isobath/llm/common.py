@@ -6,7 +6,9 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -16,34 +18,46 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder (tests); a cluster
+    is refused, as each executor would write to a folder of its own.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="isobath-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df once to the shared folder and read it back, which cuts its lineage; the files go when the session ends."""
+    """Write df once to the shared folder and read it back, which cuts its lineage.
+
+    The files stay until discard() is called with the result, at the latest until the session ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/isobath-{name}-{uuid.uuid4().hex}"
+    path = working_path(spark, name)
     df.write.parquet(path)
-    _dispose_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._isobath_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from materialise() that no later plan reads."""
+    for df in tables:
+        delete(df.sparkSession, df._isobath_path)
 
 
 def working_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/isobath-{name}-{uuid.uuid4().hex}"
-    _dispose_at_exit(spark, path)
-    return path
 
-
-def _dispose_at_exit(spark: SparkSession, path: str) -> None:
     def dispose() -> None:
         try:
             delete(spark, path)
@@ -51,6 +65,17 @@ def _dispose_at_exit(spark: SparkSession, path: str) -> None:
             pass
 
     atexit.register(dispose)
+    return path
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow for columns of any names, dots and repeats included; run sees batches under these names."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
 
 
 def delete(spark: SparkSession, path: str) -> None:

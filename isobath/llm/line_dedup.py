@@ -3,9 +3,11 @@
 Distinct line keys are counted over the corpus with two 64-bit hashes each.  The
 keys that reach the limit are split into shards by the first hash; each shard
 becomes a minimal perfect hash whose index points into a fingerprint array (the
-second hash) and a count array.  Documents probe those arrays; lines are never
-joined with lines.  While the arrays fit a stated bound they are broadcast;
-beyond it the documents' line hashes are sent to salted copies of each shard.
+second hash) and a count array.  Keys of a shard that share their first hash
+with another one lie in a small list beside the arrays.  Documents probe those
+arrays; lines are never joined with lines.  While the arrays fit a stated bound
+they are broadcast; beyond it the documents' line hashes are sent to copies of
+each shard, as many as its probes need.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from isobath.llm.common import materialise, quoted, with_fields
+from isobath.llm.common import map_arrow, materialise, quoted, with_fields
 from isobath.llm.textnum import mix, seeds
 
 #: Keys of a shard.
 SHARD_KEYS = 1 << 16
 #: Keys whose arrays may be broadcast: about 13 bytes each.
 BROADCAST_KEYS = 2_000_000
-#: Salted copies of a shard, which share the probes of a very common line.
-SALTS = 8
+#: Probes that one copy of a shard answers; a shard that holds a very common line has more copies.
+PROBES = 1_000_000
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LEVELS = seeds(64, 71)
 
@@ -83,25 +85,37 @@ class PerfectHash:
         return cls([np.frombuffer(data, np.uint64, k, int(e) - 8 * int(k)) for k, e in zip(sizes, ends)])
 
 
-class ShardedIndex:
-    """Perfect hashes with fingerprint and count arrays, by shard."""
+class Shard:
+    """A perfect hash, its fingerprint and count arrays, and the (h1, h2, count) rows of keys whose first hash it holds for another key."""
 
-    def __init__(self, rows: list[tuple[int, bytes, bytes, bytes]], n_shards: int):
-        self.n = n_shards
-        self.shards = {s: (PerfectHash.load(h), np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32)) for s, h, f, c in rows}
+    def __init__(self, table: bytes, prints: bytes, counts: bytes, more: bytes):
+        self.table, self.prints, self.counts_of = PerfectHash.load(table), np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.uint32)
+        self.more = {(a, b): n for a, b, n in np.frombuffer(more, np.uint64).reshape(-1, 3).tolist()}
 
     def counts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The document count of each key, 0 for keys that are not held."""
+        out = np.zeros(len(h1), np.int64)
+        at = self.table.index(h1)
+        good = (at >= 0) & (self.prints[np.maximum(at, 0)] == h2)
+        out[good] = self.counts_of[at[good]]
+        if self.more:
+            for i in np.flatnonzero(~good).tolist():
+                out[i] = self.more.get((int(h1[i]), int(h2[i])), 0)
+        return out
+
+
+class ShardedIndex:
+    def __init__(self, rows: list[tuple[int, bytes, bytes, bytes, bytes]], n_shards: int):
+        self.n = n_shards
+        self.shards = {s: Shard(*parts) for s, *parts in rows}
+
+    def counts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h1), np.int64)
         shard = (h1 % np.uint64(self.n)).astype(np.int64)
-        for s in np.unique(shard):
-            if int(s) not in self.shards:
-                continue
-            table, prints, counts = self.shards[int(s)]
-            own = np.flatnonzero(shard == s)
-            at = table.index(h1[own])
-            good = (at >= 0) & (prints[np.maximum(at, 0)] == h2[own])
-            out[own[good]] = counts[at[good]]
+        for s in np.unique(shard).tolist():
+            if s in self.shards:
+                own = np.flatnonzero(shard == s)
+                out[own] = self.shards[s].counts(h1[own], h2[own])
         return out
 
 
@@ -137,35 +151,51 @@ def count_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
+INDEX = "shard int, table binary, prints binary, counts binary, more binary"
+
+
+def shard_of(h1: Column, n_shards: int) -> Column:
+    """The first hash, read as unsigned, modulo the number of shards."""
+    return F.pmod(F.conv(F.hex(h1), 16, 10).cast("decimal(20,0)"), F.lit(n_shards)).cast("int")
+
+
+def build_shard(h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """The parts of a Shard of distinct keys."""
+    order = np.lexsort((-n, h1))
+    h1, h2, n = h1[order], h2[order], np.minimum(n[order], np.iinfo(np.uint32).max)
+    first = np.append(True, h1[1:] != h1[:-1])
+    table = PerfectHash.build(h1[first])
+    at = table.index(h1[first])
+    prints, counts = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
+    prints[at], counts[at] = h2[first], n[first]
+    more = np.stack([h1[~first], h2[~first], n[~first].astype(np.uint64)], 1)
+    return table.dump(), prints.tobytes(), counts.tobytes(), more.tobytes()
+
+
 def build_index(keys: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, table, prints, counts): a perfect hash and its arrays for each shard of keys (h1, h2, n)."""
+    """(shard, table, prints, counts, more): the parts of every shard of keys (h1, h2, n)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        h1 = pdf["h1"].to_numpy().view(np.uint64)
-        order = PerfectHash.build(h1)
-        at = order.index(h1)
-        prints, counts = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.uint32)
-        prints[at] = pdf["h2"].to_numpy().view(np.uint64)
-        counts[at] = np.minimum(pdf["n"].to_numpy(), np.iinfo(np.uint32).max)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "table": [order.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
+        parts = build_shard(*(pdf[c].to_numpy().view(np.uint64) for c in ("h1", "h2")), pdf["n"].to_numpy())
+        return pd.DataFrame([(int(pdf["shard"].iloc[0]), *parts)], columns=["shard", "table", "prints", "counts", "more"])
 
-    # two keys with one h1 cannot share a perfect hash; the more frequent one stands for both
-    one = keys.groupBy("h1").agg(F.max(F.struct("n", "h2")).alias("m")).select("h1", "m.h2", "m.n")
-    shard = F.expr(f"CAST(pmod(CAST(conv(hex(h1), 16, 10) AS DECIMAL(20, 0)), {n_shards}) AS INT)")
-    return one.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, table binary, prints binary, counts binary")
+    return keys.withColumn("shard", shard_of(F.col("h1"), n_shards)).groupBy("shard").applyInPandas(build, INDEX)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS, probes: int = PROBES) -> DataFrame:
     """docs with every line dropped whose key at least min_docs documents hold.
 
     A key is the line without ASCII white space at its ends and with A-Z in lower
     case; keys of fewer than min_chars code points stay.  Each row is a document,
-    so repeated rows count one by one.  A null text is an empty line and comes
-    back as an empty text.  The other columns stay; ``n_lines`` and ``n_dropped``
+    so repeated rows count one by one, and a line that a document repeats counts
+    once.  A null text is an empty line and comes back as an empty text.  Very long
+    texts are taken whole.  The other columns stay; ``n_lines`` and ``n_dropped``
     are added and replace columns of those names.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    keys = materialise(count_keys(docs, text, min_chars).filter(F.col("n") >= min_docs), "keys")
+    held_by = Observation()
+    counted = count_keys(docs, text, min_chars).observe(held_by, F.coalesce(F.sum("n"), F.lit(0)).alias("probes"))
+    keys = materialise(counted.filter(F.col("n") >= min_docs), "keys")
     n_keys = keys.count()
     n_shards = max(1, -(-n_keys // SHARD_KEYS))
     index = build_index(keys, n_shards)
@@ -173,7 +203,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     if n_keys <= broadcast_keys:
         held = spark.sparkContext.broadcast(([tuple(r) for r in index.collect()], n_shards))
         return _drop(docs, text, min_chars, added, held, None)
-    return _drop(_probed(docs, text, min_chars, index, n_shards), text, min_chars, added, None, "__hot")
+    # probes of a shard: those of its frequent keys, and its part of all others; one row a shard
+    hot = {r.shard: r.n for r in keys.groupBy(shard_of(F.col("h1"), n_shards).alias("shard")).agg(F.sum("n").alias("n")).collect()}
+    others = (held_by.get["probes"] - sum(hot.values())) // n_shards
+    copies = [1 + (hot.get(s, 0) + others) // probes for s in range(n_shards)]
+    return _drop(_probed(docs, text, min_chars, index, copies), text, min_chars, added, None, "__hot")
 
 
 def _drop(docs: DataFrame, text: str, min_chars: int, added: StructType, held, hot: str | None) -> DataFrame:
@@ -208,11 +242,12 @@ def _drop(docs: DataFrame, text: str, min_chars: int, added: StructType, held, h
             arrays += [pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n not in ("__text", hot)] + names)
 
-    return kept.mapInArrow(drop, schema)
+    return map_arrow(kept, drop, schema)
 
 
-def _probed(docs: DataFrame, text: str, min_chars: int, index: DataFrame, n_shards: int) -> DataFrame:
-    """docs with ``__hot``: the digests of its frequent keys, found by probing salted copies of the shards."""
+def _probed(docs: DataFrame, text: str, min_chars: int, index: DataFrame, copies: list[int]) -> DataFrame:
+    """docs with ``__hot``: the digests of its frequent keys, found by probing copies of the shards."""
+    n_shards, salts = len(copies), np.array(copies, np.int64)
     docs = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,23 +258,24 @@ def _probed(docs: DataFrame, text: str, min_chars: int, index: DataFrame, n_shar
                 row += [r] * len(own)
                 keys += own
             h1, h2 = key_hashes(keys) if keys else (np.zeros(0, np.uint64),) * 2
-            shard = (h1 % np.uint64(n_shards)).astype(np.int32)
-            salt = (np.array(row, np.int64) % SALTS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(shard), pa.array(salt)], ["__row", "h1", "h2", "shard", "salt"])
+            shard = (h1 % np.uint64(n_shards)).astype(np.int64)
+            # by the document, so that the copies share a common line evenly
+            salt = np.array(row, np.int64) % salts[shard]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.array(row, np.int64), h1.view(np.int64), h2.view(np.int64), shard.astype(np.int32), salt.astype(np.int32))], ["__row", "h1", "h2", "shard", "salt"])
 
     asked = docs.select("__row", quoted(text)).mapInArrow(ask, "__row long, h1 long, h2 long, shard int, salt int")
 
-    def answer(probes: Iterator[pa.RecordBatch], arrays: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in arrays for r in b.select(["shard", "table", "prints", "counts"]).to_pylist()]
+    def answer(asked: pa.Table, arrays: pa.Table) -> pa.Table:
+        rows = arrays.select(["shard", "table", "prints", "counts", "more"]).to_pylist()
         held = ShardedIndex([tuple(r.values()) for r in rows], n_shards)
-        for b in probes:
-            h1, h2 = (np.asarray(b[c]).view(np.uint64) for c in ("h1", "h2"))
-            hit = np.flatnonzero(held.counts(h1, h2))
-            raw = np.stack([h1[hit], h2[hit]], 1).astype(">u8").tobytes()
-            yield pa.RecordBatch.from_arrays([b["__row"].take(pa.array(hit)), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], ["__row", "key"])
-
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(answer, "__row long, key binary")
+        h1, h2 = (asked[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        hit = np.flatnonzero(held.counts(h1, h2))
+        raw = np.stack([h1[hit], h2[hit]], 1).astype(">u8").tobytes()
+        return pa.table({"__row": asked["__row"].take(pa.array(hit)), "key": pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())})
+
+    number = F.get(F.array(*map(F.lit, copies)), F.col("shard")) if n_shards <= 1000 else F.udf(lambda s: copies[s], "int")("shard")  # one call a shard
+    every = index.withColumn("salt", F.explode(F.sequence(F.lit(0), number.cast("int") - 1)))
+    found = asked.groupBy("shard", "salt").cogroup(every.groupBy("shard", "salt")).applyInArrow(answer, "__row long, key binary")
     hot = found.groupBy("__row").agg(F.collect_list("key").alias("__hot"))
     return docs.join(hot, "__row", "left").drop("__row")
 
