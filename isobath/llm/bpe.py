@@ -45,12 +45,13 @@ class MergeTable:
         self.last = np.array([vocab[c + end] for c in byte_names()], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.uint64)
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.uint64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        # open addressing: a key lies at most self.reach slots after its home
-        self.bits = 19
+        # open addressing, at most a quarter full: a key lies at most self.reach slots after its home
+        self.bits = max(19, (4 * len(pairs)).bit_length())
         size = 1 << self.bits
-        self.keys, self.rank, self.made = np.full(size + 64, -1, np.int64), np.full(size + 64, NONE, np.int32), np.zeros(size + 64, np.int32)
+        tail = 1024
+        self.keys, self.rank, self.made = np.full(size + tail, -1, np.int64), np.full(size + tail, NONE, np.int32), np.zeros(size + tail, np.int32)
         home, self.reach = self._home(keys), 0
         for rank, (k, h) in enumerate(zip(keys.astype(np.int64), home.tolist())):
             at = h
@@ -67,7 +68,7 @@ class MergeTable:
 
     def _slots(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The table slot of each pair, or an empty slot."""
-        keys = left.astype(np.int64) << 20 | right
+        keys = left.astype(np.int64) << 32 | right
         at = self._home(keys.view(np.uint64))
         found = self.keys[at]
         odd = np.flatnonzero((found != keys) & (found != -1))

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from isobath.llm.bpe import MergeTable
-from isobath.llm.common import quoted, with_fields
+from isobath.llm.common import map_arrow, quoted, with_fields
 
 #: Entries of a worker's table; it is emptied when full.
 CACHE = 400_000
+#: Characters of a chunk beyond which it is not kept there.
+LONG = 256
 #: Characters of text whose unknown chunks are merged together.
 GROUP_CHARS = 2_000_000
 #: A space inside or at the end of a run of white space: the run may be one pre-token.
@@ -37,7 +39,7 @@ class TokenCounter:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.special)) + ")") if self.table.special else None
         self.marks = tuple(self.table.special)
-        self.chunks: dict[str, int] = {}
+        self.chunks: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.pieces: dict[str, int] = {}
 
     def pretokens(self, text: str) -> list[str]:
@@ -49,21 +51,17 @@ class TokenCounter:
             return out
         return self.pattern.findall(text)
 
-    def _learn(self, groups: dict[str, list[str]]) -> None:
-        """Fill the tables for chunks given with their pre-tokens."""
-        if len(self.pieces) + len(groups) > CACHE:
-            self.pieces.clear()
+    def _learn(self, groups: dict[tuple[bool, str], list[str]], loose: set[str]) -> None:
+        """Fill the tables for chunks given with their pre-tokens, and for loose pre-tokens."""
         for m in self.marks:
             self.pieces[m] = 1
-        new = list({p for own in groups.values() for p in own if p not in self.pieces})
+        new = list({p for own in (*groups.values(), loose) for p in own if p not in self.pieces})
         if new:
             _, offsets = self.table.encode([p.encode() for p in new])
             self.pieces.update(zip(new, np.diff(offsets).tolist()))
-        if len(self.chunks) + len(groups) > CACHE:
-            self.chunks.clear()
         get = self.pieces.__getitem__
-        for chunk, own in groups.items():
-            self.chunks[chunk] = sum(map(get, own))
+        for (first, chunk), own in groups.items():
+            self.chunks[first][chunk] = sum(map(get, own))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -72,26 +70,28 @@ class TokenCounter:
             slow = bool(_RUN.search(t)) or any(m in t for m in self.marks)
             parts.append(None if slow else t.split(" "))
             whole.append(self.pretokens(t) if slow else None)
-        # the first chunk has no space before it; "\0" marks those that have none
-        wanted: set[str] = set()
-        for p in parts:
-            if p:
-                p[0] = "\0" + p[0]
-                wanted.update(p)
-        missing = [c for c in wanted if c not in self.chunks]
-        if len(self.chunks) + len(missing) > CACHE:
-            self.chunks.clear()
-            missing = list(wanted)
+        # only a text's first chunk has no space before it; the two sorts have a table each
+        wanted = ({c for p in parts if p for c in p[1:]}, {p[0] for p in parts if p})
         loose = {w for own in whole if own for w in own}
-        if missing or loose:
-            groups = {}
-            for c in missing:
-                text = c[1:] if c[:1] == "\0" else " " + c
-                groups[c] = [text] if c.isalpha() else self.pattern.findall(text)
-            groups |= {"\1" + w: [w] for w in loose}
-            self._learn(groups)
-        get, one = self.chunks.__getitem__, lambda w: self.chunks["\1" + w]
-        out = [sum(map(get, p)) if p else sum(map(one, own)) for p, own in zip(parts, whole)]
+        if sum(map(len, (*self.chunks, *wanted))) > CACHE:
+            self.chunks = ({}, {})
+        if len(self.pieces) + len(loose) + sum(map(len, wanted)) > CACHE:
+            self.pieces.clear()
+        groups = {}
+        for first in (False, True):
+            for c in wanted[first]:
+                if c not in self.chunks[first]:
+                    text = c if first else " " + c
+                    groups[first, c] = [text] if c.isalpha() else self.pattern.findall(text)
+        self._learn(groups, loose)
+        after, at_start, one = self.chunks[False].__getitem__, self.chunks[True].__getitem__, self.pieces.__getitem__
+        out = [at_start(p[0]) + sum(map(after, p[1:])) if p else sum(map(one, own)) for p, own in zip(parts, whole)]
+        # long pieces hardly come again
+        for first, c in groups:
+            if len(c) > LONG:
+                del self.chunks[first][c]
+        for p in [p for p in loose.union(*groups.values()) if len(p) > LONG]:
+            del self.pieces[p]
         return out
 
 
@@ -100,7 +100,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
 
     tokenizer is the path, on every executor, of a byte-level BPE vocabulary in
     tokenizers' JSON format.  Counts equal the library's without added begin or
-    end tokens: a special token's string inside a text is one token.  Null and
+    end tokens, whatever characters a text has: a special token's string inside a
+    text is one token.  Texts of any length are taken whole.  Null and
     empty texts have 0 bytes and 0 tokens.  Rows are counted one by one, so
     repeated rows repeat; other columns stay, columns of the added names are
     replaced, an empty table gives an empty one.
@@ -129,7 +130,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
             arrays = [batch.column(k) for k in range(batch.num_columns) if k != at] + [pa.array(sizes), pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays(arrays, [x for x in batch.schema.names if x != "__text"] + names)
 
-    return kept.mapInArrow(count, schema)
+    return map_arrow(kept, count, schema)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
