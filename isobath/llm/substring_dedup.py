@@ -3,12 +3,13 @@
 A window of WINDOW words is named by an anchor: the smallest of its GRAM-word
 fingerprints, so equal windows have equal anchors at equal places and only about
 one word in twelve is an anchor.  Consecutive windows with one anchor form a
-span, and spans with equal words form a class.  Batches of anchors are
-aggregated into sorted, bucketed, immutable runs; a new batch is merge-joined
-with the runs before it, and runs are compacted pairwise.  An anchor that occurs
-once in history and batch together proves that its windows are unique.  Of the
-others, anchors whose spans all agree are repeats as they are; for the rest each
-class's windows are compared on 128-bit hashes of all their words.
+span.  Batches of anchors are counted into sorted, bucketed, immutable runs; a
+new batch is merge-joined with the runs before it, which tells the anchors that
+it or the history repeats, and runs are compacted when they are many.  An anchor
+that never repeats proves that its windows are unique.  The spans of the others
+are verified on 128-bit xxh3 hashes of their words' bytes: spans with equal words
+are repeats as a whole, and where an anchor's spans differ, their single windows
+are compared on such hashes.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from isobath.llm.common import delete, join_checked, materialise, quoted, release, small, with_fields, working_path
-from isobath.llm.textnum import Poly, Words, text_slices
+from isobath.llm.common import delete, discard, join_checked, map_arrow, materialise, quoted, release, small, with_fields, working_path
+from isobath.llm.textnum import Words, runs, text_slices
 
 WINDOW, GRAM = 35, 12
 #: Runs that may lie side by side before they are compacted.
@@ -32,14 +34,21 @@ MAX_RUNS = 4
 #: Rows of spans that may be broadcast to the documents; more are shuffled with them.
 BROADCAST_SPANS = 500_000
 
-_GRAM, _SPAN, _W1, _W2 = Poly(61), Poly(67), Poly(71), Poly(73)
 _HIGH = np.iinfo(np.uint64).max
 
 
+def word_digests(w: Words, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) 64-bit halves of the xxh3-128 of the words first[i] to end[i], joined by one space."""
+    text, at = w.spaced()
+    view, digest = memoryview(text), xxhash.xxh3_128_digest
+    raw = b"".join([digest(view[a:b]) for a, b in zip(at[first].tolist(), (at[end] - 1).tolist())])
+    return np.frombuffer(raw, "<i8").reshape(-1, 2)
+
+
 def anchors(h: np.ndarray, of_doc: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
     """The spans of all documents of a slice, given its word hashes and the range of words of each document.
 
-    doc, at (the anchor's word), first and last (the span's first windows), fp and span hashes.
+    doc, first and last (the span's first windows) and fp, the anchor.
     """
     n = len(h)
     end_of = np.repeat(of_doc[1:], np.diff(of_doc))
@@ -47,10 +56,10 @@ def anchors(h: np.ndarray, of_doc: np.ndarray, window: int, gram: int) -> dict[s
     starts = np.flatnonzero(i + window <= end_of)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return {k: none for k in ("doc", "at", "first", "last")} | {k: none.astype(np.uint64) for k in ("fp", "span")}
+        return {k: none for k in ("doc", "first", "last")} | {"fp": none.astype(np.uint64)}
     value = np.full(n + window, _HIGH, np.uint64)
     whole = np.flatnonzero(i + gram <= end_of)
-    value[whole] = _GRAM.spans(h, whole, whole + gram)
+    value[whole] = runs(h, whole, gram)
     place = np.arange(n + window)
     # leftmost minimum of the window's grams, by doubling
     low, at, reach, width = value, place, 1, window - gram + 1
@@ -64,44 +73,39 @@ def anchors(h: np.ndarray, of_doc: np.ndarray, window: int, gram: int) -> dict[s
     fresh = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
     first, last, at = starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1], at[fresh]
     doc = np.searchsorted(of_doc, first, "right") - 1
-    return {"doc": doc, "at": at, "first": first, "last": last, "fp": value[at], "span": _SPAN.spans(h, first, last + window)}
+    return {"doc": doc, "first": first, "last": last, "fp": value[at]}
 
 
-ANCHORS = "__k1 long, __k2 int, first int, size int, shift int, fp long, span long"
+ANCHORS = "__k1 long, __k2 int, first int, size int, fp long, d1 long, d2 long"
 
 
 def find_anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
-    """(__k1, __k2, first, size, shift, fp, span) of every span in keyed (__k1, __k2, text): its first window, number of windows and the anchor's place in it."""
+    """(__k1, __k2, first, size, fp, d1, d2) of every span in keyed (__k1, __k2, text): its first window, number of windows, anchor and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            __k1, __k2 = (np.asarray(batch.column(c)) for c in (0, 1))
+            k1, k2 = (np.asarray(batch.column(c)) for c in (0, 1))
             for i, _, data, offsets in text_slices(batch.column(2)):
                 w = Words(data, offsets)
                 a = anchors(w.hashes(), w.of_doc, window, gram)
-                doc = a["doc"]
-                columns = [__k1[i + doc], __k2[i + doc], (a["first"] - w.of_doc[doc]).astype(np.int32), (a["last"] - a["first"] + 1).astype(np.int32), (a["at"] - a["first"]).astype(np.int32), a["fp"].view(np.int64), a["span"].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__k1", "__k2", "first", "size", "shift", "fp", "span"])
+                doc, size = a["doc"], (a["last"] - a["first"] + 1).astype(np.int32)
+                d = word_digests(w, a["first"], a["last"] + window)
+                columns = [k1[i + doc], k2[i + doc], (a["first"] - w.of_doc[doc]).astype(np.int32), size, a["fp"].view(np.int64), d[:, 0].copy(), d[:, 1].copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__k1", "__k2", "first", "size", "fp", "d1", "d2"])
 
     return keyed.mapInArrow(run, ANCHORS)
 
 
 def summarise(found: DataFrame) -> DataFrame:
-    """(fp, n, kind, mixed): the occurrences of each anchor, one of its span classes, and whether there are several."""
-    kind = F.xxhash64("span", "size", "shift")
-    known = found.groupBy("fp").agg(F.count("*").alias("n"), F.min(kind).alias("kind"), F.max(kind).alias("hi"))
-    return known.select("fp", F.col("n").cast("int").alias("n"), "kind", (F.col("kind") != F.col("hi")).alias("mixed"))
-
-
-def _together(a: str, b: str) -> list:
-    """The columns of a summary that joins those of a and b; either may lack an anchor."""
-    n = F.coalesce(f"{a}.n", F.lit(0)) + F.coalesce(f"{b}.n", F.lit(0))
-    either = F.coalesce(f"{a}.mixed", F.lit(False)) | F.coalesce(f"{b}.mixed", F.lit(False)) | F.coalesce(F.col(f"{a}.kind") != F.col(f"{b}.kind"), F.lit(False))
-    return [F.coalesce(f"{a}.fp", f"{b}.fp").alias("fp"), n.alias("n"), F.coalesce(f"{a}.kind", f"{b}.kind").alias("kind"), either.alias("mixed")]
+    """(fp, n): the occurrences of each anchor."""
+    return found.groupBy("fp").agg(F.count("*").alias("n"))
 
 
 class FingerprintLog:
-    """Sorted immutable runs of anchor summaries in one folder, bucketed alike so that they merge without a shuffle."""
+    """Sorted immutable runs of anchor counts in one folder, bucketed alike so that they merge without a shuffle.
+
+    Runs are tables of the session's catalogue; drop() removes them.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
@@ -115,35 +119,33 @@ class FingerprintLog:
         return name
 
     @staticmethod
-    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.alias("a").join(b.hint("merge").alias("b"), F.col("a.fp") == F.col("b.fp"), "full").select(*_together("a", "b"))
-
-    def merged(self) -> DataFrame:
-        """The summary of all runs."""
-        return reduce(self._merge, map(self.spark.table, self.runs))
+    def _merge(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        joined = a.alias("a").join(b.hint("merge").alias("b"), F.col("a.fp") == F.col("b.fp"), how)
+        return joined.select(F.coalesce("a.fp", "b.fp").alias("fp"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Add a batch's summary as a run; returns the anchors of the batch that it or the history repeats, with counts of both."""
+        """Add a batch's summary as a run; returns the anchors (fp) of the batch that it or the history repeats."""
         history = self.runs[:]
         self.runs.append(self._write(batch))
         own = self.spark.table(self.runs[-1])
         for run in history:
-            own = own.alias("a").join(self.spark.table(run).hint("merge").alias("b"), F.col("a.fp") == F.col("b.fp"), "left").select(*_together("a", "b"))
+            own = self._merge(own, self.spark.table(run), "left")
+        repeated = materialise(own.filter("n > 1").select("fp"), "repeated")
         if len(self.runs) > MAX_RUNS:
-            self.compact(keep=True)
-        return own.filter("n > 1")
+            self.compact()
+        return repeated
 
-    def compact(self, keep: bool = False) -> None:
-        """Replace all runs by one; with keep, the files of the old ones stay for plans that still read them."""
+    def compact(self) -> None:
+        """Replace all runs by one."""
         if len(self.runs) > 1:
-            old, self.runs = self.runs, [self._write(self.merged())]
-            if not keep:
-                self._drop(old)
+            merged = reduce(lambda a, b: self._merge(a, b, "full"), map(self.spark.table, self.runs))
+            old, self.runs = self.runs, [self._write(merged)]
+            self._drop(old)
 
-    def _drop(self, runs: list[str]) -> None:
-        for run in runs:
-            self.spark.sql(f"DROP TABLE {run}")
-            delete(self.spark, f"{self.path}/{run}")
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, f"{self.path}/{name}")
 
     def drop(self) -> None:
         """Remove all runs."""
@@ -157,12 +159,12 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumn("__k1", F.xxhash64(F.lit("id"), quoted(id_col))).withColumn("__k2", F.hash(t)).withColumn("__text", t)
 
 
-def _class_windows(texts: DataFrame, mixed: DataFrame, window: int, equal_rows: bool) -> DataFrame:
-    """Which windows of each span class occur twice: (c, span, hits), hits being the places in the span."""
-    kind = F.xxhash64("fp", "span", "size", "shift")
-    classes = mixed.withColumn("c", kind).groupBy("c", "span").agg(F.count("*").alias("n"), F.min(F.struct("__k1", "__k2", "first", "size")).alias("e"))
-    wanted = classes.groupBy("e.__k1", "e.__k2").agg(F.collect_list(F.struct("c", "span", "n", F.col("e.first").alias("first"), F.col("e.size").alias("size"))).alias("__spans"))
-    wanted = materialise(wanted, "wanted")
+def _single_windows(texts: DataFrame, classes: DataFrame, window: int) -> DataFrame:
+    """(d1, d2, hits) of classes of one span: the windows of it that another class of its anchor holds as well."""
+    # anchors with several classes, of which one at least occurs once
+    open_ = classes.groupBy("fp").agg(F.count("*").alias("k"), F.min("n").alias("low")).filter("k > 1 AND low = 1").select("fp")
+    wanted = join_checked(classes, open_, ["fp"], "left_semi").groupBy("e.__k1", "e.__k2")
+    wanted = materialise(wanted.agg(F.collect_list(F.struct("d1", "d2", "n", F.col("e.first").alias("first"), F.col("e.size").alias("size"))).alias("__spans")), "wanted")
     # texts that no class needs are left out before anything is shuffled, while the names of the others are few
     source = _join_spans(join_checked(texts, wanted.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi") if small(wanted) else texts, wanted, "inner")
 
@@ -171,27 +173,23 @@ def _class_windows(texts: DataFrame, mixed: DataFrame, window: int, equal_rows:
             spans = batch.column(3).to_pylist()
             for i, j, data, offsets in text_slices(batch.column(2)):
                 w = Words(data, offsets)
-                h = w.hashes()
-                rows = [(s["c"], s["span"], s["n"], s["size"], s["first"] + int(w.of_doc[r])) for r in range(j - i) for s in spans[i + r]]
-                c, span, n, size, first = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 5
-                own = np.repeat(np.arange(len(c)), size)
+                rows = [(s["d1"], s["d2"], s["n"], s["size"], s["first"] + int(w.of_doc[r])) for r in range(j - i) for s in spans[i + r]]
+                d1, d2, n, size, first = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 5
+                own = np.repeat(np.arange(len(d1)), size)
                 place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
                 start = first[own] + place
-                a, b = _W1.spans(h, start, start + window), _W2.spans(h, start, start + window)
-                columns = [c[own], span[own], n[own], place.astype(np.int32), a.view(np.int64), b.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "span", "n", "place", "a", "b"])
-
-    windows = materialise(source.mapInArrow(run, "c long, span long, n long, place int, a long, b long"), "windows")
-    # equal rows compute a class more than once
-    if not equal_rows:
-        once = windows
-    else:
-        once = windows.groupBy("c", "span", "place", "a", "b").agg(F.max("n").alias("n"))
+                d = word_digests(w, start, start + window)
+                columns = [d1[own], d2[own], n[own], place.astype(np.int32), d[:, 0].copy(), d[:, 1].copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["d1", "d2", "n", "place", "a", "b"])
+
+    windows = materialise(source.mapInArrow(run, "d1 long, d2 long, n long, place int, a long, b long"), "windows")
+    # equal rows hold the same class twice
+    once = windows.groupBy("d1", "d2", "place", "a", "b").agg(F.max("n").alias("n"))
     twice = once.groupBy("a", "b").agg(F.sum("n").alias("t")).filter("t > 1").select("a", "b")
-    # the windows of a class that occurs twice are repeats whatever else holds them
-    certain = windows.filter("n > 1").select("c", "span", "place")
-    found = windows.filter("n = 1").join(twice, ["a", "b"]).select("c", "span", "place")
-    return certain.union(found).groupBy("c", "span").agg(F.collect_set("place").alias("hits"))
+    found = windows.filter("n = 1").join(twice, ["a", "b"]).select("d1", "d2", "place")
+    places = materialise(found.groupBy("d1", "d2").agg(F.collect_set("place").alias("hits")), "places")
+    discard(wanted, windows)
+    return places
 
 
 def _covered(spans: Column, window: int) -> Column:
@@ -233,29 +231,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     private = log is None
     log = log or FingerprintLog(spark, working_path(spark, "log"))
     found = materialise(find_anchors(keyed.select("__k1", "__k2", "__text"), window, gram), "anchors")
+    parts = []
     for part in range(batches):
-        log.append(summarise(found.filter(F.pmod("__k1", F.lit(batches)) == part)))
+        parts.append(log.append(summarise(found.filter(F.pmod("__k1", F.lit(batches)) == part))))
         release(spark)
-    log.compact()
-    repeated = log.merged().filter("n > 1").select("fp", (~F.col("mixed")).alias("whole"))
+    # what a batch repeats of itself or of earlier ones; a later batch names what it repeats of this one
+    repeated = reduce(DataFrame.union, parts).distinct()
     hit = materialise(join_checked(found, repeated, ["fp"]), "hits")
+    discard(found)
     if private:
         log.drop()
     release(spark)
-    whole = hit.filter("whole").select("__k1", "__k2", F.struct("first", "size").alias("s"))
-    mixed = hit.filter(~F.col("whole"))
-    texts, members = keyed.select("__k1", "__k2", "__text"), mixed
+    texts, members = keyed.select("__k1", "__k2", "__text"), hit
     if history is not None:
         old = _keyed(history, id_col, text).select("__k1", "__k2", "__text")
         same = find_anchors(old, window, gram)
-        members = mixed.unionByName(join_checked(same, mixed.select("fp").distinct(), ["fp"], "left_semi"), allowMissingColumns=True)
+        members = members.unionByName(join_checked(same, repeated, ["fp"], "left_semi"))
         texts = texts.union(old)
-    names_twice = texts.groupBy("__k1", "__k2").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
-    places = materialise(_class_windows(texts, members, window, names_twice), "places")
-    part = mixed.withColumn("c", F.xxhash64("fp", "span", "size", "shift")).join(places, ["c", "span"]).select("__k1", "__k2", "first", F.explode("hits").alias("p"))
+    # spans with equal words form a class; d1 and d2 are the digest of these words
+    classes = members.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("fp").alias("fp"), F.min(F.struct("__k1", "__k2", "first", "size")).alias("e"))
+    classes = materialise(classes, "classes")
+    whole = join_checked(hit, classes.filter("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select("__k1", "__k2", F.struct("first", "size").alias("s"))
+    places = _single_windows(texts, classes, window)
+    part = join_checked(hit, places, ["d1", "d2"]).select("__k1", "__k2", "first", F.explode("hits").alias("p"))
     part = part.select("__k1", "__k2", F.struct((F.col("first") + F.col("p")).alias("first"), F.lit(1).alias("size")).alias("s"))
     spans = whole.union(part).groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("s")).alias("__spans"))
     spans = materialise(spans.select("__k1", "__k2", _covered(F.col("__spans"), window).alias("__spans")), "spans")
+    discard(hit, classes, places, *parts)
     release(spark)
     joined = _join_spans(keyed, spans, "left")
     names = ["n_words", "n_removed"]
@@ -283,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             arrays += [pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n not in hidden] + [text, *names])
 
-    return kept.mapInArrow(remove, schema)
+    return map_arrow(kept, remove, schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text that one slice holds, unless a single document is longer.
@@ -39,31 +40,61 @@ def seeds(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
-class Poly:
-    """Hashes of substrings of a uint64 sequence by prefix sums modulo 2^64."""
+#: Bytes of a span beyond which it is hashed by itself.
+LONG_SPAN = 256
+_LENGTH = seeds(2, 11)
 
-    def __init__(self, seed: int):
-        base = int(seeds(1, seed)[0]) | 5
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(0, U64)
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(n, b, U64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes data[s:e] for each pair of starts and ends.
 
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The mixed hash of values[s:e] for each pair of starts and ends."""
-        self._powers(len(values) + 1)
-        c = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=c[1:])
-        return mix((c[ends] - c[starts]) * self.down[starts] + (ends - starts).astype(U64))
-
-
-BYTE_VALUES = seeds(256, 11) | U64(1)
-_BYTES = Poly(17)
+    Eight bytes at a time are mixed into a state that begins with the length, so
+    spans of one length up to eight bytes never share a hash; long spans are taken
+    by xxh3.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + _LENGTH[seed])
+    long = np.flatnonzero(size > LONG_SPAN)
+    own, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(own):
+        block = eight[starts[own] + at]
+        left = size[own] - at
+        short = left < 8
+        block[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+        out[own] = mix(out[own] ^ block)
+        at += 8
+        own = own[left > 8]
+    view = memoryview(data)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]], seed)
+    return out
+
+
+def span_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Values that tell spans apart which share a span_hash: the bytes themselves up to eight, another hash beyond."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = eight[starts]
+    short = size < 8
+    out[short] &= (U64(1) << (size[short].astype(U64) * U64(8))) - U64(1)
+    more = np.flatnonzero(size > 8)
+    out[more] = span_hashes(data, starts[more], ends[more], 1)
+    return out
+
+
+#: Odd multipliers that make a run's hash depend on the order of its words.
+_RUN = seeds(64, 23) | U64(1)
+
+
+def runs(h: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k values of h from each of starts."""
+    s = h[starts] * _RUN[0]
+    for j in range(1, k):
+        s += h[starts + j] * _RUN[j % 64]
+    return mix(s + U64(k))
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,11 +134,20 @@ class Words:
         self.of_doc = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        return _BYTES.spans(BYTE_VALUES[self.data], self.starts, self.ends)
-
-
-#: Odd multipliers that make a shingle's hash depend on the order of its words.
-_SHINGLE = seeds(64, 23) | U64(1)
+        return span_hashes(self.data, self.starts, self.ends)
+
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """(text, at): all words with one space after each, and where each word begins in it; at has one more entry, the text's end."""
+        size = self.ends - self.starts + 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(int(at[-1]), 0x20, np.uint8)
+        solid = np.ones(len(out), bool)
+        solid[at[1:] - 1] = False
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        out[solid] = self.data[np.cumsum(inside[:-1]) > 0] if len(self.data) else self.data
+        return out.tobytes(), at
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -116,7 +156,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     if k == 0:
         return np.zeros(0, U64)
     n = len(h) - k + 1
-    s = h[:n] * _SHINGLE[0]
+    s = h[:n] * _RUN[0]
     for j in range(1, k):
-        s += h[j : j + n] * _SHINGLE[j]
+        s += h[j : j + n] * _RUN[j % 64]
     return mix(s + U64(k))

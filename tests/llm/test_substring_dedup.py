@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 from isobath.llm.common import working_path
-from isobath.llm.substring_dedup import FingerprintLog, remove_repeats
+from isobath.llm.substring_dedup import MAX_RUNS, FingerprintLog, remove_repeats
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -61,7 +61,7 @@ def test_new_table_against_a_log(spark):
     log = FingerprintLog(spark, working_path(spark, "test"), 4)
     a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (first, second))
     assert result(remove_repeats(a, window=8, gram=3, batches=6, log=log)) == brute(first, 8)
-    assert len(log.runs) == 1
+    assert len(log.runs) <= MAX_RUNS
     assert result(remove_repeats(b, window=8, gram=3, log=log, history=a)) == brute(second, 8, first)
 
 
@@ -70,3 +70,30 @@ def test_empty_and_clashing_columns(spark):
     got = remove_repeats(df).collect()
     assert [r.asDict() for r in got] == [{"doc_id": 1, "spans": "k", "k1": "f", "text": "a b c", "n_words": 3, "n_removed": 0}]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def thue_morse(n):
+    """A word and its complement, which hashes by polynomials modulo a power of two cannot tell apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_weak_hashes_differ(spark):
+    x, y = thue_morse(2048)
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, " ".join(thue_morse(4096)[0])), (4, " ".join(thue_morse(4096)[1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(remove_repeats(df)) == brute(rows, 35)
+    assert result(remove_repeats(df))[0][2] == 0
+
+
+def test_append_tells_what_earlier_runs_hold(spark):
+    log = FingerprintLog(spark, working_path(spark, "test"), 4)
+
+    def batch(*fps):
+        return spark.createDataFrame([(f, fps.count(f)) for f in set(fps)], "fp long, n long")
+
+    got = [sorted(r.fp for r in log.append(batch(*b)).collect()) for b in ((1, 2, 2), (1, 3), (4,), (3, 5), (1, 9), (9, 4))]
+    assert got == [[2], [1], [], [3], [1], [4, 9]]
+    assert len(log.runs) <= MAX_RUNS
+    log.drop()
