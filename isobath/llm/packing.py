@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from isobath.llm.bpe import MergeTable, ragged
 from isobath.llm.common import quoted
-from isobath.llm.textnum import BYTE_VALUES, Poly
+from isobath.llm.textnum import span_checks, span_hashes
 
 WINDOW = 2048
 #: Tokens of padding that a cut is worth: after a sentence, and inside one.
@@ -53,7 +53,6 @@ _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[0, 9, 10, 13, 32]] = 0
 _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[48:58] = 2
-_HASH = Poly(53)
 _WORKERS: dict[str, ChunkEncoder] = {}
 
 
@@ -119,21 +118,23 @@ class ChunkEncoder:
         digit = kind == 2
         starts = np.flatnonzero((other | digit[1:]) & (kind[1:] != 0)) + 1
         ends = np.flatnonzero((other | digit[:-1]) & (kind[:-1] != 0)) + 1
-        names, which = np.unique(_HASH.spans(BYTE_VALUES[data], starts, ends), return_inverse=True)
+        names, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        check = span_checks(data, starts, ends)
         if self.pool_used + len(names) > CACHE:
             self._empty_pool()
         at = np.fromiter(map(self.pool_at.get, names.tolist(), repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(at < 0)
         if len(new):
-            example = np.empty(len(names), np.int64)
-            example[which] = np.arange(len(which))
             ids, offsets = self.table.encode_spans(data, starts[example[new]], ends[example[new]])
             at[new] = np.arange(self.pool_used, self.pool_used + len(new))
             self.pool_at.update(zip(names[new].tolist(), at[new].tolist()))
             self.pool_used += len(new)
             self.pool_start = np.concatenate([self.pool_start, len(self.pool_ids) + offsets[:-1]])
             self.pool_size = np.concatenate([self.pool_size, np.diff(offsets)])
+            self.pool_check = np.concatenate([self.pool_check, check[example[new]]])
             self.pool_ids = np.concatenate([self.pool_ids, ids.astype("<u4")])
+        if (self.pool_check[at[which]] != check).any():  # two pre-tokens share a hash
+            return self._encode_chunks(texts)
         piece = at[which]
         size = self.pool_size[piece]
         raw = self.pool_ids[ragged(self.pool_start[piece], size)].tobytes()
@@ -145,6 +146,7 @@ class ChunkEncoder:
         self.pool_at: dict[int, int] = {}
         self.pool_used = 0
         self.pool_start = self.pool_size = np.zeros(0, np.int64)
+        self.pool_check = np.zeros(0, np.uint64)
         self.pool_ids = np.zeros(0, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -263,7 +265,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     ``sequence_id``, ``offset`` (in the sequence) and, if ids is set, ``ids``
     (the bytes).  A sequence belongs to one task, whose number is in its upper
     bits; a task's last tokens form sequences whose lengths are powers of two.
-    Repeated rows are packed one by one; other columns are not carried.
+    Repeated rows are packed one by one; other columns are not carried, so none
+    clashes, and an empty table gives no piece.  Texts of any length are taken whole.
+    Of cuts of equal cost the one with the earliest window start is taken.
     """
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     source = docs.select(quoted(id_col), quoted(text).alias("__text"))

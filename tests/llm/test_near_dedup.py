@@ -89,3 +89,40 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(7, 9), (9, 8)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, 8: 7, 9: 7}
+
+
+def test_ids_of_other_types_and_of_several_texts(spark):
+    rows = [(f"k{i:03}", t) for i, t in texts()]
+    got = collect(near_components(spark.createDataFrame(rows, "doc_id string, text string"), k=4, percent=80))
+    assert got == brute(rows, 4, 80)
+    a, b = "a b c d e f g h i j", "q r s t u v w x y z"
+    rows = [(5, a), (5, b), (6, a), (7, b), (4, "other words that stand alone"), (5, a)]
+    got = collect(near_components(spark.createDataFrame(rows, "doc_id int, text string"), k=4, percent=80))
+    assert got == {4: (2, 4, True), 5: (7, 5, True), 6: (7, 5, False), 7: (7, 5, False)}
+    assert sorted(r.doc_id for r in dedup_near(spark.createDataFrame(rows, "doc_id int, text string"), k=4).collect()) == [4, 5]
+
+
+def test_a_bucket_of_many_components(spark, monkeypatch):
+    # a shared passage puts texts of several groups and sizes into the same buckets
+    monkeypatch.setattr("isobath.llm.near_dedup.BLOCK", 4)
+    monkeypatch.setattr("isobath.llm.near_dedup.BLOCK_BYTES", 4000)
+    monkeypatch.setattr("isobath.llm.near_dedup.PIVOT_PAIRS", 3)
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(120)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(rng.choice([20, 40, 90]))]
+        for c in range(rng.randrange(1, 12)):
+            w = shared + own
+            for j in rng.sample(range(len(w)), rng.randrange(0, 6)):
+                w[j] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collect(near_components(df, k=4, percent=80)) == brute(rows, 4, 80)
+
+
+def test_words_of_weak_hashes_differ(spark):
+    bits = [i.bit_count() & 1 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("ab"[b] for b in bits))]
+    got = collect(near_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=80))
+    assert {i: r[1] for i, r in got.items()} == {1: 1, 2: 2, 3: 1}

@@ -113,3 +113,15 @@ def test_nulls_empty_repeats_and_ids(spark):
     check(got, docs)
     assert all(len(r.ids) == 4 * r.length for r in got)
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_words_of_weak_hashes_differ(monkeypatch):
+    bits = [i.bit_count() & 1 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "a bc a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ChunkEncoder(PATH).encode(texts)] == library(texts)
+    # pre-tokens that share a hash fall back to whole chunks
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    texts = ["one two six ten", "abc abd xyz", "longer wordss letter"]
+    encoder = ChunkEncoder(PATH)
+    for own in texts:
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([own])] == library([own])
