@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from isobath.llm.common import quoted, with_fields
+from isobath.llm.common import map_arrow, quoted, with_fields
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
@@ -104,7 +104,8 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, sample: int = SAMP
     """Fit on about sample labelled rows of each language, chosen by a hash of the order column.
 
     Only rows with a language and a letter in the text count.  Document
-    frequencies come from the same sample.
+    frequencies come from all of these rows.  One small group a language is kept on
+    the driver, so languages are taken to be some thousands at most.
     """
     rows = docs.select(quoted(text).alias("text"), quoted(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(order, F.lit("sample")), F.lit(1_000_000)).alias("u"))
     rows = rows.filter("lang IS NOT NULL")
@@ -117,14 +118,14 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, sample: int = SAMP
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and has_letter(t):
-                    total += term_counts([t])[0] > 0
-                    n += 1
+            known = [t for t in batch.column(0).to_pylist() if t and has_letter(t)]
+            n += len(known)
+            for i in range(0, len(known), 64):
+                total += np.count_nonzero(term_counts(known[i : i + 64]), axis=0)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int32()), pa.array([n, *total[found].tolist()], pa.int64())], ["d", "n"])
 
-    df = chosen.select("text").mapInArrow(frequencies, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect()
+    df = rows.select("text").mapInArrow(frequencies, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect()
     counts = {r.d: r.n for r in df}
     n = counts.pop(-1, 0)
     seen = np.zeros(DIMENSIONS)
@@ -169,7 +170,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays += [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [x for x in batch.schema.names if x != "__text"] + names)
 
-    return kept.mapInArrow(predict, schema)
+    return map_arrow(kept, predict, schema)
 
 
 def held_out(id_col: str) -> Column:
