@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from isobath.llm.common import join_checked, materialise, quoted
 
-#: Template words of a window.
+#: Template words of a window; shorter items have one window of their own length.
 WINDOW = 5
+#: Template words below which an item only matches a text that equals it as a whole: one or two words stand in any text.
+LEAST = 3
 #: Share of an item's distinct windows that a document must hold.
 COVERAGE = 0.5
 #: Share of the pairs of an item's and a document's value that must be explained by one value each.
@@ -53,23 +55,27 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def _hash(words: Column, i: Column, window: int) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(window)])
+def _places(words: Column, lengths: list[int]) -> Column:
+    """(h, pos, n) of all windows of the given lengths, and of the whole of a text below LEAST words."""
 
+    def hashed(i: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)])
 
-def _windows(words: Column, window: int) -> Column:
-    """The hashes of all windows; words fewer than a window are one window, no words none."""
-    places = F.sequence(F.lit(0), F.greatest(F.size(words) - window, F.lit(0)))
-    return F.when(F.size(words) > 0, F.transform(places, lambda i: _hash(words, i, window)))
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        each = F.transform(starts, lambda i: F.struct(hashed(i, n).alias("h"), i.alias("pos"), F.lit(n).alias("n")))
+        return F.when(F.size(words) >= n, each)
 
+    none = F.array().cast("array<struct<h:bigint,pos:int,n:int>>")
+    whole = F.array(F.struct(F.xxhash64(F.lit("whole"), F.array_join(words, " ")).alias("h"), F.lit(0).alias("pos"), F.size(words).alias("n")))
+    return F.concat(F.when((F.size(words) > 0) & (F.size(words) < LEAST), whole).otherwise(none), *[F.coalesce(windows(n), none) for n in lengths])
 
-def _placed(df: DataFrame, window: int) -> DataFrame:
-    """df (with __text) with one row a window: h, pos, and the window's marked words."""
+
+def _placed(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """df (with __text) with one row a window: h, pos, n, and the window's marked words."""
     df = df.withColumn("__marked", marked_text(F.col("__text"))).withColumn("__raw", _split(F.col("__marked"))).withColumn("__t", _split(template_text(F.col("__marked"))))
-    df = df.withColumn("__h", _windows(F.col("__t"), window)).drop("__marked", "__t", "__text")
-    raw = F.col("__raw")
-    rows = F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.slice(raw, i + 1, window).alias("words")))
-    return df.withColumn("__w", F.explode(rows)).select("*", "__w.h", "__w.pos", "__w.words").drop("__raw", "__h", "__w")
+    df = df.withColumn("__w", F.explode(_places(F.col("__t"), lengths))).drop("__marked", "__t", "__text")
+    return df.select("*", "__w.h", "__w.pos", "__w.n", F.slice("__raw", F.col("__w.pos") + 1, F.col("__w.n")).alias("words")).drop("__raw", "__w")
 
 
 def _same_pair(a: str, b: str) -> Column:
@@ -117,28 +123,37 @@ def contamination(
     """One row for each document and benchmark item that it repeats, verbatim or with other values.
 
     Columns: id_col, item_col, ``n_windows`` (distinct windows of the item),
-    ``n_matched``, ``n_slots`` (values of the item that the matched windows cover),
+    ``n_matched`` (of them, by the document), ``n_slots`` (values of the item that the matched windows cover),
     ``n_changed`` (those that differ in the document) and ``kind`` (verbatim or
     reparameterised).  An item that occurs several times counts with the occurrence
-    that has the fewest changed values.  Texts of fewer template words than a window match only
-    texts that are equal as a whole.  Null and empty texts match nothing.  Rows of
-    one id are judged by their texts together where they agree, so repeated rows
-    give one row; a null id is reported as null.
+    that has the fewest changed values, so a document may hold one verbatim and
+    others changed.  An item of fewer template words than a window is one window of
+    its own length and counts with its own values only; an item below LEAST words
+    only matches a text that equals it as a whole.  Null and empty texts match
+    nothing; very long texts are taken whole.  Rows of one id are judged by their
+    texts together where they agree, so repeated rows give one row; texts of the
+    benchmark that share an item id are one item; a null id is reported as null.
+    An empty table on either side gives an empty one.  Other columns are not carried.
     """
     items = benchmark.select(quoted(item_col).alias("item"), quoted(item_text).alias("__text")).filter("__text IS NOT NULL")
-    placed = materialise(_placed(items, window), "benchmark")
-    sizes = placed.groupBy("item").agg(F.countDistinct("h").alias("n_windows"))
+    sized = items.withColumn("__n", F.size(_split(template_text(marked_text(F.col("__text"))))))
+    # at most window different numbers
+    short = [r[0] for r in sized.filter((F.col("__n") >= LEAST) & (F.col("__n") < window)).select("__n").distinct().collect()]
+    lengths = [window, *short]
+    placed = _placed(sized, lengths).filter((F.col("n") == F.least("__n", F.lit(window)))).drop("__n")
+    placed = materialise(placed, "benchmark")
+    sizes = placed.groupBy("item").agg(F.countDistinct("h").alias("n_windows"), (F.max("n") < window).alias("short"))
     key = placed.select("h", "item").distinct()
     base = docs.select(quoted(id_col).alias("id"), quoted(text).alias("__text")).filter("__text IS NOT NULL").withColumn("same", F.xxhash64("__text"))
     light = base.select("id", "same", template_text(marked_text(F.col("__text"))).alias("__t")).select("id", "same", _split(F.col("__t")).alias("__w"))
-    light = light.select("id", "same", F.explode(_windows(F.col("__w"), window)).alias("h"))
+    light = light.select("id", "same", F.explode(_places(F.col("__w"), lengths)["h"]).alias("h"))
     hits = join_checked(light, key, ["h"], limit=BROADCAST_WINDOWS).groupBy("id", "same", "item").agg(F.countDistinct("h").alias("n_matched"))
     suspects = materialise(hits.join(sizes, "item").filter(F.col("n_matched") >= coverage * F.col("n_windows")), "suspects")
 
     # values of suspects: only their texts are placed again
     who = suspects.select("id", "same").distinct()
     own = base.alias("b").join(F.broadcast(who).alias("w") if who.count() <= BROADCAST_WINDOWS else who.alias("w"), F.col("b.id").eqNullSafe(F.col("w.id")) & (F.col("b.same") == F.col("w.same")), "left_semi")
-    in_docs = _placed(own, window).dropDuplicates(["id", "same", "pos"])
+    in_docs = _placed(own, lengths).dropDuplicates(["id", "same", "pos", "n"])
     pair = suspects.select(F.col("id").alias("sid"), F.col("same").alias("ssame"), "item")
     wanted = in_docs.join(pair, F.col("id").eqNullSafe(F.col("sid")) & (F.col("same") == F.col("ssame"))).select("id", "same", "item", "h", "pos", F.col("words").alias("d"))
     met = materialise(wanted.join(placed.select("item", "h", F.col("pos").alias("ipos"), F.col("words").alias("b")), ["item", "h"]), "matches")
@@ -156,8 +171,9 @@ def contamination(
     ways = whole.unionByName(_occurrences(met, unsure, coverage, consistency)).unionByName(_scattered(met, unsure, coverage))
     found = ways.alias("y").join(suspects.alias("s"), _same_pair("y", "s"))
     found = found.groupBy(F.col("s.id").alias(id_col), F.col("s.item").alias(item_col)).agg(
-        F.max("s.n_windows").alias("n_windows"), F.max("s.n_matched").alias("n_matched"), F.min(F.struct("y.n_changed", (-F.col("y.n_slots")).alias("less"))).alias("__least")
+        F.max("s.n_windows").alias("n_windows"), F.max("s.n_matched").alias("n_matched"), F.max("s.short").alias("__short"), F.min(F.struct("y.n_changed", (-F.col("y.n_slots")).alias("less"))).alias("__least")
     )
+    found = found.filter(~F.col("__short") | (F.col("__least.n_changed") == 0))
     found = found.select(quoted(id_col), quoted(item_col), "n_windows", "n_matched", (-F.col("__least.less")).alias("n_slots"), F.col("__least.n_changed").alias("n_changed"))
     return found.withColumn("kind", F.when(F.col("n_changed") == 0, "verbatim").otherwise("reparameterised"))
 

@@ -85,6 +85,17 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [4]
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Where is Oslo?"), (2, "Yes no"), (3, "name 4 red rivers"), (4, "Who wrote it?"), (5, "...")], "item_id long, text string")
+    rows = [
+        (1, "They asked: where is Oslo? Nobody knew."), (2, "well yes no perhaps"), (3, "yes NO"), (4, "please name 4 red rivers now"), (5, "please name 5 red rivers now"),
+        (6, "who wrote it"), (7, "who wrote"), (8, "..."), (9, "who wrote it " * 3000), (10, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination(docs, bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (6, 4), (9, 4)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, QUESTION, 2)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
