@@ -1,11 +1,15 @@
 """Personal data by weak supervision.
 
-Candidates come from strict patterns (the base, always kept) and from looser
-ones.  Six labelers vote on each candidate: pattern, checksum, gazetteer,
-context, boundary and variety.  Votes are counted over the whole corpus by kind
-and vote pattern, a table of bounded size, on which expectation-maximisation
-estimates every labeler's reliability.  Its posteriors are the soft labels that
-train the final classifier of spans, a logistic model over votes and kinds.
+Candidates come from strict patterns (the base, always kept), from strict matches
+that fail their test (never reported, but they show how labelers err) and from
+looser patterns.  Six labelers vote on each candidate: pattern, checksum,
+gazetteer, context, boundary and variety.  The gazetteer is counted over the
+corpus: names, top-level domains, calling codes and the like that stand in the
+base or in titled names of several documents.  Votes are counted over the whole
+corpus by kind and vote pattern, a table of bounded size, on which
+expectation-maximisation estimates every labeler's reliability.  Its posteriors
+are the soft labels that train the final classifier of spans, a logistic model
+over votes and kinds, which scores base spans as well.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from isobath.llm.common import materialise, quoted, with_fields
+from isobath.llm.common import map_arrow, materialise, quoted, with_fields
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "person"]
 LABELERS = ["pattern", "checksum", "gazetteer", "context", "boundary", "variety"]
@@ -27,10 +31,11 @@ LABELERS = ["pattern", "checksum", "gazetteer", "context", "boundary", "variety"
 THRESHOLD = 0.8
 #: Characters before a candidate that the context labeler reads.
 CONTEXT = 48
+#: Documents that must hold a key of the gazetteer, and how many keys it has, the most frequent ones.
+GAZETTEER_DOCS, GAZETTEER = 3, 10_000
+#: The place of the gazetteer's vote in the vote code.
+GAZETTEER_DIGIT = 3**3
 
-DOMAINS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "info", "co", "us", "ca", "au", "ch", "at", "be", "jp", "in", "br"}
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98")
-NAMES = {"james", "john", "robert", "mary", "maria", "anna", "jean", "marie", "pierre", "jose", "juan", "carlos", "peter", "hans", "karl", "laura", "david", "sarah", "thomas", "michael", "linda", "susan", "paul", "mark", "julia", "emma"}
 CUES = {
     "email": r"e-?mail|mail|contact|correo|courriel", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|master|amex|karte|carte|tarjeta|credit",
     "phone": r"phone|tel\b|tel[.:]|call|mobile|cell|fax|fon\b", "ssn": r"ssn|social security|national id", "iban": r"iban|account|konto|compte|cuenta", "person": r"name|contact|author|patient|customer|signed",
@@ -44,12 +49,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z]{2,10}"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z]{2,}+"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "person": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?"),
+    "person": re.compile(r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?|[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) (\p)(?: (\p))?".replace(r"\p", "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++")),
 }
+_WORD = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]{3,}+")
 _CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
 _AGAINST = re.compile(AGAINST, re.I)
 
@@ -101,47 +107,66 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return good, failed
 
 
+def _keys(kind: str, own: str, digits: str) -> list[str]:
+    """What the gazetteer may know of a candidate."""
+    if kind == "email":
+        local, _, host = _parted(own)
+        return ["top:" + re.split(r"[^A-Za-z]+", host)[-1].lower()] + ["name:" + w.lower() for w in _WORD.findall(local)]
+    if kind == "person":
+        m = _LOOSE["person"].fullmatch(own)
+        return ["name:" + w.lower() for w in (m.groups() if m else ()) if w]
+    if kind == "phone":
+        return ["call:" + digits[:2]] if own[0] == "+" else ["area:" + digits[:3]]
+    return [{"ip": "net:", "card": "bin:", "iban": "land:", "ssn": "area:"}[kind] + (own[:2] if kind == "iban" else digits[:1] if kind == "card" else own.split(".")[0] if kind == "ip" else digits[:3])]
+
+
+def _parted(own: str) -> tuple[str, str, str]:
+    m = re.search(r"@| ?[\[(](?:at|AT)[\])] ?", own)
+    return own[: m.start()], m[0], own[m.end() :]
+
+
 def _votes(text: str, kind: str, s: int, e: int, strict: bool) -> int:
-    """The labelers' votes (0 against, 1 none, 2 for) as digits to base 3."""
+    """The labelers' votes (0 against, 1 none, 2 for) as digits to base 3; the gazetteer's digit is left 0."""
     own = text[s:e]
     digits = _digits(own)
     before = text[max(0, s - CONTEXT) : s]
-    checksum = gazetteer = 1
-    if kind == "email":
-        gazetteer = 2 if own.rpartition(".")[2].rstrip("])").lower() in DOMAINS else 0
-    elif kind == "ip":
+    checksum = 1
+    if kind == "ip":
         checksum = 2 if _octets(own) else 0
     elif kind == "card":
         checksum = 2 if luhn(digits) else 0
-        gazetteer = 2 if digits[0] in "3456" else 0
     elif kind == "phone":
         checksum = 2 if 9 <= len(digits) <= 15 else 0
-        gazetteer = 2 if own[0] == "+" and digits.startswith(CALLING) else 1
     elif kind == "ssn":
         checksum = 0 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     elif kind == "iban":
         checksum = 2 if _iban(own) else 0
-    else:
-        gazetteer = 2 if any(w.lower() in NAMES for w in own.split()[1:]) else 1
     context = 2 if _CUES[kind].search(before) else 0 if _AGAINST.search(before) else 1
     free = (s == 0 or not (text[s - 1].isalnum() or text[s - 1] in "._-")) and (e == len(text) or not (text[e].isalnum() or text[e] in "_-"))
     variety = 0 if digits and len(set(digits)) <= 2 and len(digits) > 6 else 1
     out = 0
-    for v in (2 if strict else 0, checksum, gazetteer, context, 2 if free else 0, variety):
+    for v in (2 if strict else 0, checksum, 0, context, 2 if free else 0, variety):
         out = out * 3 + v
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """(kind, start, end, base, votes) of every candidate; those outside the base overlap no base span."""
+BASE, FAILED, LOOSE = 0, 1, 2
+
+
+def candidates(text: str) -> list[tuple[int, int, int, int, int, list[str]]]:
+    """(kind, start, end, sort, votes, keys) of every candidate; sort is BASE, FAILED or LOOSE, and loose ones overlap no base span."""
     base, failed = base_spans(text)
-    loose = list(failed)
+    loose = []
     digit = bool(base) or bool(_DIGIT.search(text))
     for kind, pattern in _LOOSE.items():
         needed = digit if kind in ("phone", "ssn", "iban") else ("at" in text or "AT" in text) and ("[" in text or "(" in text) if kind == "email" else True
         if needed:
             loose += [(KINDS.index(kind), *m.span()) for m in pattern.finditer(text)]
-    out = [(k, s, e, True, _votes(text, KINDS[k], s, e, True)) for k, s, e in base]
+
+    def judged(k: int, s: int, e: int, sort: int) -> tuple[int, int, int, int, int, list[str]]:
+        return k, s, e, sort, _votes(text, KINDS[k], s, e, sort != LOOSE), _keys(KINDS[k], text[s:e], _digits(text[s:e]))
+
+    out = [judged(k, s, e, BASE) for k, s, e in base] + [judged(k, s, e, FAILED) for k, s, e in failed]
     if loose:
         # one sweep over spans sorted by their start: base spans first win, then earlier ones
         taken = sorted((s, e) for _, s, e in base)
@@ -153,7 +178,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
         for k, s, e in sorted(set(loose), key=lambda x: (x[1], -x[2], x[0])):
             i = int(np.searchsorted(starts, e)) - 1
             if s >= last and not (i >= 0 and reach[i] > s):
-                out.append((k, s, e, False, _votes(text, KINDS[k], s, e, False)))
+                out.append(judged(k, s, e, LOOSE))
                 last = e
     return out
 
@@ -192,43 +217,62 @@ def learn(counts: dict[tuple[int, int], int], rounds: int = 60) -> dict[tuple[in
     return dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()))
 
 
-_CANDIDATE = StructType([StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("base", BooleanType()), StructField("votes", IntegerType())])
+_CANDIDATE = StructType(
+    [StructField(n, IntegerType()) for n in ("kind", "start", "end", "sort", "votes")] + [StructField("keys", ArrayType(StringType()))]
+)
+
+
+def gazetteer(rows: DataFrame, docs: int = GAZETTEER_DOCS, size: int = GAZETTEER) -> list[str]:
+    """The most frequent keys of base spans and titled names that at least docs rows hold."""
+    sure = F.filter("__found", lambda c: (c["sort"] == BASE) | (c["kind"] == KINDS.index("person")))
+    keys = rows.select(F.explode(F.array_distinct(F.flatten(F.transform(sure, lambda c: c["keys"])))).alias("key"))
+    known = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= docs)
+    return [r.key for r in known.orderBy(F.desc("n"), "key").limit(size).collect()]
 
 
 def detect(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the text, with ``spans``: array of (kind, start, end, base, score), by kind as in KINDS, then start.
 
     Offsets are code points, ends exclusive.  Base spans are all there; the others
-    have a probability of at least threshold and overlap no base span.  A null or
-    empty text has none.  Rows are judged one by one by the votes of the whole
-    table; other columns stay, a column named spans is replaced.
+    have a probability of at least threshold and overlap no base span.  Strict
+    matches that fail their test are never reported.  A null or empty text has none;
+    very long texts are taken whole.  Rows are judged one by one by the votes of the
+    whole table, repeated rows alike; other columns stay, a column named spans is
+    replaced, an empty table gives an empty one.
     """
     added = StructType([StructField("__found", ArrayType(_CANDIDATE))])
     source = docs.withColumn("__text", quoted(text))
-    source = source.drop(*[c for c in docs.columns if c in (text, "spans")])
+    source = source.select(*[quoted(c) for c in source.columns if c != text and c.lower() != "spans"])
     kept, schema = with_fields(source, added)
     schema = StructType([f for f in schema if f.name != "__text"])
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32())]))
+    names = [f.name for f in _CANDIDATE]
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in names[:-1]] + [("keys", pa.list_(pa.string()))]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("__text")
-            found = [[dict(zip(("kind", "start", "end", "base", "votes"), c)) for c in candidates(t.as_py() or "")] for t in batch.column(at)]
+            found = [[dict(zip(names, c)) for c in candidates(t.as_py() or "")] for t in batch.column(at)]
             arrays = [batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "__text"] + ["__found"])
 
-    rows = materialise(kept.mapInArrow(find, schema), "candidates")
+    rows = materialise(map_arrow(kept, find, schema), "candidates")
+    known = gazetteer(rows)
+
+    def voted(c: Column) -> Column:
+        vote = F.when(F.size(c["keys"]) == 0, 1).when(F.exists(c["keys"], lambda k: k.isin(known)), 2).otherwise(0) if known else F.lit(1)
+        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["sort"].alias("sort"), (c["votes"] + vote * GAZETTEER_DIGIT).alias("votes"))
+
+    rows = rows.withColumn("__found", F.transform("__found", voted))
     table = rows.select(F.explode("__found").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n"))
     # at most len(KINDS) * 3 ** len(LABELERS) rows
     score = learn({(r.kind, r.votes): r.n for r in table.collect()})
     scores = F.create_map(*[x for (k, v), p in score.items() for x in (F.lit(k * 1000 + v), F.lit(p))]) if score else F.create_map(F.lit(-1), F.lit(0.0))
-    names = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, KINDS))
 
     def scored(c: Column) -> Column:
-        return F.struct(F.get(names, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), scores[c["kind"] * 1000 + c["votes"]].alias("score"))
+        return F.struct(F.get(kinds, c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (c["sort"] == BASE).alias("base"), scores[c["kind"] * 1000 + c["votes"]].alias("score"))
 
-    order = F.sort_array(F.col("__found"))
-    every = F.transform(order, scored)
+    every = F.transform(F.sort_array(F.filter("__found", lambda c: c["sort"] != FAILED)), scored)
     return rows.withColumn("spans", F.filter(every, lambda s: s["base"] | (s["score"] >= threshold))).drop("__found")
 
 

@@ -65,3 +65,33 @@ def test_edge_cases(spark):
     want = [(1, []), (2, []), (3, mail), (3, mail), (None, [("phone", 2, 16, True)])]
     assert sorted(((r.doc_id, [(s.kind, s.start, s.end, s.base) for s in r.spans]) for r in got), key=str) == want
     assert detect(spark.createDataFrame(rows, "doc_id long, text string, spans int").limit(0)).count() == 0
+    clash = detect(spark.createDataFrame([(1, "a@b.co", 3, 4)], "doc_id long, text string, Spans int, `a.b` int"))
+    assert clash.columns == ["doc_id", "a.b", "spans"] and clash.first()["a.b"] == 4
+
+
+def test_classifier_adds_planted_spans_and_leaves_decoys(spark):
+    rng = random.Random(6)
+    first, last = ["maria", "peter", "laura", "hans", "emma", "carlos"], ["lopez", "meyer", "dubois", "smith", "rossi"]
+    rows, planted, decoys = [], set(), set()
+    for i in range(900):
+        a, b = rng.choice(first), rng.choice(last)
+        head, tail = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(rng.randrange(1, 9))), " and so on"
+        part = rng.choice(["mail", "at", "at", "ssn", "name", "card", "badcard", "order"])
+        text = {
+            "mail": f"{head} contact {a}.{b}@example.org{tail}", "at": f"{head} contact {a}.{b} [at] example [dot] org{tail}", "ssn": f"{head} national id 523-45-{rng.randrange(1000, 9999)}{tail}",
+            "name": f"{head} signed Dr. {a.title()} {b.title()}{tail}", "card": f"{head} card 4111111111111111{tail}", "badcard": f"{head} order 4111111111111112{tail}", "order": f"{head} order model 000-00-{rng.randrange(1000, 9999)}{tail}",
+        }[part]
+        rows.append((i, text))
+        planted |= {i} if part in ("at", "name") else set()
+        decoys |= {i} if part in ("badcard", "order") else set()
+    got = {r.doc_id: [s for s in r.spans if not s.base] for r in detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {i for i, own in got.items() if own}
+    assert len(added & planted) >= 0.9 * len(planted)
+    assert not added & decoys
+    assert {s.kind for i in added & planted for s in got[i]} == {"email", "person"}
+
+
+def test_failed_matches_are_not_reported(spark):
+    rows = [(1, "ip 300.1.1.1 card 4111111111111112 call +12 34"), (2, "card 4111111111111111")]
+    got = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in detect(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.0).collect()}
+    assert got == {1: [], 2: [("card", True)]}
