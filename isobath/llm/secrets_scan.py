@@ -3,7 +3,8 @@
 Long tokens are candidates.  For each the encoding is inferred from its
 characters, and three statistics are taken: chi-squared against a uniform
 alphabet, runs of character classes, and serial correlation of symbol values.
-Each is compared with what text-like tokens of that length and encoding give;
+Each is compared with what text-like tokens of that length and encoding give,
+estimated over the corpus' distinct tokens that a random string would not give;
 the combined score has a one-sided p-value.  False discoveries are controlled
 within each range of lengths over the whole corpus, by the procedure of
 Benjamini and Hochberg on a histogram of p-values.
@@ -31,8 +32,10 @@ ENCODINGS = [
 LENGTHS = [16, 20, 24, 32, 48, 96]
 #: Share of false discoveries that is accepted.
 FDR = 0.01
-#: Of text-like tokens: share of neighbours in different character classes, and correlation of neighbouring classes.
+#: Of text-like tokens before any is seen: share of neighbours in different character classes, and correlation of neighbouring symbols.
 TEXT_CHANGES, TEXT_CORRELATION = 0.2, 0.5
+#: Tokens that these and the alphabets' squares count for beside those of the corpus.
+PRIOR_TOKENS = 200.0
 #: Deviations from a random string of the encoding beyond which a token is not taken for one.
 RANDOM_DEVIATIONS = 4.0
 #: Steps of -log10(p) in the histogram, and its last step.
@@ -77,14 +80,13 @@ def _tail_log(z: Column) -> Column:
     return (F.log(F.lit(2.0)) + 0.717 * z + 0.416 * z * z) / F.log(F.lit(10.0))
 
 
-def _with_battery(tokens: DataFrame) -> DataFrame:
-    """tokens (with own) with encoding, score (deviations from text), looks_random, bin and step."""
+def _statistics(tokens: DataFrame) -> DataFrame:
+    """tokens (with own) with enc, n, k (symbols of the alphabet), chi, squares, changes, r and looks_random."""
     pick = F.lit(len(ENCODINGS) - 1)
     for i in range(len(ENCODINGS) - 2, -1, -1):
         pick = F.when(F.col("own").rlike(ENCODINGS[i][1]), F.lit(i)).otherwise(pick)
     df = tokens.withColumn("enc", pick)
     df = df.withColumn("alphabet", F.get(F.array(*[F.lit(e[2]) for e in ENCODINGS]), F.col("enc")))
-    df = df.withColumn("squares", F.get(F.array(*[F.lit(e[3]) for e in ENCODINGS]), F.col("enc")))
     df = df.withColumn("c", F.split("own", "")).withColumn("n", F.size("c").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
     chars = F.col("c")
     df = df.withColumn("v", F.transform("c", lambda x: F.instr(F.col("alphabet"), x).cast("double")))
@@ -96,6 +98,7 @@ def _with_battery(tokens: DataFrame) -> DataFrame:
     def add(a: Column, b: Column) -> Column:
         return a + b
 
+    df = df.withColumn("squares", F.aggregate(F.transform(counts, lambda x: x * (x - 1)), zero, add) / (F.col("n") * (F.col("n") - 1)))
     df = df.withColumn("chi", F.col("k") / F.col("n") * F.aggregate(F.transform(counts, lambda x: x * x), zero, add) - F.col("n"))
     pairs = F.sequence(F.lit(1), F.size("c") - 1)
     v, g = F.col("v"), F.col("g")
@@ -116,17 +119,35 @@ def _with_battery(tokens: DataFrame) -> DataFrame:
     looks = (F.col("enc") != 0) & (n1 > 0) & (n0 > 0)
     for d in deviations:
         looks = looks & (F.abs(d) <= RANDOM_DEVIATIONS)
-    # against text: squares as in text, few changes of class, correlated neighbours
-    text_chi = k * (1 + (n - 1) * F.col("squares")) - n
-    text_spread = F.sqrt(2 * (k - 1)) * k * F.col("squares")
-    single = F.col("enc").isin(4)
+    df = df.withColumn("r", r).withColumn("looks_random", looks)
+    return df.drop("alphabet", "c", "v", "g", "high", "runs", "mean", "var", "cov")
+
+
+def text_null(tokens: DataFrame) -> list[tuple[float, float, float]]:
+    """(squares, changes, correlation) of text-like tokens of each encoding: the means over tokens that do not look random, with the constants as a prior."""
+    means = [F.avg(x) for x in ("squares", F.col("changes") / (F.col("n") - 1), "r")]
+    # one row an encoding
+    seen = {r[0]: r[1:] for r in tokens.filter("NOT looks_random").groupBy("enc").agg(F.count("*"), *means).collect()}
+    out = []
+    for i, e in enumerate(ENCODINGS):
+        n, *own = seen.get(i, (0, 0.0, 0.0, 0.0))
+        out.append(tuple((PRIOR_TOKENS * p + n * x) / (PRIOR_TOKENS + n) for p, x in zip((e[3], TEXT_CHANGES, TEXT_CORRELATION), own)))
+    return out
+
+
+def _scored(tokens: DataFrame, null: list[tuple[float, float, float]]) -> DataFrame:
+    """tokens with score (deviations from text), bin and step."""
+    squares, change, correlation = (F.get(F.array(*[F.lit(float(e[j])) for e in null]), F.col("enc")) for j in range(3))
+    change = F.least(F.greatest(change, F.lit(0.02)), F.lit(0.98))
+    n, k = F.col("n"), F.col("k")
+    text_chi = k * (1 + (n - 1) * squares) - n
+    text_spread = F.sqrt(2 * (k - 1)) * k * squares
     z = (text_chi - F.col("chi")) / text_spread
-    z = z + F.when(single, 0.0).otherwise((F.col("changes") - TEXT_CHANGES * (n - 1)) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES)))
-    z = (z + (TEXT_CORRELATION - r) * F.sqrt(n)) / F.sqrt(F.lit(3.0))
-    df = df.withColumn("score", z).withColumn("looks_random", looks)
-    step = F.when(looks & (F.col("score") > 0), F.least(F.floor(_tail_log(F.col("score")) / STEP), F.lit(LAST)).cast("int")).otherwise(0)
-    bin_ = F.size(F.filter(F.array(*map(F.lit, LENGTHS)), lambda x: x <= F.size("c")))
-    return df.withColumn("step", step).withColumn("bin", bin_)
+    z = z + F.when(F.col("enc") == 4, 0.0).otherwise((F.col("changes") - change * (n - 1)) / F.sqrt((n - 1) * change * (1 - change)))
+    z = (z + (correlation - F.col("r")) * F.sqrt(n)) / F.sqrt(F.lit(3.0))
+    df = tokens.withColumn("score", z)
+    step = F.when(F.col("looks_random") & (F.col("score") > 0), F.least(F.floor(_tail_log(F.col("score")) / STEP), F.lit(LAST)).cast("int")).otherwise(0)
+    return df.withColumn("step", step).withColumn("bin", F.size(F.filter(F.array(*map(F.lit, LENGTHS)), lambda x: x <= n)))
 
 
 def thresholds(histogram: DataFrame, fdr: float) -> dict[int, int]:
@@ -144,11 +165,12 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
 
     Offsets are code points, ends exclusive.  assign, access and hex are the base
     and always there; a random span is a long token that the battery accepts and
-    that overlaps no base span.  Null and empty texts have no spans.  Rows are
-    judged one by one by thresholds from the whole table; other columns stay, a
-    column named spans is replaced.
+    that overlaps no base span.  Null and empty texts have no spans; very long texts
+    are taken whole.  Rows are judged one by one by thresholds from the whole table,
+    repeated rows alike; other columns stay, a column named spans in any case is
+    replaced, an empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in (text, "spans")]
+    kept = [c for c in docs.columns if c != text and c.lower() != "spans"]
     df = docs.select((F.struct(*map(quoted, kept)) if kept else F.lit(0)).alias("__row"), F.coalesce(quoted(text), F.lit("")).alias("__text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
         df = _located(df, name, pattern)
@@ -160,8 +182,8 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     df = materialise(df.select("__row", "__base", tokens.alias("__token"), F.monotonically_increasing_id().alias("__n")), "tokens")
     # a token's statistics depend on the token alone: equal ones are tested once and counted as often as they occur
     each = df.select("__n", F.explode("__token").alias("t")).select("__n", "t.start", "t.end", "t.own")
-    own = _with_battery(each.groupBy("own").agg(F.count("*").alias("times")))
-    own = materialise(own.select("own", "times", "bin", "step"), "battery")
+    own = materialise(_statistics(each.groupBy("own").agg(F.count("*").alias("times"))), "battery")
+    own = _scored(own, text_null(own))
     limit = F.lit(LAST + 1)
     for b, s in thresholds(own.groupBy("bin", "step").agg(F.sum("times").alias("n")), fdr).items():
         limit = F.when(F.col("bin") == b, F.lit(s)).otherwise(limit)

@@ -71,3 +71,5 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id, base_of(r)) for r in scan(df).collect()), key=str)
     assert got == [(1, []), (2, []), (3, []), (3, []), (None, [(0, 0, 18)])]
     assert scan(df.limit(0)).count() == 0
+    clash = scan(spark.createDataFrame([("token=abcdefghijkl", 3, 4)], "text string, Spans int, `a.b` int"))
+    assert clash.columns == ["a.b", "spans"] and (clash.first()["a.b"], len(clash.first().spans)) == (4, 1)
