@@ -76,27 +76,91 @@ def user_areas(areas: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(areas, "group_id")
 
 
-def visible(catalog: DataFrame, areas: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
-    """The rasters that a user who is no admin may list: those that meet any of the user's areas."""
+def visible(catalog: DataFrame, areas: DataFrame, members: DataFrame, user_id: int, role: str = "viewer") -> DataFrame:
+    """The rasters that a user may list: an administrator all, others those that meet any of the user's areas."""
+    if role == "admin":
+        return catalog
     own = user_areas(areas, members).filter(F.col("user_id") == user_id)
     return meeting(catalog, own.select(*[F.col(c).alias(f"w{c}") for c in ("xmin", "ymin", "xmax", "ymax")]), "left_semi")
 
 
-def access(catalog: DataFrame, areas: DataFrame, members: DataFrame, level: str) -> DataFrame:
-    """(user_id, id) of each user and raster for which an area of at least that level meets the raster."""
-    able = user_areas(areas, members).filter(rank_of(F.col("access_level")) >= RANKS.get(level, 0))
+def group_access(catalog: DataFrame, areas: DataFrame, level: str) -> DataFrame:
+    """(group_id, id) of each group and raster for which an area of at least that level meets the raster."""
+    able = areas.filter(rank_of(F.col("access_level")) >= RANKS.get(level, 0))
     able = able.select("group_id", *[F.col(c).alias(f"w{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).distinct()
-    return meeting(catalog, able).select("id", "group_id").join(members, "group_id").select("user_id", "id").distinct()
+    return meeting(catalog, able).select("group_id", "id").distinct()
 
 
-def tile_members(tiles: DataFrame, catalog: DataFrame, low: int = 3, high: int = 20) -> DataFrame:
-    """(z, x, y, id, paint) of the ready rasters of each tile; later dates paint over earlier ones, undated ones last of all."""
+def access(catalog: DataFrame, areas: DataFrame, members: DataFrame, level: str) -> DataFrame:
+    """(user_id, id) of each given user and raster that one of the user's groups opens at that level."""
+    own = areas.join(members, "group_id", "left_semi")
+    return group_access(catalog, own, level).join(members, "group_id").select("user_id", "id").distinct()
+
+
+def tile_boxes(tiles: DataFrame, low: int = 3, high: int = 20) -> DataFrame:
+    """tiles in the served zooms with their rectangles as wxmin .. wymax."""
     west, south, east, north = tile_lonlat(F.col("z"), F.col("x"), F.col("y"))
-    boxes = tiles.filter(F.col("z").between(low, high)).select("z", "x", "y", west.alias("wxmin"), south.alias("wymin"), east.alias("wxmax"), north.alias("wymax"))
-    ready = catalog.filter((F.col("processing_status") == "ready"))
-    pairs = meeting(ready, boxes, size=10.0).filter(F.col("min_zoom").isNull() | (F.col("min_zoom") <= F.col("z")))
+    return tiles.filter(F.col("z").between(low, high)).select("z", "x", "y", west.alias("wxmin"), south.alias("wymin"), east.alias("wxmax"), north.alias("wymax"))
+
+
+def tile_rasters(tiles: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(z, x, y and the catalogue's columns) of the ready rasters of each tile.
+
+    Tiles meet rasters in grid cells that fit the tile, so that the tiles of a deep
+    zoom do not all share a cell with every raster around: a tile names the cell of
+    its zoom, a raster the cells of all zooms asked for that it touches, and past
+    zoom 8 the cells stay those of zoom 8.
+    """
+    ready = catalog.filter("processing_status = 'ready' AND xmin IS NOT NULL")
+    boxes = tile_boxes(tiles).withColumn("level", F.least("z", F.lit(8)))
+    side = 360.0 / F.pow(F.lit(2.0), F.col("level"))
+    # a closed tile touches the neighbouring cells at its borders
+    def span(low: str, high: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))
+
+    b = boxes.withColumn("cx", F.explode(span("wxmin", "wxmax"))).withColumn("cy", F.explode(span("wymin", "wymax")))
+    levels = boxes.select("level").distinct()  # six at most
+    a = ready.join(F.broadcast(levels)).filter(F.col("min_zoom").isNull() | (F.col("level") == 8) | (F.col("min_zoom") <= F.col("level")))
+    a = a.withColumn("cx", F.explode(span("xmin", "xmax"))).withColumn("cy", F.explode(span("ymin", "ymax")))
+    touch = overlaps(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], *[F.col(c) for c in ("wxmin", "wymin", "wxmax", "wymax")])
+    first = (F.col("cx") == F.floor(F.greatest("xmin", "wxmin") / side)) & (F.col("cy") == F.floor(F.greatest("ymin", "wymin") / side))
+    pairs = a.join(b, ["level", "cx", "cy"]).filter(touch & first & (F.col("min_zoom").isNull() | (F.col("min_zoom") <= F.col("z"))))
+    return pairs.select("z", "x", "y", *catalog.columns)
+
+
+def tile_members(tiles: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(z, x, y, id, paint) of the ready rasters of each tile; later dates paint over earlier ones, undated ones last of all."""
     order = Window.partitionBy("z", "x", "y").orderBy(F.asc_nulls_last("acquisition_date"), "id")
-    return pairs.select("z", "x", "y", "id", F.row_number().over(order).alias("paint"))
+    return tile_rasters(tiles, catalog).select("z", "x", "y", "id", F.row_number().over(order).alias("paint"))
+
+
+def tile_keys(tiles: DataFrame, catalog: DataFrame, cutoff: Column | None = None, exact: Column | None = None) -> DataFrame:
+    """(z, x, y, key) of each tile: its place, the date filter and a digest of the rasters that it shows with their last change.
+
+    A cutoff adds the latest date shown, since a raster that comes late may change what the same cutoff shows.
+    """
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    shown = tile_rasters(tiles, catalog).select("z", "x", "y", "acquisition_date", F.concat_ws(":", F.col("id").cast("string"), F.date_format("updated_at", iso)).alias("item"))
+    # a tile's list is what the tile shows
+    found = tiles.join(shown.groupBy("z", "x", "y").agg(F.sort_array(F.collect_list("item")).alias("items"), F.max("acquisition_date").alias("latest")), ["z", "x", "y"], "left")
+    digest = F.when(F.col("items").isNull(), F.lit("0" * 12)).otherwise(F.substring(F.sha1(F.array_join("items", ",")), 1, 12))
+    if exact is not None:
+        day = F.date_format(exact, "yyyy-MM-dd")
+    elif cutoff is not None:
+        day = F.concat(F.lit("le:"), F.date_format(cutoff, iso), F.lit(":"), F.coalesce(F.date_format("latest", iso), F.lit("none")))
+    else:
+        day = F.lit("all")
+    return found.select("z", "x", "y", F.concat_ws(":", F.lit("sw:tile"), "z", "x", "y", day, digest).alias("key"))
+
+
+def open_layers(users: DataFrame, members: DataFrame, layers: DataFrame) -> DataFrame:
+    """(user_id, layer columns) of the layers that each user may see: an administrator all, others their own and those shared with one of their groups (shared_with)."""
+    people = users.select(F.col("id").alias("user_id"), "role")
+    groups = members.join(people.select("user_id"), "user_id", "left_semi")
+    shared = layers.withColumn("__group", F.explode("shared_with")).join(groups, F.col("__group") == F.col("group_id")).select("user_id", *layers.columns)
+    own = layers.join(people.select("user_id"), F.col("created_by") == F.col("user_id"))
+    every = layers.crossJoin(F.broadcast(people.filter("role = 'admin'").select("user_id")))  # what administrators see by definition
+    return shared.unionByName(own).unionByName(every).dropDuplicates(["user_id", "id"])
 
 
 def series_entries(entries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -111,7 +175,7 @@ def mixed_search(catalog: DataFrame, datasets: DataFrame, bbox=None, text: str |
     rasters = search_rasters(catalog, bbox, date_from, date_to, text=text).select(F.lit("raster").alias("result_type"), F.lit(0).alias("type_rank"), "id", "name", "description", "created_at")
     pattern = f"%{text}%" if text is not None else None
     vectors = where(datasets, F.col("name").ilike(pattern) | F.col("description").ilike(pattern) if pattern else None)
-    vectors = vectors.select(F.lit("vector").alias("result_type"), F.lit(1).alias("type_rank"), "id", "name", "description", F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    vectors = vectors.select(F.lit("vector").alias("result_type"), F.lit(1).alias("type_rank"), "id", "name", "description", "created_at")
     return rasters.unionByName(vectors)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,31 +68,37 @@ def block_mean(grid: DataFrame, height: int, width: int, most: int = 512) -> Dat
     return inside.groupBy("scene_id", F.floor(F.col("r") / step).alias("br"), F.floor(F.col("c") / step).alias("bc")).agg(F.round(F.avg("depth"), 2).alias("depth"))
 
 
-def pyramid(grid: DataFrame, height: int, width: int, least: int = 4) -> DataFrame:
-    """All overview levels by factors of two while the smaller side has at least `least` pixels."""
-    levels, level = None, 1
+def pyramid(grid: DataFrame, height: int, width: int, least: int = 256) -> DataFrame:
+    """All overview levels by factors of two while the smaller side has at least `least` pixels; each level is summed from the one before."""
+    sums = grid.select("scene_id", F.col("r").alias("br"), F.col("c").alias("bc"), F.col("depth").alias("s"), F.col("depth").isNotNull().cast("long").alias("k"))
+    out, level = [], 1
     while min(height, width) // 2**level >= least:
-        own = block_mean_by(grid, 2**level).withColumn("level", F.lit(level))
-        levels = own if levels is None else levels.unionByName(own)
+        sums = sums.groupBy("scene_id", F.floor(F.col("br") / 2).alias("br"), F.floor(F.col("bc") / 2).alias("bc")).agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        out.append(sums.withColumn("level", F.lit(level)))
         level += 1
-    return levels if levels is not None else block_mean_by(grid.limit(0), 1).withColumn("level", F.lit(0))
-
-
-def block_mean_by(grid: DataFrame, step: int) -> DataFrame:
-    return grid.groupBy("scene_id", F.floor(F.col("r") / step).alias("br"), F.floor(F.col("c") / step).alias("bc")).agg(F.round(F.avg("depth"), 6).alias("depth"))
+    every = reduce(DataFrame.unionByName, out) if out else sums.limit(0).withColumn("level", F.lit(0))
+    return every.select("scene_id", "br", "bc", F.round(F.col("s") / F.nullif("k", F.lit(0)), 6).alias("depth"), "level")
 
 
 def transect(grid: DataFrame, scenes: DataFrame, samples: int = 64) -> DataFrame:
     """Depth along the middle row at evenly spaced columns; metres ignore the latitude, as the product defines them."""
     n = F.least(F.lit(samples), F.col("width"))
     points = scenes.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("c", F.when(n > 1, F.floor(F.col("i") * (F.col("width") - 1) / (n - 1))).otherwise(0))
-    points = points.select("scene_id", "i", "c", F.floor(F.col("height") / 2).alias("r"), (F.col("i") * 0.125 / n * 111320.0).alias("distance_m"))
+    points = points.select("scene_id", "i", "c", F.floor(F.col("height") / 2).alias("r"), (F.col("c") * (F.col("east") - F.col("west")) / F.col("width") * 111320.0).alias("distance_m"))
     return points.join(grid.select("scene_id", "r", "c", "depth"), ["scene_id", "r", "c"], "left").select("scene_id", "i", F.round("distance_m", 1).alias("distance_m"), F.round("depth", 2).alias("depth"))
 
 
 def sounding_cells(soundings: DataFrame, low: float = 0.3, high: float = 25.0) -> DataFrame:
-    """The median sounding of each pixel; depths outside the range are left out."""
-    return soundings.filter(F.abs("depth").between(low, high)).groupBy("scene_id", "r", "c").agg(F.median(F.abs("depth")).alias("measured"))
+    """The median sounding of each pixel; depths outside the range are left out.
+
+    Soundings are numbered in their cell, so the middle ones are averaged by a plain
+    aggregate and the cells stay partitioned for a join on them.
+    """
+    kept = soundings.select("scene_id", "r", "c", F.abs("depth").alias("d")).filter(F.col("d").between(low, high))
+    cell = Window.partitionBy("scene_id", "r", "c")
+    placed = kept.withColumn("i", F.row_number().over(cell.orderBy("d"))).withColumn("n", F.count("*").over(cell))
+    middle = placed.filter((F.col("i") == F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.floor((F.col("n") + 2) / 2)))
+    return middle.groupBy("scene_id", "r", "c").agg(F.avg("d").alias("measured"))
 
 
 def calibration(pairs: DataFrame, least: int = 5) -> DataFrame:
@@ -117,9 +125,12 @@ def percentiles(pixels: DataFrame, band: str, nodata: int | None = None) -> Data
     return p.select("scene_id", lo.alias("lo"), F.when(hi <= lo, lo + 1).otherwise(hi).alias("hi"))
 
 
-def least_cloudy(scenes: DataFrame, rois: DataFrame, below: float) -> DataFrame:
-    """The least cloudy scene of each region of interest (roi_id, wxmin .. wymax); ties go to the smaller id."""
+def least_cloudy(scenes: DataFrame, rois: DataFrame, below: float, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The least cloudy scene of each region of interest (roi_id, wxmin .. wymax) in a closed range of days; ties go to the smaller id."""
     from isobath.operators.catalog import meeting
 
-    boxes = scenes.filter(F.col("cloud_cover") < below).select("scene_id", "cloud_cover", F.col("west").alias("xmin"), F.col("south").alias("ymin"), (F.col("west") + 0.125).alias("xmax"), (F.col("south") + 0.125).alias("ymax"))
+    days = [F.col("acquired") >= F.lit(first).cast("date")] * (first is not None) + [F.col("acquired") <= F.lit(last).cast("date")] * (last is not None)
+    for day in days:
+        scenes = scenes.filter(day)
+    boxes = scenes.filter(F.col("cloud_cover") < below).select("scene_id", "cloud_cover", F.col("west").alias("xmin"), F.col("south").alias("ymin"), F.col("east").alias("xmax"), F.col("north").alias("ymax"))
     return meeting(boxes, rois, size=0.5).groupBy("roi_id").agg(F.min_by("scene_id", F.struct("cloud_cover", "scene_id")).alias("scene_id"), F.min("cloud_cover").alias("cloud_cover"))

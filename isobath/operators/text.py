@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 
 def parse_keywords(query: str) -> list[list[tuple[str, bool]]]:
-    """Groups of (term, wanted) joined by OR; a quoted phrase is one literal term, a leading - negates."""
+    """Groups of (term, wanted) joined by OR in any case; a quoted phrase is one literal term, an empty one stands in every text, a leading - negates."""
     groups: list[list[tuple[str, bool]]] = [[]]
-    for quoted, plain in re.findall(r'"([^"]*)"|(\S+)', query):
-        if plain == "OR":
+    for part in re.finditer(r'"([^"]*)"|(\S+)', query):
+        phrase, plain = part.groups()
+        if phrase is not None:
+            groups[-1].append((phrase.lower(), True))
+        elif plain.upper() == "OR":
             groups.append([])
         elif plain.startswith("-") and len(plain) > 1:
             groups[-1].append((plain[1:].lower(), False))
-        elif quoted or plain:
-            groups[-1].append(((quoted or plain).lower(), True))
+        else:
+            groups[-1].append((plain.lower(), True))
     return [g for g in groups if g]
 
 

@@ -18,16 +18,15 @@ VIEWS = {
     "registered_apps": "SELECT 'app_' || CAST(r_regionkey AS STRING) AS app_name, r_name AS display_name FROM region",
     "group_allowed_apps": "SELECT n_nationkey AS group_id, 'app_' || CAST(n_regionkey AS STRING) AS app_name FROM nation",
     "raster_catalog": """SELECT o_orderkey AS id, 'scene ' || CAST(o_orderkey AS STRING) AS name, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'priority ' || o_orderpriority END AS description,
-        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS acquisition_date, o_orderdate AS created_at,
+        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS acquisition_date, o_orderdate AS created_at, o_orderdate + CAST(o_orderkey % 50 AS INT) * INTERVAL '1' HOUR AS updated_at,
         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE -180 + CAST((o_orderkey * 37) % 2800 AS DOUBLE) / 8 END AS xmin, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE -85 + CAST((o_orderkey * 53) % 1280 AS DOUBLE) / 8 END AS ymin,
         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE -180 + CAST((o_orderkey * 37) % 2800 AS DOUBLE) / 8 + 0.5e0 + CAST(o_orderkey % 7 AS DOUBLE) / 4 END AS xmax,
         CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE -85 + CAST((o_orderkey * 53) % 1280 AS DOUBLE) / 8 + 0.5e0 + CAST(o_orderkey % 7 AS DOUBLE) / 4 END AS ymax,
         CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderkey % 12 END AS min_zoom, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'processing' ELSE 'failed' END AS processing_status,
         o_orderpriority AS tag1, o_orderstatus AS tag2, o_custkey AS uploaded_by, CASE WHEN o_orderkey % 4 = 0 THEN 8 ELSE 16 END AS bit_depth, CASE WHEN o_orderkey % 6 = 0 THEN 'bathymetry' ELSE 'source' END AS source_kind FROM orders""",
-    "raster_timeseries": "SELECT c_custkey AS id, 'series ' || CAST(c_custkey AS STRING) AS name FROM customer WHERE c_custkey < 50",
-    "raster_timeseries_entries": "SELECT o_custkey AS timeseries_id, o_orderkey AS raster_id, o_orderkey % 50 AS sort_order FROM orders WHERE o_custkey < 50",
-    "all_timeseries_entries": "SELECT o_custkey AS timeseries_id, o_orderkey AS raster_id, o_orderkey % 50 AS sort_order FROM orders",
-    "vector_datasets": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'annotation layer' END AS description, s_suppkey * 3 AS created_by, s_nationkey AS shared_group, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE '5-LOW' END AS tag FROM supplier",
+    "raster_timeseries": "SELECT c_custkey AS id, 'series ' || CAST(c_custkey AS STRING) AS name FROM customer",
+    "raster_timeseries_entries": "SELECT o_custkey AS timeseries_id, o_orderkey AS raster_id, o_orderkey % 50 AS sort_order FROM orders",
+    "vector_datasets": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'annotation layer' END AS description, s_suppkey * 3 AS created_by, s_nationkey AS shared_group, TIMESTAMP '1996-01-02 00:00:00' + CAST(s_suppkey % 100 AS INT) * INTERVAL '1' DAY AS created_at, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE '5-LOW' END AS tag FROM supplier",
     "vector_features": """SELECT p_partkey AS id, p_partkey % 10 AS dataset_id, CASE WHEN p_partkey % 10 = 3 THEN 'Point' WHEN p_partkey % 4 = 0 THEN 'LineString' ELSE 'Polygon' END AS geometry_type,
         -170 + CAST((p_partkey * 29) % 2700 AS DOUBLE) / 8 AS xmin, -80 + CAST((p_partkey * 31) % 1250 AS DOUBLE) / 8 AS ymin, CASE WHEN p_partkey % 10 = 3 THEN CAST(0 AS DOUBLE) ELSE CAST(1 + p_partkey % 5 AS DOUBLE) / 8 END AS extent, p_name AS label FROM part WHERE p_partkey % 10 <> 7""",
     "audit_log": "SELECT event_id AS id, user_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE 'user_' || CAST(user_id AS STRING) END AS username, event_type AS action, CASE event_id % 4 WHEN 0 THEN 'raster' WHEN 1 THEN 'group' WHEN 2 THEN 'annotation' ELSE NULL END AS resource_type, CAST(event_id % 100 AS STRING) AS resource_id, props AS details, ts AS event_time FROM events",
@@ -35,14 +34,14 @@ VIEWS = {
         CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderdate END AS generated_at, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -180 + CAST((o_orderkey * 37) % 2880 AS DOUBLE) / 8 END AS lon, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -85 + CAST((o_orderkey * 53) % 1360 AS DOUBLE) / 8 END AS lat,
         CAST(o_orderkey % 25 AS DOUBLE) AS mean_m, CAST(o_custkey % 200 AS STRING) AS cache_key, o_orderkey AS depth_raster_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 5 = 0""",
     "jobs": "SELECT o_orderkey AS id, o_orderkey AS source_raster_id, CASE o_orderkey % 16 WHEN 0 THEN 'pending' WHEN 4 THEN 'running' WHEN 8 THEN 'done' ELSE 'failed' END AS status FROM orders WHERE o_orderkey % 4 = 0",
-    "scenes": "SELECT s_suppkey AS scene_id, CAST(50 AS DOUBLE) + CAST(s_suppkey % 40 AS DOUBLE) / 8 AS west, CAST(20 AS DOUBLE) + CAST(s_suppkey % 24 AS DOUBLE) / 8 AS south, 32 AS width, 32 AS height, CAST((s_suppkey * 7) % 80 AS DOUBLE) AS cloud_cover FROM supplier",
+    "scenes": "SELECT s_suppkey AS scene_id, CAST(50 AS DOUBLE) + CAST(s_suppkey % 40 AS DOUBLE) / 8 AS west, CAST(20 AS DOUBLE) + CAST(s_suppkey % 24 AS DOUBLE) / 8 AS south, CAST(50 AS DOUBLE) + CAST(s_suppkey % 40 + 1 AS DOUBLE) / 8 AS east, CAST(20 AS DOUBLE) + CAST(s_suppkey % 24 + 1 AS DOUBLE) / 8 AS north, 32 AS width, 32 AS height, CAST((s_suppkey * 7) % 80 AS DOUBLE) AS cloud_cover, DATE '2024-01-01' + CAST(s_suppkey % 60 AS INT) AS acquired FROM supplier",
     "pixels": """SELECT s_suppkey AS scene_id, a.r, b.c, 300 + (s_suppkey * 7919 + a.r * 31 + b.c * 17) % 1500 AS blue, 280 + (s_suppkey * 104729 + a.r * 29 + b.c * 13) % 1400 AS green, 120 + (s_suppkey * 1299709 + a.r * 23 + b.c * 19) % 900 AS red,
         CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 320 + (s_suppkey * 15485863 + a.r * 37 + b.c * 11) % 1300 END AS coastal, 60 + (s_suppkey * 7907 + a.r * 41 + b.c * 43) % 1600 AS nir,
         CASE (s_suppkey + CAST(floor(CAST(a.r AS DOUBLE) / 4) AS BIGINT) * 3 + CAST(floor(CAST(b.c AS DOUBLE) / 4) AS BIGINT) * 5) % 12 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 6 WHEN 6 THEN 6 WHEN 7 THEN 8 WHEN 8 THEN 9 WHEN 9 THEN 10 WHEN 10 THEN 11 ELSE 7 END AS scl
         FROM supplier CROSS JOIN (SELECT CAST(id AS BIGINT) AS r FROM seq32) a CROSS JOIN (SELECT CAST(id AS BIGINT) AS c FROM seq32) b""",
     "soundings": "SELECT l_suppkey AS scene_id, (l_orderkey * 7 + l_linenumber) % 32 AS r, (l_partkey * 5 + l_linenumber) % 32 AS c, 0.25e0 + CAST(l_quantity AS DOUBLE) / 2 AS depth FROM lineitem",
-    "tiles": "SELECT 4 AS z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b",
-    "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase' AND value < 5",
+    "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
+    "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase'",
     "cache_entries": "SELECT page_id AS cache_key, CAST(length(html) AS BIGINT) AS size_bytes, (page_id * 7919) % 1000003 AS atime FROM pages",
     "vendor_imd": "SELECT p_partkey AS bundle_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS sat_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 9 AS DOUBLE) / 8 ELSE CAST(p_partkey % 90 AS DOUBLE) END AS cloud_cover, CASE WHEN p_partkey % 10 = 0 THEN 'n/a' ELSE CAST(p_size AS STRING) END AS mean_sun_el FROM part",
 }
@@ -57,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f"FROM {base}" in text or f"JOIN {base}" in text:
             text = text.replace(f"FROM {base}", f"FROM {{{base}}}").replace(f"JOIN {base}", f"JOIN {{{base}}}")
             parts[base] = table(spark, sf_dir, base)
-    for seq in ("seq16", "seq32"):
+    for seq in ("seq5", "seq16", "seq32"):
         if seq in text:
             text = text.replace(seq, f"{{{seq}}}")
             parts[seq] = spark.range(int(seq[3:]))
@@ -67,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(query: str, *views: str) -> str:
     """query for DuckDB with the named views in front."""
     heads = [f"{v} AS ({VIEWS[v]})" for v in views]
-    for seq in ("seq16", "seq32"):
+    for seq in ("seq5", "seq16", "seq32"):
         if any(seq in h for h in heads):
             heads.insert(0, f"{seq} AS (SELECT range AS id FROM range({seq[3:]}))")
     return f"WITH {', '.join(heads)} {query}" if heads else query
