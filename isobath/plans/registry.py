@@ -371,10 +371,10 @@ def _(t):
 
 
 STOP_SQL = [f"[{', '.join(f'{s[c]}e0' for s in STOPS)}]" for c in range(3)]
-RAMP_SQL = ", ".join(f"CAST(sum(floor(list_extract({a}, i + 1) + (list_extract({a}, i + 2) - list_extract({a}, i + 1)) * (at - i))) AS BIGINT) AS {n}" for a, n in zip(STOP_SQL, ("red", "green", "blue")))
+RAMP_SQL = ", ".join(f"CAST(sum(floor(list_extract({a}, i + 1) + (list_extract({a}, i + 2) - list_extract({a}, i + 1)) * (pos - i))) AS BIGINT) AS {n}" for a, n in zip(STOP_SQL, ("red", "green", "blue")))
 
 
-@query("depth_ramp", f"SELECT * FROM (WITH {DEPTH} SELECT scene_id, {RAMP_SQL} FROM (SELECT scene_id, at, least(CAST(floor(at) AS INT), 4) AS i FROM (SELECT scene_id, greatest(0e0, least(1e0, depth / 25)) * 5 AS at FROM g WHERE depth IS NOT NULL)) GROUP BY scene_id)", ("pixels",))
+@query("depth_ramp", f"SELECT * FROM (WITH {DEPTH} SELECT scene_id, {RAMP_SQL} FROM (SELECT scene_id, pos, least(CAST(floor(pos) AS INT), 4) AS i FROM (SELECT scene_id, greatest(0e0, least(1e0, depth / 25)) * 5 AS pos FROM g WHERE depth IS NOT NULL)) GROUP BY scene_id)", ("pixels",))
 def _(t):
     grid = R.surrogate_depth(t("pixels")).filter("depth IS NOT NULL")
     return grid.select("scene_id", D.ramp(F.col("depth") / D.MAX_DEPTH, STOPS).alias("rgb")).groupBy("scene_id").agg(F.sum("rgb.r").alias("red"), F.sum("rgb.g").alias("green"), F.sum("rgb.b").alias("blue"))
@@ -481,6 +481,9 @@ def _(t):
     return T.latest(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
 
 
+from isobath.plans import keys as _keys  # noqa: E402, F401
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rasters of a viewport that a user may see, newest first."""
     found = C.visible(C.search_rasters(table(spark, sf_dir, "raster_catalog"), BOX, status="ready"), table(spark, sf_dir, "areas"), table(spark, sf_dir, "user_group_members"), USER)

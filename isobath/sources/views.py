@@ -42,6 +42,13 @@ VIEWS = {
     "soundings": "SELECT l_suppkey AS scene_id, (l_orderkey * 7 + l_linenumber) % 32 AS r, (l_partkey * 5 + l_linenumber) % 32 AS c, 0.25e0 + CAST(l_quantity AS DOUBLE) / 2 AS depth FROM lineitem",
     "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
     "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase'",
+    "requests": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '10.0.0.' || CAST(user_id % 250 AS STRING) || ', 172.16.0.1' WHEN 1 THEN ' 10.0.1.' || CAST(user_id % 250 AS STRING) WHEN 2 THEN NULL ELSE '' END AS forwarded,
+        CASE WHEN event_id % 12 = 2 THEN NULL ELSE '192.0.2.' || CAST(user_id % 250 AS STRING) END AS peer, CASE event_id % 5 WHEN 0 THEN '5/minute' WHEN 1 THEN ' 10 / HOUR ' WHEN 2 THEN 'x/day' WHEN 3 THEN '7' ELSE '3/fortnight' END AS limit_spec,
+        CASE event_id % 7 WHEN 0 THEN 'bytes=0-99' WHEN 1 THEN 'bytes=500-' WHEN 2 THEN 'bytes=-200' WHEN 3 THEN 'bytes=2000-2100' WHEN 4 THEN 'bytes=a-b' WHEN 5 THEN 'bytes=7' ELSE NULL END AS range_header, CAST(1000 AS BIGINT) AS file_size,
+        CASE event_id % 6 WHEN 0 THEN 'Top Secret/x' WHEN 1 THEN 'secret' WHEN 2 THEN 'CONFIDENTIAL' WHEN 3 THEN 'restricted use' WHEN 4 THEN 'open' ELSE NULL END AS marking, CASE event_id % 6 WHEN 0 THEN 'uint8' WHEN 1 THEN 'uint16' WHEN 2 THEN 'int16' WHEN 3 THEN 'float32' WHEN 4 THEN 'float64' ELSE 'complex' END AS dtype,
+        CASE event_id % 4 WHEN 0 THEN '2024-01-05T10:11:12Z' WHEN 1 THEN '2024-01-05T10:11:12+02:00' WHEN 2 THEN 'soon' ELSE NULL END AS stamp, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '2024-02-03' END AS day, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '04:05:06' END AS clock,
+        CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN chr(123) || '"view_angle": 12.5, "sensor": "A"' || chr(125) ELSE chr(123) || '"view_angle": "n/a"' || chr(125) END AS details FROM events""",
+    "raw_soundings": "SELECT o_orderkey AS id, o_custkey % 10 + 1 AS scene_id, CAST(50 AS DOUBLE) + CAST((o_custkey % 10 + 1) % 40 AS DOUBLE) / 8 + CAST(o_orderkey % 67 AS DOUBLE) / 512 - 1e0 / 256 AS lon, CAST(20 AS DOUBLE) + CAST((o_custkey % 10 + 1) % 24 AS DOUBLE) / 8 + CAST(o_orderkey * 5 % 67 AS DOUBLE) / 512 - 1e0 / 256 AS lat, CAST(0 - o_orderkey % 28 AS DOUBLE) AS depth FROM orders",
     "cache_entries": "SELECT page_id AS cache_key, CAST(length(html) AS BIGINT) AS size_bytes, (page_id * 7919) % 1000003 AS atime FROM pages",
     "vendor_imd": "SELECT p_partkey AS bundle_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS sat_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 9 AS DOUBLE) / 8 ELSE CAST(p_partkey % 90 AS DOUBLE) END AS cloud_cover, CASE WHEN p_partkey % 10 = 0 THEN 'n/a' ELSE CAST(p_size AS STRING) END AS mean_sun_el FROM part",
 }
