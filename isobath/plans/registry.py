@@ -481,6 +481,7 @@ def _(t):
     return T.latest(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
 
 
+from isobath.plans import changes as _changes  # noqa: E402, F401
 from isobath.plans import keys as _keys  # noqa: E402, F401
 
 

@@ -42,6 +42,9 @@ VIEWS = {
     "soundings": "SELECT l_suppkey AS scene_id, (l_orderkey * 7 + l_linenumber) % 32 AS r, (l_partkey * 5 + l_linenumber) % 32 AS c, 0.25e0 + CAST(l_quantity AS DOUBLE) / 2 AS depth FROM lineitem",
     "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
     "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase'",
+    "settings": "SELECT n_name AS key, 'region ' || CAST(n_regionkey AS STRING) AS value FROM nation",
+    "map_states": "SELECT o_orderkey AS id, o_custkey AS user_id, 'view ' || CAST(o_orderkey % 3 AS STRING) AS name, o_orderkey % 5 = 0 AS is_default, o_orderdate AS updated_at FROM orders",
+    "layer_changes": "SELECT event_id AS id, user_id % 45 AS user_id, event_id % 12 AS layer_id, CASE event_id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'rename' END AS action FROM events",
     "requests": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '10.0.0.' || CAST(user_id % 250 AS STRING) || ', 172.16.0.1' WHEN 1 THEN ' 10.0.1.' || CAST(user_id % 250 AS STRING) WHEN 2 THEN NULL ELSE '' END AS forwarded,
         CASE WHEN event_id % 12 = 2 THEN NULL ELSE '192.0.2.' || CAST(user_id % 250 AS STRING) END AS peer, CASE event_id % 5 WHEN 0 THEN '5/minute' WHEN 1 THEN ' 10 / HOUR ' WHEN 2 THEN 'x/day' WHEN 3 THEN '7' ELSE '3/fortnight' END AS limit_spec,
         CASE event_id % 7 WHEN 0 THEN 'bytes=0-99' WHEN 1 THEN 'bytes=500-' WHEN 2 THEN 'bytes=-200' WHEN 3 THEN 'bytes=2000-2100' WHEN 4 THEN 'bytes=a-b' WHEN 5 THEN 'bytes=7' ELSE NULL END AS range_header, CAST(1000 AS BIGINT) AS file_size,
