@@ -76,6 +76,16 @@ def calibrate(pred: Column, alpha: Column, beta: Column) -> Column:
     return clip(alpha + beta * pred, 0.0, MAX_DEPTH)
 
 
+def sigma_floor(std: Column) -> Column:
+    """The spread of the passes with a floor, between 0.1 and 10 metres."""
+    return clip(std + 0.10, 0.10, 10.0)
+
+
+def bounds(depth: Column, sigma: Column) -> tuple[Column, Column]:
+    """The range of 95 per cent, within the depths that the model knows."""
+    return clip(depth - 1.96 * sigma, 0.0, MAX_DEPTH), clip(depth + 1.96 * sigma, 0.0, MAX_DEPTH)
+
+
 def stretch(value: Column, low: Column, high: Column) -> Column:
     """A byte from a percentile stretch; the range is one unit where it is empty."""
     top = F.when(high <= low, low + 1).otherwise(high)

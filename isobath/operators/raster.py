@@ -61,11 +61,11 @@ def depth_stats(grid: DataFrame) -> DataFrame:
     )
 
 
-def block_mean(grid: DataFrame, height: int, width: int, most: int = 512) -> DataFrame:
+def block_mean(grid: DataFrame, height: int, width: int, most: int = 512, digits: int = 2) -> DataFrame:
     """Means of square blocks that leave at most `most` a side; null pixels are skipped, partial blocks at the far edges dropped."""
     step = max(1, -(-max(height, width) // most))
     inside = grid.filter((F.col("r") < height // step * step) & (F.col("c") < width // step * step))
-    return inside.groupBy("scene_id", F.floor(F.col("r") / step).alias("br"), F.floor(F.col("c") / step).alias("bc")).agg(F.round(F.avg("depth"), 2).alias("depth"))
+    return inside.groupBy("scene_id", F.floor(F.col("r") / step).alias("br"), F.floor(F.col("c") / step).alias("bc")).agg(F.round(F.avg("depth"), digits).alias("depth"))
 
 
 def pyramid(grid: DataFrame, height: int, width: int, least: int = 256) -> DataFrame:
@@ -134,3 +134,76 @@ def least_cloudy(scenes: DataFrame, rois: DataFrame, below: float, first: str |
         scenes = scenes.filter(day)
     boxes = scenes.filter(F.col("cloud_cover") < below).select("scene_id", "cloud_cover", F.col("west").alias("xmin"), F.col("south").alias("ymin"), F.col("east").alias("xmax"), F.col("north").alias("ymax"))
     return meeting(boxes, rois, size=0.5).groupBy("roi_id").agg(F.min_by("scene_id", F.struct("cloud_cover", "scene_id")).alias("scene_id"), F.min("cloud_cover").alias("cloud_cover"))
+
+
+def moving_stats_of(pixels: DataFrame, values: list[str], height: int, width: int) -> DataFrame:
+    """(scene_id, r, c) with the mean and deviation of several columns over the 5 x 5 neighbourhood, in one pass a direction."""
+    along = Window.partitionBy("scene_id", "r").orderBy("c").rowsBetween(-REACH, REACH)
+    down = Window.partitionBy("scene_id", "c").orderBy("r").rowsBetween(-REACH, REACH)
+    base = pixels.select("scene_id", "r", "c", *[F.col(v).cast("double").alias(v) for v in values])
+    first = {k: x for v in values for k, x in ((f"{v}_s", F.avg(v).over(along)), (f"{v}_q", F.avg(F.col(v) * F.col(v)).over(along)))}
+    wide = mirrored(base, "c", F.lit(width)).withColumns(first).filter(F.col("c").between(0, width - 1)).select("scene_id", "r", "c", *first)
+    second = {k: F.avg(k).over(down) for k in first}
+    tall = mirrored(wide, "r", F.lit(height)).withColumns({f"{k}_m": x for k, x in second.items()}).filter(F.col("r").between(0, height - 1))
+    out = []
+    for v in values:
+        mean = F.col(f"{v}_s_m")
+        out += [mean.alias(f"{v}_mean"), F.sqrt(F.greatest(F.col(f"{v}_q_m") - mean * mean, F.lit(0.0))).alias(f"{v}_std")]
+    return tall.select("scene_id", "r", "c", *out)
+
+
+def resample(pixels: DataFrame, band: str, height: int, width: int, out_height: int, out_width: int, nearest: bool = False) -> DataFrame:
+    """(scene_id, r, c, value) of a band on another grid over the same bounds, bilinear between pixel centres or nearest.
+
+    A target pixel joins its source rows and columns, four at most; at the border the edge pixel stands for what lies outside.
+    """
+    def axis(n: int, size: int) -> Column:
+        at = (F.col("id") + 0.5) * (size / n) - 0.5
+        low = F.floor(F.floor(at + 0.5) if nearest else at)
+        share = F.lit(0.0) if nearest else at - low
+        return F.filter(F.array(F.struct(low.alias("i"), (1 - share).alias("w")), F.struct((low + 1).alias("i"), (share + 0.0).alias("w"))), lambda x: x["w"] > 0)
+
+    spark = pixels.sparkSession
+
+    def steps(n: int, size: int, name: str, source: str) -> DataFrame:
+        one = spark.range(n).select(F.col("id").alias(name), F.explode(axis(n, size)).alias("x"))
+        return one.select(name, F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col("x.i"))).alias(source), F.col("x.w").alias(f"w{name}"))
+
+    # the two tables of steps hold one axis of the grids each
+    rows, columns = steps(out_height, height, "tr", "r"), steps(out_width, width, "tc", "c")
+    met = pixels.select("scene_id", "r", "c", F.col(band).cast("double").alias("v")).join(F.broadcast(rows), "r").join(F.broadcast(columns), "c")
+    return met.groupBy("scene_id", F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum(F.col("v") * F.col("wtr") * F.col("wtc")).alias("value"))
+
+
+def composite(tiles: DataFrame, scenes: DataFrame, pixels: DataFrame, band: str, low: Column, high: Column, size: int = 256) -> DataFrame:
+    """(z, x, y, pr, pc, value) of tile pixels that a scene covers, stretched to a byte; later scenes paint over earlier ones.
+
+    tiles is (z, x, y); scenes has bounds, width, height, acquired and bit_depth, of which 8 leaves values as they are.
+    """
+    from isobath.functions.geo import mercator_to_lonlat, tile_mercator
+    from isobath.operators.catalog import meeting, tile_boxes
+
+    boxes = scenes.withColumnsRenamed({"west": "xmin", "south": "ymin", "east": "xmax", "north": "ymax"})
+    pairs = meeting(boxes, tile_boxes(tiles), size=0.5)
+    # each pair has a tile's pixels, a fixed number
+    west, south, east, north = tile_mercator(F.col("z"), F.col("x"), F.col("y"))
+    grid = pairs.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))).withColumn("pr", F.floor(F.col("p") / size)).withColumn("pc", F.col("p") % size)
+    lon, lat = mercator_to_lonlat(west + (F.col("pc") + 0.5) * (east - west) / size, north - (F.col("pr") + 0.5) * (north - south) / size)
+    grid = grid.withColumn("r", F.floor((F.col("ymax") - lat) / (F.col("ymax") - F.col("ymin")) * F.col("height"))).withColumn("c", F.floor((lon - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * F.col("width")))
+    grid = grid.filter(F.col("r").between(0, F.col("height") - 1) & F.col("c").between(0, F.col("width") - 1)).select("z", "x", "y", "pr", "pc", "scene_id", "r", "c", "acquired", "bit_depth")
+    value = F.when(F.col("bit_depth") == 8, D.clip(F.col(band).cast("double"), 0.0, 255.0).cast("int")).otherwise(D.stretch(F.col(band), low, high))
+    found = grid.join(pixels.select("scene_id", "r", "c", F.col(band)), ["scene_id", "r", "c"]).withColumn("v", value)
+    return found.groupBy("z", "x", "y", "pr", "pc").agg(F.max_by("v", F.struct(F.col("acquired").isNull(), "acquired", "scene_id")).alias("value"))
+
+
+def rgba(value: Column) -> Column:
+    """(r, g, b, a) of a single band; nothing is transparent black."""
+    return F.struct(*[F.coalesce(value, F.lit(0)).alias(c) for c in "rgb"], F.when(value.isNull(), 0).otherwise(255).alias("a"))
+
+
+def padded(bands: Column) -> Column:
+    """Red, green, blue and coverage of one to four bands; missing colours repeat, missing coverage is full."""
+    n = F.size(bands)
+    red = F.get(bands, 0)
+    green = F.when(n >= 2, F.get(bands, 1)).otherwise(red)
+    return F.when(n == 4, bands).otherwise(F.array(red, green, F.when(n >= 3, F.get(bands, 2)).otherwise(red), F.lit(65535)))

@@ -483,6 +483,7 @@ def _(t):
 
 from isobath.plans import changes as _changes  # noqa: E402, F401
 from isobath.plans import keys as _keys  # noqa: E402, F401
+from isobath.plans import model as _model  # noqa: E402, F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ VIEWS = {
         FROM supplier CROSS JOIN (SELECT CAST(id AS BIGINT) AS r FROM seq32) a CROSS JOIN (SELECT CAST(id AS BIGINT) AS c FROM seq32) b""",
     "soundings": "SELECT l_suppkey AS scene_id, (l_orderkey * 7 + l_linenumber) % 32 AS r, (l_partkey * 5 + l_linenumber) % 32 AS c, 0.25e0 + CAST(l_quantity AS DOUBLE) / 2 AS depth FROM lineitem",
     "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
+    "scene_tiles": "SELECT 8 AS z, CAST(163 + a.id AS BIGINT) AS x, CAST(110 + b.id AS BIGINT) AS y FROM seq5 a CROSS JOIN seq5 b",
     "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase'",
     "settings": "SELECT n_name AS key, 'region ' || CAST(n_regionkey AS STRING) AS value FROM nation",
     "map_states": "SELECT o_orderkey AS id, o_custkey AS user_id, 'view ' || CAST(o_orderkey % 3 AS STRING) AS name, o_orderkey % 5 = 0 AS is_default, o_orderdate AS updated_at FROM orders",
