@@ -9,8 +9,6 @@ from isobath.operators import tables as T
 from isobath.plans.base import query
 
 NOW = "2026-01-01 00:00:00"
-now = F.lit(NOW).cast("timestamp_ntz")
-
 
 @query("insert_rasters", "SELECT id, name, processing_status, source_kind FROM raster_catalog UNION ALL SELECT id + 10000000, name, 'pending', CASE WHEN id % 2 = 0 THEN 'derived' ELSE 'source' END FROM vector_datasets", ("raster_catalog", "vector_datasets"))
 def _(t):
@@ -45,7 +43,7 @@ def _(t):
 @query("touched_rasters", f"SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN id % 3 = 0 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM raster_catalog", ("raster_catalog",))
 def _(t):
     rasters = t("raster_catalog").select("id", "name", "updated_at")
-    return H.touch(rasters, rasters.filter("id % 3 = 0").select("id", F.lit("renamed").alias("name")), "id", now)
+    return H.touch(rasters, rasters.filter("id % 3 = 0").select("id", F.lit("renamed").alias("name")), "id", F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query("broadcast_list", "SELECT id, CASE WHEN id % 3 = 0 THEN '1,2,3' WHEN id % 3 = 1 THEN '2,3' ELSE '1,3' END AS items FROM user_groups", ("user_groups",))
@@ -168,9 +166,9 @@ def _(t):
     return H.removed_objects(t("raster_catalog").filter("processing_status = 'failed'"))
 
 
-@query("settings_some", "SELECT key, value FROM settings WHERE key IN ('ALGERIA', 'CHINA', 'nothing')", ("settings",))
+@query("settings_some", "SELECT key, value FROM settings WHERE key IN ('NATION_1', 'NATION_2', 'nothing')", ("settings",))
 def _(t):
-    return t("settings").filter(F.col("key").isin("ALGERIA", "CHINA", "nothing")).select("key", "value")
+    return t("settings").filter(F.col("key").isin("NATION_1", "NATION_2", "nothing")).select("key", "value")
 
 
 @query("settings_all", "SELECT key, value FROM settings ORDER BY key", ("settings",))
@@ -178,10 +176,10 @@ def _(t):
     return t("settings").orderBy("key").select("key", "value")
 
 
-@query("settings_upsert", "SELECT key, CASE WHEN key < 'F' THEN 'new' ELSE value END AS value FROM settings UNION ALL SELECT 'ZZ', 'new'", ("settings",))
+@query("settings_upsert", "SELECT key, CASE WHEN key < 'NATION_2' THEN 'new' ELSE value END AS value FROM settings UNION ALL SELECT 'ZZ', 'new'", ("settings",))
 def _(t):
     old = t("settings").select("key", "value")
-    new = old.filter("key < 'F'").select("key").union(old.limit(1).select(F.lit("ZZ"))).withColumn("value", F.lit("new"))
+    new = old.filter("key < 'NATION_2'").select("key").union(old.limit(1).select(F.lit("ZZ"))).withColumn("value", F.lit("new"))
     return T.upsert(old, new, ["key"])
 
 

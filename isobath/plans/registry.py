@@ -14,6 +14,7 @@ from isobath.operators import tables as T
 from isobath.operators import text as X
 from isobath.plans.base import QUERIES, SQL, query, r6
 from isobath.sources import readers as S
+from isobath.sources import vendors as V
 from isobath.sources.views import table
 
 BOX = (-60.0, -40.0, 60.0, 40.0)
@@ -464,7 +465,7 @@ def _(t):
         return F.concat(F.lit(f'{key} = "'), value.cast("string"), F.lit('";'))
 
     text = F.concat_ws("\n", line("satId", F.col("sat_id")), line("cloudCover", F.col("cloud_cover")), line("meanSunEl", F.col("mean_sun_el")), F.lit("END;"))
-    parsed = t("vendor_imd").select("bundle_id", S.key_values(text).alias("m"))
+    parsed = t("vendor_imd").select("bundle_id", V.pairs(text).alias("m"))
     get = lambda *names: S.first_alias(F.col("m"), list(names))
     return parsed.select("bundle_id", get("satelliteId", "satId").alias("sensor"), S.cloud_percent(S.to_number(get("cloudCover"))).alias("cloud_cover_pct"), S.to_number(get("meanSunEl")).alias("sun_elevation"))
 
@@ -484,6 +485,8 @@ def _(t):
 from isobath.plans import changes as _changes  # noqa: E402, F401
 from isobath.plans import keys as _keys  # noqa: E402, F401
 from isobath.plans import model as _model  # noqa: E402, F401
+from isobath.plans import products as _products  # noqa: E402, F401
+from isobath.plans import state as _state  # noqa: E402, F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

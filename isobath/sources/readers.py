@@ -6,13 +6,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Leading bytes, as hex, that name a raster format. Fixed values.
-RASTER_MAGIC = [("49492A00", "tiff"), ("4D4D002A", "tiff"), ("49492B00", "tiff"), ("4D4D002B", "tiff"), ("0000000C6A502020", "jp2"), ("4E495446", "nitf"), ("89484446", "hdf5"), ("0E031301", "hdf4"), ("43444601", "netcdf"), ("43444602", "netcdf"), ("89504E47", "png"), ("FFD8FF", "jpeg")]
-RASTER_EXTENSIONS = {"tif": "tiff", "tiff": "tiff", "jp2": "jp2", "ntf": "nitf", "nitf": "nitf", "h5": "hdf5", "hdf": "hdf4", "nc": "netcdf", "img": "img", "ecw": "ecw", "sid": "mrsid"}
+RASTER_MAGIC = [
+    ("49492A00", "geotiff"), ("4D4D002A", "geotiff"), ("49492B00", "geotiff"), ("4D4D002B", "geotiff"), ("0000000C6A50", "jp2"), ("FF4FFF51", "jp2"), ("894844460D0A1A0A", "hdf5"), ("0E031301", "hdf4"), ("43444601", "netcdf"), ("43444602", "netcdf"),
+    ("4E49544630322E3130", "nitf"), ("4E49544630322E3030", "nitf"), ("4E53494630312E3030", "nitf"), ("656373", "ecw"), ("00004003", "ecw"),
+]
+#: Extensions that are taken for a raster where the bytes tell nothing. Fixed values.
+RASTER_EXTENSIONS = ["tif", "tiff", "geotiff", "jp2", "j2k", "jph", "ecw", "sid", "ntf", "nitf", "nsif", "h5", "hdf5", "hdf", "he5", "nc", "nc4", "cdf", "img"]
 VECTOR_EXTENSIONS = {"geojson": "geojson", "json": "geojson", "kml": "kml", "kmz": "kmz", "shp": "shapefile", "zip": "shapefile", "gpkg": "gpkg", "gpx": "gpx"}
 
 
@@ -26,10 +31,11 @@ def _by_extension(path: Column, known: dict[str, str]) -> Column:
 
 
 def raster_format(path: Column, content: Column) -> Column:
-    """The format by leading bytes, then by extension; null if unknown."""
-    head = F.hex(F.substring(content, 1, 16))
+    """The format by leading bytes, then by extension; null for a file that is refused."""
+    head, ext = F.hex(F.substring(content, 1, 16)), extension(path)
     by_bytes = F.coalesce(*[F.when(head.startswith(m), name) for m, name in RASTER_MAGIC])
-    return F.coalesce(by_bytes, _by_extension(path, RASTER_EXTENSIONS))
+    mrsid = F.when((head.startswith("6D736964") | head.startswith("0000")) & (ext == "sid"), "mrsid")
+    return F.coalesce(by_bytes, mrsid, F.when(ext.isin(RASTER_EXTENSIONS), ext))
 
 
 def vector_format(path: Column, content: Column) -> Column:
@@ -48,14 +54,6 @@ def safe_path(path: Column) -> Column:
     return F.when(~bad, clean)
 
 
-def key_values(text: Column) -> Column:
-    """A map of the `key = "value";` lines of a sidecar; the last of equal keys wins."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\w+\s*="))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\w+)\s*=", 1).alias("key"), F.regexp_extract(x, r'=\s*"?([^";]*)"?\s*;?\s*$', 1).alias("value")))
-    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(kept)
-
-
 def first_alias(values: Column, names: list[str]) -> Column:
     """The value of the first of names that the map holds."""
     return F.coalesce(*[F.element_at(values, n) for n in names])
@@ -82,9 +80,17 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     kind = "type STRING, features ARRAY<STRUCT<geometry: STRING, properties: STRING>>"
     rows = whole.select(F.explode(F.from_json("value", kind)["features"]).alias("f")).select("f.geometry", "f.properties").filter("geometry IS NOT NULL")
-    numbers = F.transform(F.regexp_extract_all(F.get_json_object("geometry", "$.coordinates"), F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), F.lit(0)), lambda x: F.split(F.regexp_replace(x, r"[\[\s]", ""), ","))
+    names = ("geometry_type", "xmin", "ymin", "xmax", "ymax")
+    kind, *bounds = [c.alias(n) for c, n in zip(geometry_columns(F.col("geometry")), names)]
+    return rows.select(kind, "geometry", "properties", *bounds)
+
+
+def geometry_columns(geometry: Column) -> list[Column]:
+    """(type, xmin, ymin, xmax, ymax) of a geometry given as GeoJSON text."""
+    points = F.regexp_extract_all(F.get_json_object(geometry, "$.coordinates"), F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), F.lit(0))
+    numbers = F.transform(points, lambda x: F.split(F.regexp_replace(x, r"[\[\s]", ""), ","))
     xs, ys = F.transform(numbers, lambda p: p[0].cast("double")), F.transform(numbers, lambda p: p[1].cast("double"))
-    return rows.select(F.get_json_object("geometry", "$.type").alias("geometry_type"), "geometry", "properties", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    return [F.get_json_object(geometry, "$.type"), F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
 
 
 def read_band_tiles(files: DataFrame) -> DataFrame:
@@ -97,9 +103,28 @@ def read_band_tiles(files: DataFrame) -> DataFrame:
                 if magic != b"SWS1":
                     continue
                 body = zlib.decompress(content[16:]) if packed else content[16:]
-                values = memoryview(body).cast("H")
                 n = width * height
-                i = pd.RangeIndex(bands * n)
-                yield pd.DataFrame({"path": path, "band": i // n, "r": i % n // width, "c": i % width, "value": list(values[: bands * n])})
+                values = np.frombuffer(body, "<u2", bands * n)
+                i = np.arange(bands * n)
+                yield pd.DataFrame({"path": path, "band": i // n, "r": i % n // width, "c": i % width, "value": values.astype("int32")})
 
     return files.select("path", "content").mapInPandas(run, "path string, band long, r long, c long, value int")
+
+
+def write_band_tile(values: Column, bands: int, width: int, height: int) -> Column:
+    """A binary tile of samples (an array of numbers below 65536), uncompressed."""
+    def two(x: Column) -> Column:
+        return F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
+
+    head = b"SWS1" + struct.pack("<BBBBHHI", 1, 0, bands, 0, width, height, 0)
+    return F.unhex(F.concat(F.lit(head.hex()), F.array_join(F.transform(values, two), "")))
+
+
+def bundle_check(files: DataFrame, main: list[str]) -> DataFrame:
+    """(bundle_id, status, main, bytes, refused): 200 where a bundle (bundle_id, path, size) has one file with a main raster's extension, else 400; refused counts unsafe paths."""
+    is_main = extension(F.col("path")).isin(main) & safe_path(F.col("path")).isNotNull()
+    found = files.groupBy("bundle_id").agg(
+        F.count_if(is_main).alias("n"), F.min(F.when(is_main, F.col("path"))).alias("main"), F.sum("size").alias("bytes"), F.count_if(safe_path(F.col("path")).isNull()).alias("refused")
+    )
+    status = F.when((F.col("n") == 1) & (F.col("refused") == 0), 200).otherwise(400)
+    return found.select("bundle_id", status.alias("status"), F.when(F.col("n") == 1, F.col("main")).alias("main"), "bytes", "refused")

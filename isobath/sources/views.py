@@ -43,9 +43,22 @@ VIEWS = {
     "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
     "scene_tiles": "SELECT 8 AS z, CAST(163 + a.id AS BIGINT) AS x, CAST(110 + b.id AS BIGINT) AS y FROM seq5 a CROSS JOIN seq5 b",
     "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase'",
-    "settings": "SELECT n_name AS key, 'region ' || CAST(n_regionkey AS STRING) AS value FROM nation",
+    "job_records": """SELECT o_orderkey AS id, CASE o_orderkey % 16 WHEN 0 THEN 'pending' WHEN 4 THEN 'running' WHEN 8 THEN 'done' ELSE 'failed' END AS status, CASE o_orderkey % 3 WHEN 0 THEN chr(123) || '"report_code": "REP-' || CAST(o_orderkey AS STRING) || '", "cached": true, "codec": ' || chr(123) || '"levels": 5' || chr(125) || chr(125) WHEN 1 THEN chr(123) || '"cached": false' || chr(125) ELSE NULL END AS metadata FROM orders WHERE o_orderkey % 4 = 0""",
+    "settings": "SELECT upper(n_name) AS key, 'region ' || CAST(n_regionkey AS STRING) AS value FROM nation",
     "map_states": "SELECT o_orderkey AS id, o_custkey AS user_id, 'view ' || CAST(o_orderkey % 3 AS STRING) AS name, o_orderkey % 5 = 0 AS is_default, o_orderdate AS updated_at FROM orders",
     "layer_changes": "SELECT event_id AS id, user_id % 45 AS user_id, event_id % 12 AS layer_id, CASE event_id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'rename' END AS action FROM events",
+    "sidecars": """SELECT p_partkey AS bundle_id, 'b/x.IMD' AS path, 'satId = "A";' || chr(10) || 'cloudCover = ' || CAST(CAST(p_partkey % 9 AS DOUBLE) / 8 AS STRING) || ';' || chr(10) || 'firstLineTime = 2024-01-05T00:00:00Z;' || chr(10) || 'satId = "X' || p_brand || '";' || chr(10) || 'meanSunEl = n/a;' AS content FROM part WHERE p_partkey % 7 IN (0, 6)
+        UNION ALL SELECT p_partkey, 'b/x.RPB', 'rpc' FROM part WHERE p_partkey % 7 IN (0, 6)
+        UNION ALL SELECT p_partkey, 'dim.XML', '<?xml version="1.0"?><Dimap_Document><MISSION>SPOT</MISSION><MISSION_INDEX>' || CAST(p_partkey % 5 AS STRING) || '</MISSION_INDEX><IMAGING_DATE>2024-03-01</IMAGING_DATE><IMAGING_TIME>04:05:06</IMAGING_TIME><CLOUD_COVERAGE>12.5</CLOUD_COVERAGE></Dimap_Document>' FROM part WHERE p_partkey % 7 = 1
+        UNION ALL SELECT p_partkey, 'p_metadata.json', chr(123) || '"properties": ' || chr(123) || '"id": "P' || CAST(p_partkey AS STRING) || '", "instrument": "PS2", "acquired": "2024-04-01", "provider": "pl", "cloud_cover": 0.25, "gsd": 3.5' || chr(125) || chr(125) FROM part WHERE p_partkey % 7 = 2
+        UNION ALL SELECT p_partkey, 'L_MTL.txt', '  SENSOR_ID = "OLI"' || chr(10) || '  DATE_ACQUIRED = 2024-05-01' || chr(10) || '  SCENE_CENTER_TIME = "01:02:03Z"' || chr(10) || '  CLOUD_COVER = 0.5' || chr(10) || '  LANDSAT_SCENE_ID = "L' || CAST(p_partkey AS STRING) || '"' FROM part WHERE p_partkey % 7 = 3
+        UNION ALL SELECT p_partkey, 'x.aux.xml', '<PAMDataset><Metadata><MDI key="TIFFTAG_DATETIME">2024:02:0' || CAST(p_partkey % 9 + 1 AS STRING) || '</MDI></Metadata></PAMDataset>' FROM part WHERE p_partkey % 7 IN (4, 6)
+        UNION ALL SELECT p_partkey, 'any.xml', '<meta><Sensor_Name>S' || CAST(p_partkey % 4 AS STRING) || '</Sensor_Name><AcquisitionDate>2024-06-01</AcquisitionDate><SunElev>44.5</SunElev><CloudPct>3</CloudPct><CloudPct>4</CloudPct></meta>' FROM part WHERE p_partkey % 7 = 5""",
+    "uploads": """SELECT p_partkey AS id, 'up/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 9 WHEN 0 THEN '.TIF' WHEN 1 THEN '.jp2' WHEN 2 THEN '.ntf' WHEN 3 THEN '.h5' WHEN 4 THEN '.sid' WHEN 5 THEN '.nc4' WHEN 6 THEN '.exe' WHEN 7 THEN '.kmz' ELSE '.json' END AS path,
+        unhex(CASE p_partkey % 9 WHEN 0 THEN '4D4D002A00' WHEN 1 THEN 'FF4FFF5100' WHEN 2 THEN '4E53494630312E303000' WHEN 3 THEN '89484446' WHEN 4 THEN '00000000' WHEN 5 THEN '41' WHEN 6 THEN '4D5A' WHEN 7 THEN '504B0304' ELSE '20207B7D' END) AS content FROM part""",
+    "bundle_files": """SELECT p_partkey AS bundle_id, 'a/main.tif' AS path, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'b/second.JP2' WHEN 1 THEN 'notes.txt' ELSE '../up.txt' END, CAST(7 AS BIGINT) FROM part""",
+    "survey_rows": "SELECT o_orderkey AS id, 'RPT-' || CAST(o_orderkey AS STRING) AS report_code, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Bay ' || CAST(o_orderkey % 7 AS STRING) END AS site, 'depth-v3' AS model, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE NULL END AS source_raster_id, o_orderkey + 1 AS depth_raster_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'S2' END AS scene, '2024-01-01' AS acquired, CAST(o_orderkey % 4 AS DOUBLE) / 2 AS min_m, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(20 AS DOUBLE) END AS max_m, CAST(8 AS DOUBLE) AS mean_m, CAST(2 AS DOUBLE) AS std_m, CAST(50 AS DOUBLE) AS coverage_pct, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(61 AS DOUBLE) END AS order_1a FROM orders",
+    "tokens": "SELECT event_id AS id, ts, CASE WHEN event_id % 5 = 0 THEN 'revoke' ELSE 'use' END AS kind, user_id AS token, 3600 * (event_id % 4) AS ttl FROM events",
     "requests": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '10.0.0.' || CAST(user_id % 250 AS STRING) || ', 172.16.0.1' WHEN 1 THEN ' 10.0.1.' || CAST(user_id % 250 AS STRING) WHEN 2 THEN NULL ELSE '' END AS forwarded,
         CASE WHEN event_id % 12 = 2 THEN NULL ELSE '192.0.2.' || CAST(user_id % 250 AS STRING) END AS peer, CASE event_id % 5 WHEN 0 THEN '5/minute' WHEN 1 THEN ' 10 / HOUR ' WHEN 2 THEN 'x/day' WHEN 3 THEN '7' ELSE '3/fortnight' END AS limit_spec,
         CASE event_id % 7 WHEN 0 THEN 'bytes=0-99' WHEN 1 THEN 'bytes=500-' WHEN 2 THEN 'bytes=-200' WHEN 3 THEN 'bytes=2000-2100' WHEN 4 THEN 'bytes=a-b' WHEN 5 THEN 'bytes=7' ELSE NULL END AS range_header, CAST(1000 AS BIGINT) AS file_size,
