@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINE_DOCS = 100
 #: Share of its words, in percent, that a document must keep.
 KEEP_PERCENT = 20
+#: Hashes of lines above the limit that are held in the plan as a hash set; more are joined.
+HELD_LINES = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -67,7 +69,9 @@ def measure(docs: DataFrame, text: str = "__text") -> DataFrame:
 
 
 def score_quality(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = LINE_DOCS, keep_percent: int = KEEP_PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source",
+    min_words: int = 50, max_repeat_percent: int = 50, line_docs: int = LINE_DOCS, keep_percent: int = KEEP_PERCENT,
+    held_lines: int = HELD_LINES,
 ) -> DataFrame:
     """docs with the measures, ``base_failed``, ``kept`` and the text without the lines that too many documents of its host share.
 
@@ -77,7 +81,8 @@ def score_quality(
     the words lie in repeated three-word windows.  kept: not base_failed, and at
     least keep_percent of the words stay after line removal.  Lines are compared
     without outer white space and with A-Z in lower case; empty ones are not
-    counted.  Added columns replace columns of their names.
+    counted.  Very long texts are taken whole.  Added columns replace columns of
+    their names; an empty table gives an empty one.
     """
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"}
     clean = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in added])
@@ -94,16 +99,23 @@ def score_quality(
     # a document counts a line once: its distinct line hashes are taken inside the row, before any shuffle
     once = base.select(F.explode(F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), solid), line_hash))).alias("h"))
     common = materialise(once.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs).select("h"), "lines")
-    lines = base.select("__id", "__same", "__host", F.posexplode(F.split("__text", "\n")).alias("p", "line")).filter(solid(F.col("line")))
-    lines = lines.select("__id", "__same", "p", "line", line_hash(F.col("line")).alias("h"))
-    gone = join_checked(lines, common, ["h"]).select("__id", "__same", "p", "h", F.size(words_of(F.col("line"))).alias("w"))
-    gone = gone.groupBy("__id", "__same").agg(F.collect_set(F.struct("p", "h", "w")).alias("__gone"))
-    gone = gone.select("__id", "__same", F.array_distinct("__gone.h").alias("__hot"), F.aggregate("__gone.w", F.lit(0), lambda x, y: x + y).alias("__lost"))
     # filters on the verdict must not be pushed below the measures, which would repeat their expressions many times over
     measured = measure(base).observe(f"quality {uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
-    joined = measured.alias("m").join(gone.alias("g"), F.col("m.__id").eqNullSafe(F.col("g.__id")) & (F.col("m.__same") == F.col("g.__same")), "left")
-    joined = joined.select("m.*", "g.__hot", F.coalesce("g.__lost", F.lit(0)).alias("__lost"))
-    stay = F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hot", line_hash(x)) | ~solid(x)))
+    held = [r.h for r in common.limit(held_lines + 1).collect()]
+    if len(held) <= held_lines:
+        hot = (lambda x: solid(x) & line_hash(x).isin(held)) if held else (lambda x: F.lit(False))
+        gone = F.array_join(F.filter("__lines", hot), " ")
+        joined = measured.withColumn("__lost", F.size(words_of(gone)) if held else F.lit(0))
+        stay = F.filter("__lines", lambda x: ~hot(x)) if held else F.col("__lines")
+    else:
+        # only ids, places and hashes of the lines that go are shuffled; whole texts meet them once
+        lines = base.select("__id", "__same", "__host", F.posexplode(F.split("__text", "\n")).alias("p", "line")).filter(solid(F.col("line")))
+        lines = lines.select("__id", "__same", "p", line_hash(F.col("line")).alias("h"), F.size(words_of(F.col("line"))).alias("w"))
+        gone = join_checked(lines, common, ["h"]).groupBy("__id", "__same").agg(F.collect_set(F.struct("p", "h", "w")).alias("__gone"))
+        gone = gone.select("__id", "__same", F.array_distinct("__gone.h").alias("__hot"), F.aggregate("__gone.w", F.lit(0), lambda x, y: x + y).alias("__lost"))
+        joined = measured.alias("m").join(gone.alias("g"), F.col("m.__id").eqNullSafe(F.col("g.__id")) & (F.col("m.__same") == F.col("g.__same")), "left")
+        joined = joined.select("m.*", "g.__hot", F.coalesce("g.__lost", F.lit(0)).alias("__lost"))
+        stay = F.when(F.col("__hot").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hot", line_hash(x)) | ~solid(x)))
     joined = joined.withColumn(text, F.array_join(stay, "\n"))
     joined = joined.withColumn("n_words_left", F.col("n_words") - F.col("__lost"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
