@@ -15,6 +15,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Rows of a side that may be broadcast; a larger side is shuffled instead.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a batch that a Python worker takes at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,12 +70,24 @@ def working_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about limit bytes at most, so that a worker's copies of a batch stay small; a longer row is a batch of its own."""
+    for batch in batches:
+        steps = max(1, min(batch.num_rows, -(-batch.nbytes // limit)))
+        size = -(-batch.num_rows // steps) if batch.num_rows else 0
+        if steps == 1:
+            yield batch
+        else:
+            for i in range(0, batch.num_rows, size):
+                yield batch.slice(i, size)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow for columns of any names, dots and repeats included; run sees batches under these names."""
+    """df.mapInArrow in batches of bounded bytes, for columns of any names, dots and repeats included; run sees batches under these names."""
     names = df.columns
 
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(b.rename_columns(names) for b in batches)
+        return run(b.rename_columns(names) for b in in_parts(batches))
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
 

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, sample: int = SAMP
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int32()), pa.array([n, *total[found].tolist()], pa.int64())], ["d", "n"])
 
-    df = rows.select("text").mapInArrow(frequencies, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect()
+    df = map_arrow(rows.select("text"), frequencies, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect()
     counts = {r.d: r.n for r in df}
     n = counts.pop(-1, 0)
     seen = np.zeros(DIMENSIONS)

@@ -147,7 +147,7 @@ def count_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
             h1, h2 = key_hashes(list(seen)) if seen else (np.zeros(0, np.uint64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h1", "h2", "n"])
 
-    found = docs.select(quoted(text)).mapInArrow(count, "h1 long, h2 long, n long")
+    found = map_arrow(docs.select(quoted(text)), count, "h1 long, h2 long, n long")
     return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -263,7 +263,7 @@ def _probed(docs: DataFrame, text: str, min_chars: int, index: DataFrame, copies
             salt = np.array(row, np.int64) % salts[shard]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.array(row, np.int64), h1.view(np.int64), h2.view(np.int64), shard.astype(np.int32), salt.astype(np.int32))], ["__row", "h1", "h2", "shard", "salt"])
 
-    asked = docs.select("__row", quoted(text)).mapInArrow(ask, "__row long, h1 long, h2 long, shard int, salt int")
+    asked = map_arrow(docs.select("__row", quoted(text)), ask, "__row long, h1 long, h2 long, shard int, salt int")
 
     def answer(asked: pa.Table, arrays: pa.Table) -> pa.Table:
         rows = arrays.select(["shard", "table", "prints", "counts", "more"]).to_pylist()

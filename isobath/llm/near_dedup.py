@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, LongType, StructField, StructType
 
-from isobath.llm.common import discard, join_checked, materialise, quoted, small, with_fields
+from isobath.llm.common import discard, join_checked, map_arrow, materialise, quoted, small, with_fields
 from isobath.llm.textnum import Words, mix, seeds, shingles, text_slices
 
 #: At similarity 0.8 a link is missed in all bands with probability (1 - 0.8**4)**25 < 2e-6.
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     source = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text"))
-    return source.mapInArrow(sign, _fields(source.schema[0].dataType, n_shingles=LongType(), s1=LongType(), s2=LongType(), bands=ArrayType(LongType()), sketch=BinaryType()))
+    return map_arrow(source, sign, _fields(source.schema[0].dataType, n_shingles=LongType(), s1=LongType(), s2=LongType(), bands=ArrayType(LongType()), sketch=BinaryType()))
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text: str, k: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s12[:, 0].copy()), pa.array(s12[:, 1].copy()), pa.array([s.tobytes() for s in own], pa.binary())], ["id", "s1", "s2", "set"])
 
     chosen = join_checked(docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")), ids, ["id"], "left_semi")
-    return chosen.mapInArrow(sets, _fields(chosen.schema[0].dataType, s1=LongType(), s2=LongType(), set=BinaryType()))
+    return map_arrow(chosen, sets, _fields(chosen.schema[0].dataType, s1=LongType(), s2=LongType(), set=BinaryType()))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -161,7 +161,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     copies = join_checked(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), times, ["a"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     dealt = join_checked(pairs, times.filter("copies > 1"), ["a"], "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
     both = dealt.select("a", "b", "copy").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(copies.drop("copies"), ["a", "copy"])
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, StructType([StructField("a", kind), StructField("b", kind)]))
+    return map_arrow(both.select("a", "b", "set_a", "set_b"), confirm, StructType([StructField("a", kind), StructField("b", kind)]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _pivot_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(sketch_similarity(differing) >= least))
 
     kind = classes.schema["id"].dataType
-    return pairs.select("a", "b", "x", "y").mapInArrow(close, StructType([StructField("a", kind), StructField("b", kind)]))
+    return map_arrow(pairs.select("a", "b", "x", "y"), close, StructType([StructField("a", kind), StructField("b", kind)]))
 
 
 def _open_members(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:

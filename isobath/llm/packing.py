@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from isobath.llm.bpe import MergeTable, ragged
-from isobath.llm.common import quoted
+from isobath.llm.common import map_arrow, quoted
 from isobath.llm.textnum import span_checks, span_hashes
 
 WINDOW = 2048
@@ -39,7 +39,7 @@ INNER_STEP = 32
 #: Tokens that are solved together.
 BLOCK_TOKENS = 1 << 20
 #: Entries of a worker's table of encoded chunks.
-CACHE = 400_000
+CACHE = 150_000
 #: Bits of a sequence id below the task's number.
 TASK_BITS = 40
 
@@ -300,7 +300,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
         if rows := packer.solve(True):
             yield out(rows)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def find_anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
                 columns = [k1[i + doc], k2[i + doc], (a["first"] - w.of_doc[doc]).astype(np.int32), size, a["fp"].view(np.int64), d[:, 0].copy(), d[:, 1].copy()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__k1", "__k2", "first", "size", "fp", "d1", "d2"])
 
-    return keyed.mapInArrow(run, ANCHORS)
+    return map_arrow(keyed, run, ANCHORS)
 
 
 def summarise(found: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _single_windows(texts: DataFrame, classes: DataFrame, window: int) -> DataFr
                 columns = [d1[own], d2[own], n[own], place.astype(np.int32), d[:, 0].copy(), d[:, 1].copy()]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["d1", "d2", "n", "place", "a", "b"])
 
-    windows = materialise(source.mapInArrow(run, "d1 long, d2 long, n long, place int, a long, b long"), "windows")
+    windows = materialise(map_arrow(source, run, "d1 long, d2 long, n long, place int, a long, b long"), "windows")
     # equal rows hold the same class twice
     once = windows.groupBy("d1", "d2", "place", "a", "b").agg(F.max("n").alias("n"))
     twice = once.groupBy("a", "b").agg(F.sum("n").alias("t")).filter("t > 1").select("a", "b")

@@ -23,7 +23,7 @@ from isobath.llm.bpe import MergeTable
 from isobath.llm.common import map_arrow, quoted, with_fields
 
 #: Entries of a worker's table; it is emptied when full.
-CACHE = 400_000
+CACHE = 150_000
 #: Characters of a chunk beyond which it is not kept there.
 LONG = 256
 #: Characters of text whose unknown chunks are merged together.
