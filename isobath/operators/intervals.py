@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def merge_days(df: DataFrame, keys: list[str], start: str = "start_day", end: str = "end_day") -> DataFrame:
-    """The union of closed day intervals of each key; intervals that overlap or follow on the next day become one."""
+    """The union of closed day intervals of each key; intervals that overlap or follow on the next day become one.
+
+    Only the longest interval of each start day goes on, so a key's window holds as
+    many rows as there are days, however many intervals it has.
+    """
+    df = df.filter(F.col(start) <= F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))
     before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce((F.col(start) > F.date_add(F.max(end).over(before), 1)).cast("int"), F.lit(1))
     running = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = df.filter(F.col(start) <= F.col(end)).withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(running))
+    islands = df.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(running))
     return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 

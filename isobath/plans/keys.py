@@ -98,12 +98,12 @@ def _(t):
     return t("scenes").select("scene_id", G.envelope_wkt(w, s, e, n).alias("wkt"), centre.alias("centre"))
 
 
-@query("mercator_round_trip", "SELECT id, round(xmin * 20037508.342789244e0 / 180, 3) AS x, round(ln(tan((90 + ymin) * pi() / 360)) / pi() * 20037508.342789244e0, 3) AS y, round(xmin, 6) AS lon, round(ymin, 6) AS lat FROM raster_catalog WHERE ymin > -85", ("raster_catalog",))
+@query("mercator_round_trip", "SELECT id, round(xmin * 20037508.342789244e0 / 180, 3) AS x, round(ln(tan((90 + ymin) * pi() / 360)) / pi() * 20037508.342789244e0, 3) + 0e0 AS y, round(xmin, 6) AS lon, round(ymin, 6) + 0e0 AS lat FROM raster_catalog WHERE ymin > -85", ("raster_catalog",))
 def _(t):
     x, y = G.lonlat_to_mercator(F.col("xmin"), F.col("ymin"))
     df = t("raster_catalog").filter("ymin > -85").select("id", x.alias("x"), y.alias("y"))
     lon, lat = G.mercator_to_lonlat(F.col("x"), F.col("y"))
-    return df.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), r6(lon, "lon"), r6(lat, "lat"))
+    return df.select("id", F.round("x", 3).alias("x"), (F.round("y", 3) + 0.0).alias("y"), r6(lon, "lon"), (F.round(lat, 6) + 0.0).alias("lat"))
 
 
 @query("sounding_pixels", "SELECT id, scene_id, CAST(round_even((north - lat) / (north - south) * 31, 0) AS BIGINT) AS r, CAST(round_even((lon - west) / (east - west) * 31, 0) AS BIGINT) AS c FROM raw_soundings JOIN scenes USING (scene_id) WHERE lon BETWEEN west AND east AND lat BETWEEN south AND north AND abs(depth) BETWEEN 0.3 AND 25", ("raw_soundings", "scenes"))
