@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and is written as Parquet before the next one reads it.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, which the input must have; other columns
+are dropped, n_chars is counted anew.  Null and empty texts fail the quality
+rules, so later stages meet neither; an empty table gives an empty one.
 """
 
 from __future__ import annotations
