@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from isobath.llm.common import map_arrow, materialise, quoted, with_fields
+from isobath.llm.common import discard, map_arrow, materialise, quoted, with_fields
 from isobath.llm.textnum import mix, seeds
 
 #: Keys of a shard.
@@ -202,6 +202,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
     added = StructType([StructField(text, StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     if n_keys <= broadcast_keys:
         held = spark.sparkContext.broadcast(([tuple(r) for r in index.collect()], n_shards))
+        discard(keys)
         return _drop(docs, text, min_chars, added, held, None)
     # probes of a shard: those of its frequent keys, and its part of all others; one row a shard
     hot = {r.shard: r.n for r in keys.groupBy(shard_of(F.col("h1"), n_shards).alias("shard")).agg(F.sum("n").alias("n")).collect()}
