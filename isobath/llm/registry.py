@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.llm import decontamination, fill_middle, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secrets_scan, substring_dedup, token_counts
+from isobath.llm import decontamination, fill_middle, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secrets_scan, spelling, substring_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
 }
