@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.llm import decontamination, fill_middle, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secrets_scan, spelling, substring_dedup, token_counts
+from isobath.llm import decontamination, fill_middle, jaccard_join, language_id, line_dedup, near_dedup, packing, pii, quality_rules, secrets_scan, spelling, substring_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_jaccard_join": jaccard_join.OP13_SQL,
 }
