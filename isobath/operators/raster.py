@@ -175,27 +175,6 @@ def resample(pixels: DataFrame, band: str, height: int, width: int, out_height:
     return met.groupBy("scene_id", F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum(F.col("v") * F.col("wtr") * F.col("wtc")).alias("value"))
 
 
-def composite(tiles: DataFrame, scenes: DataFrame, pixels: DataFrame, band: str, low: Column, high: Column, size: int = 256) -> DataFrame:
-    """(z, x, y, pr, pc, value) of tile pixels that a scene covers, stretched to a byte; later scenes paint over earlier ones.
-
-    tiles is (z, x, y); scenes has bounds, width, height, acquired and bit_depth, of which 8 leaves values as they are.
-    """
-    from isobath.functions.geo import mercator_to_lonlat, tile_mercator
-    from isobath.operators.catalog import meeting, tile_boxes
-
-    boxes = scenes.withColumnsRenamed({"west": "xmin", "south": "ymin", "east": "xmax", "north": "ymax"})
-    pairs = meeting(boxes, tile_boxes(tiles), size=0.5)
-    # each pair has a tile's pixels, a fixed number
-    west, south, east, north = tile_mercator(F.col("z"), F.col("x"), F.col("y"))
-    grid = pairs.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))).withColumn("pr", F.floor(F.col("p") / size)).withColumn("pc", F.col("p") % size)
-    lon, lat = mercator_to_lonlat(west + (F.col("pc") + 0.5) * (east - west) / size, north - (F.col("pr") + 0.5) * (north - south) / size)
-    grid = grid.withColumn("r", F.floor((F.col("ymax") - lat) / (F.col("ymax") - F.col("ymin")) * F.col("height"))).withColumn("c", F.floor((lon - F.col("xmin")) / (F.col("xmax") - F.col("xmin")) * F.col("width")))
-    grid = grid.filter(F.col("r").between(0, F.col("height") - 1) & F.col("c").between(0, F.col("width") - 1)).select("z", "x", "y", "pr", "pc", "scene_id", "r", "c", "acquired", "bit_depth")
-    value = F.when(F.col("bit_depth") == 8, D.clip(F.col(band).cast("double"), 0.0, 255.0).cast("int")).otherwise(D.stretch(F.col(band), low, high))
-    found = grid.join(pixels.select("scene_id", "r", "c", F.col(band)), ["scene_id", "r", "c"]).withColumn("v", value)
-    return found.groupBy("z", "x", "y", "pr", "pc").agg(F.max_by("v", F.struct(F.col("acquired").isNull(), "acquired", "scene_id")).alias("value"))
-
-
 def rgba(value: Column) -> Column:
     """(r, g, b, a) of a single band; nothing is transparent black."""
     return F.struct(*[F.coalesce(value, F.lit(0)).alias(c) for c in "rgb"], F.when(value.isNull(), 0).otherwise(255).alias("a"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobath.sources.views import duck, table
+from isobath.sources.views import block_table, duck, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
     """Register a function of a table reader as a query, with the SQL that gives its rows over the named views."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda t: table(spark, sf_dir, t))
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: block_table(spark, sf_dir) if t == "pixel_blocks" else table(spark, sf_dir, t))
         if sql:
             SQL[name] = duck(sql, *views)
         return f

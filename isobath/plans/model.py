@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isobath.functions import depth as D
+from isobath.functions import projection as P
 from isobath.functions.keys import finite
 from isobath.operators import model as M
 from isobath.operators import raster as R
+from isobath.operators import warp as W
+from isobath.operators.steps import written
 from isobath.plans.base import query, r6
 
 B, G_, K_ = "(blue / 10000.0e0 + 1e-6)", "(green / 10000.0e0 + 1e-6)", "(coalesce(coastal, blue) / 10000.0e0 + 1e-6)"
@@ -44,30 +47,40 @@ def _(t):
     return df.select("scene_id", "r", "c", *[r6(F.col(n), n) for n in ("depth", "sigma", "lower", "upper")], r6(D.clip(F.col("depth") / D.MAX_DEPTH, 0.0, 1.0), "share"))
 
 
+#: Pixels a side of the blocks of the scenes here, which have 32.
+SIZE = 16
+
+
 @query("feature_stack_v1")
 def _(t):
-    return M.features(t("pixels"), 32, 32).select("scene_id", "r", "c", *M.STACK)
+    return M.block_features(t("pixel_blocks"), SIZE).select("scene_id", "r", "c", *M.STACK)
 
 
 @query("bottom_types")
 def _(t):
-    return M.bottom_types(t("pixels"), starts=2, rounds=5).groupBy("scene_id", "bottom").agg(F.count("*").alias("n"))
+    blocks = t("pixel_blocks")
+    return M.bottom_types(blocks, M.bottom_centres(blocks, size=SIZE), SIZE).groupBy("scene_id", "bottom").agg(F.count("*").alias("n"))
 
 
 @query("feature_stack_v2")
 def _(t):
-    pixels = t("pixels")
-    return M.features(pixels, 32, 32, M.bottom_types(pixels, starts=2, rounds=5)).select("scene_id", "r", "c", *M.STACK, *M.TURBID)
+    blocks = t("pixel_blocks")
+    return M.block_features(blocks, SIZE, M.bottom_centres(blocks, size=SIZE)).select("scene_id", "r", "c", *M.STACK, *M.TURBID)
 
 
 @query("model_depth")
 def _(t):
-    return M.predict(t("pixels"), 32, 32, M.synthetic_bundle(1)).drop("spm")
+    return M.predict(t("pixel_blocks"), M.synthetic_bundle(1), size=SIZE).drop("spm")
+
+
+@query("model_depth_v2")
+def _(t):
+    return M.predict(t("pixel_blocks"), M.synthetic_bundle(2), size=SIZE).drop("spm")
 
 
 @query("model_depth_calibrated")
 def _(t):
-    return M.predict(t("pixels"), 32, 32, M.synthetic_bundle(1), R.sounding_cells(t("soundings")), passes=5).drop("spm")
+    return M.predict(t("pixel_blocks"), M.synthetic_bundle(1), R.sounding_cells(t("soundings")), size=SIZE).drop("spm")
 
 
 @query("survey_payload")
@@ -78,9 +91,19 @@ def _(t):
     return M.payload(depth, t("scenes"), R.compliance(pairs))
 
 
+def _tuned(t):
+    return M.fine_tune(M.block_features(t("pixel_blocks"), SIZE), R.sounding_cells(t("soundings")), M.synthetic_bundle(1))
+
+
 @query("fine_tuned_rmse")
 def _(t):
-    return M.fine_tune(M.features(t("pixels"), 32, 32), R.sounding_cells(t("soundings")), M.synthetic_bundle(1), epochs=20)
+    return _tuned(t).drop("weights")
+
+
+@query("model_depth_tuned")
+def _(t):
+    tuned = written(_tuned(t).select("scene_id", "weights"), "tuned")
+    return M.predict(t("pixel_blocks"), M.synthetic_bundle(1), size=SIZE, tuned=tuned).drop("spm")
 
 
 @query("active_models", "SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'depth-v2' ELSE 'depth-v1' END, 'depth-v3') AS model, CASE WHEN id % 3 = 1 THEN '2.0' END AS version, CASE WHEN id % 2 = 0 THEN 'v2' ELSE 'v1' END AS stack FROM user_groups", ("user_groups",))
@@ -108,6 +131,76 @@ def _(t):
     return R.resample(t("pixels"), "scl", 32, 32, 16, 16, nearest=True)
 
 
+def _sums_sql(factors: list[float], x: str, y: str) -> tuple[str, str]:
+    """The series of functions.projection in SQL."""
+    along = " + ".join(f"{a!r} * sin({2 * j + 2} * {x}) * cosh({2 * j + 2} * {y})" for j, a in enumerate(factors))
+    across = " + ".join(f"{a!r} * cos({2 * j + 2} * {x}) * sinh({2 * j + 2} * {y})" for j, a in enumerate(factors))
+    return along, across
+
+
+def to_utm_sql(rows: str, lon: str, lat: str, zone: str, north: str) -> str:
+    """A subquery of rows with e and n, the coordinates of (lon, lat) in a zone."""
+    along, across = _sums_sql(P.ALPHA, "xi", "eta")
+    return f"""(SELECT *, 500000 + 0.9996e0 * {P.RADIUS!r} * (eta + {across}) AS e, (1 - {north}) * 10000000e0 + 0.9996e0 * {P.RADIUS!r} * (xi + {along}) AS n FROM (
+      SELECT *, atan2(tc, cos(dl)) AS xi, asinh(sin(dl) / sqrt(tc * tc + cos(dl) * cos(dl))) AS eta FROM (
+        SELECT *, sinh(atanh(sin(radians({lat}))) - {P._E!r} * atanh({P._E!r} * sin(radians({lat})))) AS tc, radians({lon} - ({zone} * 6 - 183)) AS dl FROM {rows})))"""
+
+
+def from_utm_sql(rows: str, e: str, n: str, zone: str, north: str) -> str:
+    """A subquery of rows with lon and lat, the degrees of a place of a zone."""
+    along, across = _sums_sql(P.BETA, "xi", "eta")
+    s = "sin(xj) / cosh(ej)"
+    for _ in range(7):
+        s = f"tanh(atanh(sin(xj) / cosh(ej)) + {P._E!r} * atanh({P._E!r} * {s}))"
+    return f"""(SELECT *, degrees(atan2(sinh(ej), cos(xj))) + ({zone} * 6 - 183) AS lon, degrees(asin({s})) AS lat FROM (
+      SELECT *, xi - ({along}) AS xj, eta - ({across}) AS ej FROM (
+        SELECT *, ({n} - (1 - {north}) * 10000000e0) / (0.9996e0 * {P.RADIUS!r}) AS xi, ({e} - 500000) / (0.9996e0 * {P.RADIUS!r}) AS eta FROM {rows})))"""
+
+
+ZONES_SQL = "(SELECT id, lon AS lon0, lat AS lat0, least(60, CAST(floor((lon + 180) / 6) AS INT) + 1) AS zone, CASE WHEN lat >= 0 THEN 1 ELSE 0 END AS north FROM reports WHERE abs(lat) <= 84)"
+
+
+@query("utm_places", f"SELECT id, CASE WHEN north = 1 THEN 32600 + zone ELSE 32700 + zone END AS epsg, round(e, 3) AS east, round(n, 3) AS north_m FROM {to_utm_sql(ZONES_SQL, 'lon0', 'lat0', 'zone', 'north')}", ("reports",))
+def _(t):
+    places = t("reports").filter("abs(lat) <= 84").withColumn("zone", P.zone_of(F.col("lon"))).withColumn("north", F.when(F.col("lat") >= 0, 1).otherwise(0))
+    east, north = P.to_utm(F.col("lon"), F.col("lat"), F.col("zone"), F.col("north"))
+    return places.select("id", P.utm_code(F.col("zone"), F.col("north")).alias("epsg"), F.round(east, 3).alias("east"), F.round(north, 3).alias("north_m"))
+
+
+@query("utm_round_trip", "SELECT id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM reports WHERE abs(lat) <= 84", ("reports",))
+def _(t):
+    places = t("reports").filter("abs(lat) <= 84").withColumn("zone", P.zone_of(F.col("lon"))).withColumn("north", F.when(F.col("lat") >= 0, 1).otherwise(0))
+    east, north = P.to_utm(F.col("lon"), F.col("lat"), F.col("zone"), F.col("north"))
+    placed = places.select("id", "zone", "north", east.alias("e"), north.alias("n"))
+    lon, lat = P.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.col("north"))
+    # adding nothing turns a rounded minus zero into zero
+    return placed.select("id", (F.round(lon, 8) + 0.0).alias("lon"), (F.round(lat, 8) + 0.0).alias("lat"))
+
+
+#: The scenes' samples as if they lay in zone 39 of the northern UTM grid, ten metres a pixel.
+UTM_WEST, UTM_NORTH = "300000 + 3200 * (scene_id % 40)", "2500000 + 3200 * (scene_id % 24)"
+_CENTRES_SQL = from_utm_sql("scenes", f"({UTM_WEST} + 160)", f"({UTM_NORTH} - 160)", "39", "1")
+_TARGET_SQL = f"(SELECT scene_id, r, c, lon - 0.002e0 + (c + 0.5e0) * 0.0001e0 AS plon, lat + 0.002e0 - (r + 0.5e0) * 0.0001e0 AS plat FROM {_CENTRES_SQL}, (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c))"
+
+
+@query(
+    "warped_utm",
+    f"""SELECT t.scene_id, t.r, t.c, round(sum(p.green * w) / sum(w), 2) AS value FROM (
+      SELECT scene_id, r, c, fi + a AS pr, fj + b AS pc, abs(1 - a - (fr - fi)) * abs(1 - b - (fc - fj)) AS w FROM (
+        SELECT *, CAST(floor(fr) AS BIGINT) AS fi, CAST(floor(fc) AS BIGINT) AS fj FROM (SELECT *, ({UTM_NORTH} - n) / 10 - 0.5e0 AS fr, (e - ({UTM_WEST})) / 10 - 0.5e0 AS fc FROM {to_utm_sql(_TARGET_SQL, 'plon', 'plat', '39', '1')})
+        WHERE fr >= -0.5e0 AND fr < 31.5e0 AND fc >= -0.5e0 AND fc < 31.5e0), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) t
+      JOIN pixels p ON p.scene_id = t.scene_id AND p.r = t.pr AND p.c = t.pc WHERE w > 0 GROUP BY ALL""",
+    ("scenes", "pixels"),
+)
+def _(t):
+    scenes = t("scenes").select("scene_id", F.expr(UTM_WEST).cast("double").alias("west"), F.expr(UTM_NORTH).cast("double").alias("top"))
+    sources = scenes.select("scene_id", F.lit(32639).alias("epsg"), F.col("west").alias("x0"), F.col("top").alias("y0"), F.lit(10.0).alias("dx"), F.lit(-10.0).alias("dy"), F.lit(32).alias("height"), F.lit(32).alias("width"))
+    lon, lat = P.from_utm(F.col("west") + 160, F.col("top") - 160, F.lit(39), F.lit(1))
+    targets = scenes.select("scene_id", F.lit(4326).alias("epsg"), (lon - 0.002).alias("x0"), (lat + 0.002).alias("y0"), F.lit(0.0001).alias("dx"), F.lit(-0.0001).alias("dy"), F.lit(40).alias("height"), F.lit(40).alias("width"))
+    out = W.warped_rows(W.warp(t("pixel_blocks"), sources, targets, "green", SIZE, SIZE), SIZE)
+    return out.select("scene_id", "r", "c", F.round("value", 2).alias("value"))
+
+
 ORIGIN, SIDE = "20037508.342789244e0", "(40075016.685578488e0 / 256)"
 COMPOSITE_SQL = f"""(SELECT x, y, pr, pc, arg_max(v, acquired * 1000000 + scene_id) AS value FROM (SELECT g.x, g.y, g.pr, g.pc, s.scene_id, datediff('day', DATE '2024-01-01', s.acquired) AS acquired,
   CAST(CASE WHEN s.scene_id % 4 = 0 THEN greatest(0, least(255, p.red)) ELSE floor(greatest(0e0, least(255e0, (p.red - 100) / 900.0e0 * 255))) END AS INT) AS v FROM (
@@ -119,7 +212,7 @@ COMPOSITE_SQL = f"""(SELECT x, y, pr, pc, arg_max(v, acquired * 1000000 + scene_
 
 def _composite(t):
     scenes = t("scenes").withColumn("bit_depth", F.when(F.col("scene_id") % 4 == 0, 8).otherwise(16))
-    return R.composite(t("scene_tiles"), scenes, t("pixels"), "red", F.lit(100.0), F.lit(1000.0), 8)
+    return W.composite(t("scene_tiles"), scenes, t("pixel_blocks"), "red", 100.0, 1000.0, 8, SIZE)
 
 
 @query("tile_composite", f"SELECT x, y, pr, pc, value AS r, value AS g, value AS b, 255 AS a FROM {COMPOSITE_SQL}", ("scene_tiles", "scenes", "pixels"))

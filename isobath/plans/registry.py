@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isobath.functions import depth as D
 from isobath.functions import geo as G
+from isobath.operators import blocks as B
 from isobath.operators import catalog as C
 from isobath.operators import intervals as I
 from isobath.operators import raster as R
@@ -325,10 +326,10 @@ def _(t):
     return R.indices(t("pixels")).groupBy("scene_id").agg(r6(F.avg("spm"), "spm"), r6(F.avg("ndti"), "ndti"))
 
 
-# its join in SQL has 25 rows a pixel: the test holds it against brute force instead
+# its join in SQL has 25 rows a pixel: tests hold it against brute force and the row form instead
 @query("texture_5x5", None)
 def _(t):
-    return R.moving_stats(t("pixels"), "blue", 32, 32).select("scene_id", "r", "c", r6(F.col("blue_mean"), "blue_mean"), F.round("blue_std", 4).alias("blue_std"))
+    return B.texture(t("pixel_blocks"), "blue", 16).select("scene_id", "r", "c", r6(F.col("blue_mean"), "blue_mean"), F.round("blue_std", 4).alias("blue_std"))
 
 
 @query("band_percentiles", "SELECT scene_id, round(quantile_cont(red, 0.025), 6) AS lo, round(CASE WHEN quantile_cont(red, 0.975) <= quantile_cont(red, 0.025) THEN quantile_cont(red, 0.025) + 1 ELSE quantile_cont(red, 0.975) END, 6) AS hi FROM pixels GROUP BY scene_id", ("pixels",))

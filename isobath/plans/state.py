@@ -50,3 +50,10 @@ def _(t):
 @query("audit_hours", "SELECT date_trunc('hour', event_time) AS hour, action, count(*) AS n FROM audit_log GROUP BY 1, 2", ("audit_log",))
 def _(t):
     return Z.hourly(t("audit_log")).select("hour", "action", "n")
+
+
+@query("login_answers")
+def _(t):
+    # as login_limits; users are the ones the attempts name, every eleventh of them unknown
+    attempts = t("events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_id") % 11 > 0, F.col("user_id")).alias("user_id"))
+    return Z.login_chain(attempts, t("users"), 5, 3600)

@@ -7,9 +7,22 @@ check start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+#: Pixels on a side of a scene.
+SIDE = 32
+#: The samples of a scene's bands by row and column.
+BANDS = {
+    "blue": "300 + (s_suppkey * 7919 + {r} * 31 + {c} * 17) % 1500",
+    "green": "280 + (s_suppkey * 104729 + {r} * 29 + {c} * 13) % 1400",
+    "red": "120 + (s_suppkey * 1299709 + {r} * 23 + {c} * 19) % 900",
+    "coastal": "CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 320 + (s_suppkey * 15485863 + {r} * 37 + {c} * 11) % 1300 END",
+    "nir": "60 + (s_suppkey * 7907 + {r} * 41 + {c} * 43) % 1600",
+    "scl": "CASE (s_suppkey + CAST(floor(CAST({r} AS DOUBLE) / 4) AS BIGINT) * 3 + CAST(floor(CAST({c} AS DOUBLE) / 4) AS BIGINT) * 5) % 12 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 6 WHEN 6 THEN 6 WHEN 7 THEN 8 WHEN 8 THEN 9 WHEN 9 THEN 10 WHEN 10 THEN 11 ELSE 7 END",
+}
+
 VIEWS = {
     "users": "SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 10 = 0 THEN 'admin' WHEN c_custkey % 10 < 4 THEN 'analyst' ELSE 'viewer' END AS role, c_custkey % 7 <> 0 AS is_active FROM customer",
     "user_groups": "SELECT n_nationkey AS id, n_name AS name FROM nation",
@@ -35,10 +48,7 @@ VIEWS = {
         CAST(o_orderkey % 25 AS DOUBLE) AS mean_m, CAST(o_custkey % 200 AS STRING) AS cache_key, o_orderkey AS depth_raster_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 5 = 0""",
     "jobs": "SELECT o_orderkey AS id, o_orderkey AS source_raster_id, CASE o_orderkey % 16 WHEN 0 THEN 'pending' WHEN 4 THEN 'running' WHEN 8 THEN 'done' ELSE 'failed' END AS status FROM orders WHERE o_orderkey % 4 = 0",
     "scenes": "SELECT s_suppkey AS scene_id, CAST(50 AS DOUBLE) + CAST(s_suppkey % 40 AS DOUBLE) / 8 AS west, CAST(20 AS DOUBLE) + CAST(s_suppkey % 24 AS DOUBLE) / 8 AS south, CAST(50 AS DOUBLE) + CAST(s_suppkey % 40 + 1 AS DOUBLE) / 8 AS east, CAST(20 AS DOUBLE) + CAST(s_suppkey % 24 + 1 AS DOUBLE) / 8 AS north, 32 AS width, 32 AS height, CAST((s_suppkey * 7) % 80 AS DOUBLE) AS cloud_cover, DATE '2024-01-01' + CAST(s_suppkey % 60 AS INT) AS acquired FROM supplier",
-    "pixels": """SELECT s_suppkey AS scene_id, a.r, b.c, 300 + (s_suppkey * 7919 + a.r * 31 + b.c * 17) % 1500 AS blue, 280 + (s_suppkey * 104729 + a.r * 29 + b.c * 13) % 1400 AS green, 120 + (s_suppkey * 1299709 + a.r * 23 + b.c * 19) % 900 AS red,
-        CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 320 + (s_suppkey * 15485863 + a.r * 37 + b.c * 11) % 1300 END AS coastal, 60 + (s_suppkey * 7907 + a.r * 41 + b.c * 43) % 1600 AS nir,
-        CASE (s_suppkey + CAST(floor(CAST(a.r AS DOUBLE) / 4) AS BIGINT) * 3 + CAST(floor(CAST(b.c AS DOUBLE) / 4) AS BIGINT) * 5) % 12 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 6 WHEN 6 THEN 6 WHEN 7 THEN 8 WHEN 8 THEN 9 WHEN 9 THEN 10 WHEN 10 THEN 11 ELSE 7 END AS scl
-        FROM supplier CROSS JOIN (SELECT CAST(id AS BIGINT) AS r FROM seq32) a CROSS JOIN (SELECT CAST(id AS BIGINT) AS c FROM seq32) b""",
+    "pixels": "SELECT s_suppkey AS scene_id, a.r, b.c, " + ", ".join(f"{text.format(r='a.r', c='b.c')} AS {band}" for band, text in BANDS.items()) + " FROM supplier CROSS JOIN (SELECT CAST(id AS BIGINT) AS r FROM seq32) a CROSS JOIN (SELECT CAST(id AS BIGINT) AS c FROM seq32) b",
     "soundings": "SELECT l_suppkey AS scene_id, (l_orderkey * 7 + l_linenumber) % 32 AS r, (l_partkey * 5 + l_linenumber) % 32 AS c, 0.25e0 + CAST(l_quantity AS DOUBLE) / 2 AS depth FROM lineitem",
     "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
     "scene_tiles": "SELECT 8 AS z, CAST(163 + a.id AS BIGINT) AS x, CAST(110 + b.id AS BIGINT) AS y FROM seq5 a CROSS JOIN seq5 b",
@@ -80,6 +90,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f"FROM {base}" in text or f"JOIN {base}" in text:
             text = text.replace(f"FROM {base}", f"FROM {{{base}}}").replace(f"JOIN {base}", f"JOIN {{{base}}}")
             parts[base] = table(spark, sf_dir, base)
+            if name == "pixels":  # few rows become very many: deal them out first
+                parts[base] = parts[base].repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
     for seq in ("seq5", "seq16", "seq32"):
         if seq in text:
             text = text.replace(seq, f"{{{seq}}}")
@@ -87,6 +99,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **parts)
 
 
+def block_table(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
+    """The samples of ``pixels`` as square blocks of size a side: see operators.blocks."""
+    from isobath.operators.blocks import KEYS
+
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit((SIDE - 1) // size))).alias("br")).select("*", F.explode(F.sequence(F.lit(0), F.lit((SIDE - 1) // size))).alias("bc"))
+    keys = keys.select(F.col("s_suppkey").alias("scene_id"), "br", "bc", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width")).repartition(*KEYS)
+    # a block's own height and width, cut at the scene's edge
+    high, wide = (f"least({size}, {SIDE} - {b} * {size})" for b in ("br", "bc"))
+    samples = []
+    for band, text in BANDS.items():
+        value = text.format(r=f"(br * {size} + i DIV {wide})", c=f"(bc * {size} + i % {wide})").replace("s_suppkey", "scene_id")
+        samples.append(F.expr(f"transform(sequence(0, {high} * {wide} - 1), i -> CAST({value} AS DOUBLE))").alias(band))
+    return keys.select(*KEYS, "height", "width", *samples)
+
+
 def duck(query: str, *views: str) -> str:
     """query for DuckDB with the named views in front."""
     heads = [f"{v} AS ({VIEWS[v]})" for v in views]
