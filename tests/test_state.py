@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from isobath.operators import reports as P
@@ -48,20 +49,81 @@ def run(spark, frame, name, mode="append"):
     return spark.table(name).collect()
 
 
-def test_stream_of_logins_equals_the_batch(spark, tmp_path):
-    rows = sorted(attempts(2, 200), key=lambda r: r[1])
-    spark.createDataFrame(rows, "client string, ts timestamp_ntz, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("client string, ts timestamp_ntz, id long").parquet(str(tmp_path / "in"))
-    got = {r.id: r.status for r in run(spark, Z.stream_logins(source, 5, 60), "logins")}
-    assert got == brute(rows, 5, 60)
+def in_files(spark, path, rows, shape, size):
+    """A stream that takes size rows a batch, in their order."""
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], shape).coalesce(1).write.mode("append").parquet(str(path / f"n{i:06}"))
+        time.sleep(0.02)  # files are taken by age
+    return spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+
+
+@pytest.mark.parametrize("size", [300, 60])
+def test_stream_of_logins_equals_the_batch(spark, tmp_path, size):
+    """Also in batches that split windows: by the attempts' own times, however long the stream pauses."""
+    Z.timed(spark)
+    rows = sorted(attempts(2, 300), key=lambda r: (r[1], r[2]))
+    source = in_files(spark, tmp_path, rows, "client string, ts timestamp_ntz, id long", size)
+    got = {r.id: r.status for r in run(spark, Z.stream_logins(source, 5, 60), f"logins{size}")}
+    assert got == brute(rows, 5, 60) == {r.id: r.status for r in Z.limit_logins(spark.createDataFrame(rows, "client string, ts timestamp_ntz, id long"), 5, 60).collect()}
+
+
+def held_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_state_of_logins_goes_when_its_window_has_passed(spark, tmp_path):
+    Z.timed(spark)
+    rows = [(f"c{i}", START + dt.timedelta(seconds=i % 30), i) for i in range(200)] + [("late", START + dt.timedelta(hours=5), 900), ("last", START + dt.timedelta(hours=9), 901)]
+    source = in_files(spark, tmp_path, rows, "client string, ts timestamp_ntz, id long", 100)
+    query = Z.stream_logins(source, 5, 60).writeStream.format("memory").queryName("passing").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    held = held_rows(query)
+    assert max(held) >= 100 and held[-1] <= 3  # of 202 clients, the last one's window and timer
 
 
 def test_stream_of_revocations_equals_the_batch(spark, tmp_path):
+    Z.timed(spark)
     tokens = registry.table(spark, SF, "tokens")
-    tokens.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(tokens.schema).parquet(str(tmp_path / "in"))
-    got = {r.id: r.revoked for r in run(spark, Z.stream_revoked(source), "revocations")}
+    rows = [tuple(r) for r in tokens.orderBy("ts", "id").collect()]
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema)
+    source = in_files(spark, tmp_path, rows, shape, 350)
+    query = Z.stream_revoked(source).writeStream.format("memory").queryName("revocations").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {r.id: r.revoked for r in spark.table("revocations").collect()}
     assert got == {r.id: r.revoked for r in Z.revoked(tokens).collect()} and any(got.values())
+    # only tokens with a revocation that still holds are state, not each token ever seen
+    assert held_rows(query)[-1] < len({r[3] for r in rows})
+
+
+def test_login_chain_is_killed_and_started_again(spark, tmp_path):
+    Z.timed(spark)
+    users = registry.table(spark, SF, "users")
+    rng = random.Random(8)
+    rows = sorted([(rng.choice(["10.0.0.1, 172.16.0.9", "10.0.0.2", None]), START + dt.timedelta(seconds=rng.randrange(0, 4000)), i, rng.randrange(0, 200)) for i in range(240)], key=lambda r: (r[1], r[2]))
+    shape = "client string, ts timestamp_ntz, id long, user_id long"
+    batch = Z.login_chain(spark.createDataFrame(rows, shape), users, 5, 60)
+    want = {r.id: r.answer for r in batch.collect()}
+    assert set(want.values()) == {200, 401, 403, 429}
+    source = in_files(spark, tmp_path / "in", rows, shape, 80)
+    sink = Z.LoginSink(str(tmp_path / "out"), users)
+
+    class Dies(Z.LoginSink):
+        """Stops after the second batch has been written, before it counts as done."""
+
+        def __call__(self, batch, number):
+            super().__call__(batch, number)
+            if number == 1:
+                raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        Z.stream_login_chain(source, 5, 60, Dies(str(tmp_path / "out"), users), str(tmp_path / "check")).awaitTermination(120)
+    for _ in range(2):  # started again, and once more with nothing new
+        Z.stream_login_chain(source, 5, 60, sink, str(tmp_path / "check")).awaitTermination(120)
+    audit = sink.audit(spark).collect()
+    assert sorted(r.id for r in audit) == sorted(i for i, a in want.items() if a == 200)
+    assert {r.address for r in audit} == {"10.0.0.1", "10.0.0.2", None}
+    last = {r.user_id: (r.last_login.replace(tzinfo=None), r.logins) for r in sink.last_logins(spark).collect()}
+    assert last == {r.user_id: (r.last_login, r.logins) for r in Z.last_logins(batch).collect()}
 
 
 def test_audit_hours_and_first_uses_of_a_stream(spark, tmp_path):
