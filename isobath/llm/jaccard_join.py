@@ -5,7 +5,9 @@ common ones last, and a set is known by its prefix: two sets of the wanted
 similarity share a shingle of their prefixes.  Classes with the same prefix and
 size are one group, which is listed once under each prefix shingle.  Pairs of
 groups from one list are filtered by size and by the places of the shingle, then
-expanded to their classes, which are verified on full sets.
+expanded to their classes.  Parity bitmaps refute most pairs of classes: two sets
+differ by at least as many shingles as their bitmaps do bits.  The rest is
+verified on full sets.
 
 Only components are asked for, so a list is not paired with itself.  Each member
 is paired with the list's pivot first.  Lists and groups that hold one component
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from isobath.llm.common import discard, join_checked, map_arrow, materialise, quoted, with_fields
 from isobath.llm.near_dedup import _confirm, _doc_sets, _fields, _names, _sets_of, components
@@ -33,6 +35,8 @@ SAMPLE = 16
 COMMON = 3
 #: Common shingles that are told apart, the most frequent first; more only make lists longer.
 COMMON_SHINGLES = 500_000
+#: Bits of a parity bitmap: the power of two from twice the set's size on, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 
 
 def _common(docs: DataFrame, id_col: str, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +63,26 @@ def prefix_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of a set's shingles by their low bits, in which every second one clears the bit again."""
+    bits = min(max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()), MOST_BITS)
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits by which two bitmaps differ, the longer one folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """(id, n, s1, s2, g1, g2, prefix): size and names of every row's set and of its prefix, and the prefix in the common order."""
+    """(id, n, s1, s2, g1, g2, prefix, bits): size and names of every row's set and of its prefix, the prefix in the common order and the set's bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text, k))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = held.value
         for batch in batches:
-            rows, parts = [], []
+            rows, parts, bits = [], [], []
             for s in _doc_sets(batch.column(1), k):
                 p = prefix_size(len(s), percent)
                 at = np.searchsorted(common, s)
@@ -74,15 +90,16 @@ def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> D
                 hit = common[at] == s if len(common) else np.zeros(len(s), bool)
                 own = s[:p] if not hit.any() else s[np.lexsort((s, np.where(hit, times[at], 0)))[:p]]
                 parts.append(own)
+                bits.append(parity(s))
                 rows.append((len(s), *_names(s), *_names(own)))
             numbers = np.array(rows, np.uint64).reshape(-1, 5).view(np.int64)
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            columns = [batch.column(0), *(pa.array(numbers[:, i].copy()) for i in range(5)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "g1", "g2", "prefix"])
+            columns = [batch.column(0), *(pa.array(numbers[:, i].copy()) for i in range(5)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "g1", "g2", "prefix", "bits"])
 
     source = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text"))
-    return map_arrow(source, cut, _fields(source.schema[0].dataType, n=LongType(), s1=LongType(), s2=LongType(), g1=LongType(), g2=LongType(), prefix=ArrayType(LongType())))
+    return map_arrow(source, cut, _fields(source.schema[0].dataType, n=LongType(), s1=LongType(), s2=LongType(), g1=LongType(), g2=LongType(), prefix=ArrayType(LongType()), bits=BinaryType()))
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -126,6 +143,21 @@ def _open_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _unrefuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps leave the similarity possible: linked sets differ by (100 - percent) / (100 + percent) of both sizes together at most."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("x", "y", "n", "m"))
+            good = [(100 + percent) * differing(*bits) <= (100 - percent) * (i + j) for *bits, i, j in zip(x, y, n, m)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    a = classes.select(F.col("c").alias("a"), F.col("bits").alias("x"), "n")
+    b = classes.select(F.col("c").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "n", "m")
+    return map_arrow(met, check, StructType([met.schema["a"], met.schema["b"]]))
+
+
 def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b): the classes of pairs (x, y) of groups that lie in different components; members has (gid, c, component)."""
     a = members.select(F.col("gid").alias("x"), F.col("c").alias("a"), F.col("component").alias("p"))
@@ -163,16 +195,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     full = pre.filter("n > 0").withColumn("c", F.struct("s1", "s2"))
     groups = full.groupBy("n", "g1", "g2").agg(F.min("c").alias("rep"), F.first("prefix").alias("prefix"))
     groups = materialise(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
-    classes = full.groupBy("n", "g1", "g2", "c").agg(F.min("id").alias("id"))
-    classes = materialise(join_checked(classes, groups.select("n", "g1", "g2", "gid", "rep"), ["n", "g1", "g2"]).select("gid", "c", "rep", "id"), "classes")
-    names = full.select("id", "c")
+    classes = full.groupBy("n", "g1", "g2", "c").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
+    classes = materialise(join_checked(classes, groups.select("n", "g1", "g2", "gid", "rep"), ["n", "g1", "g2"]).select("gid", "c", "rep", "id", "n", "bits"), "classes")
+    every = materialise(pre.select("id", "n", "s1", "s2"), "names")
+    names = every.filter("n > 0").select("id", F.struct("s1", "s2").alias("c"))
+    discard(pre)
     several = names.groupBy("id").agg(F.count("*").alias("times"), F.min("c").alias("least"), F.max("c").alias("most")).filter("times > 1")
     several = materialise(several, "several")
     repeats = several.limit(1).count() > 0
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(_unrefuted(pairs, classes, percent), "pairs")
         used = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
         sets = _sets_of(ids, join_checked(classes, used, ["c"], "left_semi").select("id").distinct(), id_col, text, k).select(F.struct("s1", "s2").alias("id"), "set")
         sets = materialise(sets.dropDuplicates(["id"]) if repeats else sets, "sets")
@@ -181,7 +215,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         return links
 
     lists = materialise(_lists(groups, percent), "lists")
-    rep = groups.select("gid", "rep")
+    discard(groups)
+    rep = classes.filter("c = rep").select("gid", "rep")
     pivots = _pivot_pairs(lists, percent).join(rep.select(F.col("gid").alias("x"), F.col("rep").alias("a")), "x").join(rep.select(F.col("gid").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     first = verified(pivots.union(classes.filter("c <> rep").select(F.col("rep").alias("a"), F.col("c").alias("b"))))
     labels = components(first)
@@ -198,10 +233,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     joined = materialise(joined, "joined")
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     of_class = joined.join(least, "component").select("c", "component_id")
-    sizes = pre.groupBy("id").agg(F.max("n").alias("n_shingles"))
+    sizes = every.groupBy("id").agg(F.max("n").alias("n_shingles"))
     found = sizes.join(names.join(of_class, "c").groupBy("id").agg(F.min("component_id").alias("component_id")), "id", "left")
     found = found.select(F.col("id").alias("__id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    discard(groups, classes, several, lists, first, members, opened, more)
+    discard(classes, several, lists, first, members, opened, more)
     added = StructType([StructField("n_shingles", LongType()), StructField("component_id", docs.schema[id_col].dataType)])
     rest, _ = with_fields(docs.drop(text), added)
     return rest.join(found, quoted(id_col) == F.col("__id"), "left").drop("__id")

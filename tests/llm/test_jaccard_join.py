@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from isobath.llm import jaccard_join
@@ -89,3 +90,14 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert jaccard_components(df.limit(0)).count() == 0
     strings = spark.createDataFrame([("b", "x y"), ("a", "X y"), ("c", "")], "doc_id string, text string")
     assert collect(jaccard_components(strings)) == {"a": (1, "a"), "b": (1, "a"), "c": (0, "c")}
+
+
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n, m, both in ((1, 1, 0), (5, 4, 4), (300, 300, 290), (700, 600, 550), (9000, 8000, 7900), (40_000, 33_000, 100)):
+        h = rng.integers(0, 2**64, n + m - both, np.uint64)
+        a, b = h[:n], h[n - both :]
+        got = jaccard_join.differing(jaccard_join.parity(a), jaccard_join.parity(b))
+        assert got <= n + m - 2 * both and got == jaccard_join.differing(jaccard_join.parity(b), jaccard_join.parity(a))
+    # unrelated sets are refuted
+    assert got > (n + m) / 9
