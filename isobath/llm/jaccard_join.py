@@ -10,7 +10,7 @@ differ by at least as many shingles as their bitmaps do bits.  The rest is
 verified on full sets.
 
 Only components are asked for, so a list is not paired with itself.  Each member
-is paired with the list's pivot first.  Lists and groups that hold one component
+is paired with the list's pivot first, the member that has the shingle earliest.  Lists and groups that hold one component
 after that are done.  In the others the members outside of the largest component
 meet those of other components, which leaves no possible link unverified.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -30,7 +30,7 @@ from isobath.llm.common import discard, join_checked, map_arrow, materialise, qu
 from isobath.llm.near_dedup import _confirm, _doc_sets, _fields, _names, _sets_of, components
 
 #: One of so many documents is looked at for common shingles.
-SAMPLE = 16
+SAMPLE = 32
 #: Documents of the sample that hold a common shingle, at least.
 COMMON = 3
 #: Common shingles that are told apart, the most frequent first; more only make lists longer.
@@ -76,7 +76,7 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """(id, n, s1, s2, g1, g2, prefix, bits): size and names of every row's set and of its prefix, the prefix in the common order and the set's bitmap."""
+    """(id, n, s1, s2, g1, g2, rare, prefix, bits): size and names of every row's set and of its prefix, the prefix in the common order, how many of it are not common, and the set's bitmap."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text, k))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +91,15 @@ def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> D
                 own = s[:p] if not hit.any() else s[np.lexsort((s, np.where(hit, times[at], 0)))[:p]]
                 parts.append(own)
                 bits.append(parity(s))
-                rows.append((len(s), *_names(s), *_names(own)))
-            numbers = np.array(rows, np.uint64).reshape(-1, 5).view(np.int64)
+                rows.append((len(s), *_names(s), *_names(own), min(p, len(s) - int(hit.sum()))))
+            numbers = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64)
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            columns = [batch.column(0), *(pa.array(numbers[:, i].copy()) for i in range(5)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "g1", "g2", "prefix", "bits"])
+            columns = [batch.column(0), *(pa.array(numbers[:, i].copy()) for i in range(6)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "g1", "g2", "rare", "prefix", "bits"])
 
     source = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text"))
-    return map_arrow(source, cut, _fields(source.schema[0].dataType, n=LongType(), s1=LongType(), s2=LongType(), g1=LongType(), g2=LongType(), prefix=ArrayType(LongType()), bits=BinaryType()))
+    return map_arrow(source, cut, _fields(source.schema[0].dataType, n=LongType(), s1=LongType(), s2=LongType(), g1=LongType(), g2=LongType(), rare=LongType(), prefix=ArrayType(LongType()), bits=BinaryType()))
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -110,24 +110,37 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def _lists(groups: DataFrame, percent: int) -> DataFrame:
-    """(shingle, bin, gid, n, pos): the postings of shingles that several groups have; members of a bin are of fitting sizes."""
-    posting = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    crowded = posting.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
+    """(shingle, gid, n, pos, pivot): the postings of shingles that several groups have, with the group that has the shingle earliest among those of a list's size.
+
+    Sizes are classed so that those of one class fit each other.  A list in which
+    nobody could be the smaller one of a pair is left out.  Lists of shingles that
+    are not common are short and come from one sort; common ones, which may be
+    long, are counted before they are dealt out.
+    """
     step = math.log(100 / percent) + 1e-9
-    return join_checked(posting, crowded, ["shingle"], "left_semi").withColumn("bin", F.floor(F.log("n") / step).cast("int")).select("shingle", "bin", "gid", "n", "pos")
+    posting = groups.select("gid", "n", "rare", F.floor(F.log("n") / step).cast("int").alias("bin"), F.posexplode("prefix").alias("pos", "shingle"))
+    # a pair's smaller set needs room for percent / (100 + percent) of twice its size behind the shingle
+    posting = posting.withColumn("first", (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
+    earliest = F.min(F.struct("pos", "gid", "n"))
+    whole, own = Window.partitionBy("shingle"), Window.partitionBy("shingle", "bin")
+    seldom = posting.filter("pos < rare").withColumns({"times": F.count("*").over(whole), "any": F.max("first").over(whole), "pivot": earliest.over(own)})
+    common = posting.filter("pos >= rare")
+    counted = common.groupBy("shingle").agg(F.count("*").alias("times"), F.max("first").alias("any"))
+    pivots = common.groupBy("shingle", "bin").agg(earliest.alias("pivot"))
+    often = join_checked(join_checked(common, counted, ["shingle"]), pivots, ["shingle", "bin"])
+    names = ["shingle", "gid", "n", "pos", "pivot"]
+    return seldom.filter("times > 1 AND any").select(*names).union(often.filter("times > 1 AND any").select(*names))
 
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(x, y): the first group of each list and size with the others of it and of the next size."""
-    first = lists.groupBy("shingle", "bin").agg(F.min(F.struct("gid", "n", "pos")).alias("p"))
-    first = first.select("shingle", F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"), "p.*").alias("a")
-    met = first.join(lists.alias("b"), ["shingle", "bin"]).filter((F.col("a.gid") != F.col("b.gid")) & _may_link("a", "b", percent))
-    return met.select(F.col("a.gid").alias("x"), F.col("b.gid").alias("y")).distinct()
+    """(x, y): each list's pivots with the other members of their size."""
+    met = lists.select(F.struct("gid", "n", "pos").alias("a"), F.col("pivot").alias("b")).filter((F.col("a.gid") != F.col("b.gid")) & _may_link("a", "b", percent))
+    return met.select(F.col("b.gid").alias("x"), F.col("a.gid").alias("y")).distinct()
 
 
 def _open_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """(x, y): groups of one list that may be linked and do not lie in one component; placed gives (gid, lo, hi), the components of a group's classes."""
-    own = lists.drop("bin").join(placed, "gid")
+    own = lists.drop("pivot").join(placed, "gid")
     mixed = own.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("shingle")
     own = materialise(join_checked(own, mixed, ["shingle"], "left_semi"), "open")
     # the component with most groups of a list does not meet itself
@@ -152,6 +165,9 @@ def _unrefuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             good = [(100 + percent) * differing(*bits) <= (100 - percent) * (i + j) for *bits, i, j in zip(x, y, n, m)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    # most classes are in no pair
+    used = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    classes = join_checked(classes, used, ["c"], "left_semi")
     a = classes.select(F.col("c").alias("a"), F.col("bits").alias("x"), "n")
     b = classes.select(F.col("c").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "n", "m")
@@ -193,7 +209,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     ids = docs.filter(quoted(id_col).isNotNull())
     pre = materialise(prefixes(ids, id_col, text, k, percent), "prefixes")
     full = pre.filter("n > 0").withColumn("c", F.struct("s1", "s2"))
-    groups = full.groupBy("n", "g1", "g2").agg(F.min("c").alias("rep"), F.first("prefix").alias("prefix"))
+    groups = full.groupBy("n", "g1", "g2").agg(F.min("c").alias("rep"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
     groups = materialise(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
     classes = full.groupBy("n", "g1", "g2", "c").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
     classes = materialise(join_checked(classes, groups.select("n", "g1", "g2", "gid", "rep"), ["n", "g1", "g2"]).select("gid", "c", "rep", "id", "n", "bits"), "classes")
@@ -206,12 +222,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
-        pairs = materialise(_unrefuted(pairs, classes, percent), "pairs")
+        raw = materialise(pairs, "candidates")
+        pairs = materialise(_unrefuted(raw, classes, percent), "pairs")
         used = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
         sets = _sets_of(ids, join_checked(classes, used, ["c"], "left_semi").select("id").distinct(), id_col, text, k).select(F.struct("s1", "s2").alias("id"), "set")
         sets = materialise(sets.dropDuplicates(["id"]) if repeats else sets, "sets")
         links = materialise(_confirm(pairs, sets, percent), "links")
-        discard(pairs, sets)
+        discard(raw, pairs, sets)
         return links
 
     lists = materialise(_lists(groups, percent), "lists")
