@@ -147,10 +147,10 @@ def _(t):
     return X.last_messages(t("conversations")).select("conv_id", "turn", "role", "back")
 
 
-@query("tile_bounds", "SELECT z, x, y, round(x * (40075016.685578488e0 / pow(2e0, z)) - 20037508.342789244e0, 3) AS west, round(20037508.342789244e0 - y * (40075016.685578488e0 / pow(2e0, z)), 3) AS north FROM tiles", ("tiles",))
+@query("tile_bounds", "SELECT z, x, y, round(x * (40075016.685578488e0 / pow(2e0, z)) - 20037508.342789244e0, 3) AS west, round(20037508.342789244e0 - y * (40075016.685578488e0 / pow(2e0, z)), 3) AS north FROM cached_tiles", ("cached_tiles",))
 def _(t):
     west, _, _, north = G.tile_mercator(F.col("z"), F.col("x"), F.col("y"))
-    return t("tiles").select("z", "x", "y", F.round(west, 3).alias("west"), F.round(north, 3).alias("north"))
+    return t("cached_tiles").select("z", "x", "y", F.round(west, 3).alias("west"), F.round(north, 3).alias("north"))
 
 
 TILE_SQL = """(SELECT b.z, b.x, b.y, c.* FROM (SELECT z, x, y, x / pow(2e0, z) * 360 - 180 AS w, (x + 1) / pow(2e0, z) * 360 - 180 AS e, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2e0, z))))) AS n,
@@ -484,6 +484,7 @@ def _(t):
 
 
 from isobath.plans import changes as _changes  # noqa: E402, F401
+from isobath.plans import derived as _derived  # noqa: E402, F401
 from isobath.plans import keys as _keys  # noqa: E402, F401
 from isobath.plans import model as _model  # noqa: E402, F401
 from isobath.plans import products as _products  # noqa: E402, F401

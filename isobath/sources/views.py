@@ -51,6 +51,7 @@ VIEWS = {
     "pixels": "SELECT s_suppkey AS scene_id, a.r, b.c, " + ", ".join(f"{text.format(r='a.r', c='b.c')} AS {band}" for band, text in BANDS.items()) + " FROM supplier CROSS JOIN (SELECT CAST(id AS BIGINT) AS r FROM seq32) a CROSS JOIN (SELECT CAST(id AS BIGINT) AS c FROM seq32) b",
     "soundings": "SELECT l_suppkey AS scene_id, (l_orderkey * 7 + l_linenumber) % 32 AS r, (l_partkey * 5 + l_linenumber) % 32 AS c, 0.25e0 + CAST(l_quantity AS DOUBLE) / 2 AS depth FROM lineitem",
     "tiles": "SELECT z, CAST(a.id AS BIGINT) AS x, CAST(b.id AS BIGINT) AS y FROM seq16 a CROSS JOIN seq16 b CROSS JOIN (SELECT CAST(id + 2 AS INT) AS z FROM seq5) k WHERE a.id < pow(2, z) AND b.id < pow(2, z)",
+    "cached_tiles": "SELECT DISTINCT z, (event_id * 7919) % CAST(pow(2, z) AS BIGINT) AS x, (event_id * 104729) % CAST(pow(2, z) AS BIGINT) AS y FROM (SELECT event_id, CAST(2 + event_id % 6 AS INT) AS z FROM events) e",
     "scene_tiles": "SELECT 8 AS z, CAST(163 + a.id AS BIGINT) AS x, CAST(110 + b.id AS BIGINT) AS y FROM seq5 a CROSS JOIN seq5 b",
     "coverage_requests": "SELECT event_id AS request_id, user_id % 20 AS cell_x, user_id % 3 AS cell_y, CAST(ts AS DATE) AS start_day, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS end_day FROM events WHERE event_type = 'purchase'",
     "job_records": """SELECT o_orderkey AS id, CASE o_orderkey % 16 WHEN 0 THEN 'pending' WHEN 4 THEN 'running' WHEN 8 THEN 'done' ELSE 'failed' END AS status, CASE o_orderkey % 3 WHEN 0 THEN chr(123) || '"report_code": "REP-' || CAST(o_orderkey AS STRING) || '", "cached": true, "codec": ' || chr(123) || '"levels": 5' || chr(125) || chr(125) WHEN 1 THEN chr(123) || '"cached": false' || chr(125) ELSE NULL END AS metadata FROM orders WHERE o_orderkey % 4 = 0""",
