@@ -55,11 +55,18 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def _places(words: Column, lengths: list[int]) -> Column:
-    """(h, pos, n) of all windows of the given lengths, and of the whole of a text below LEAST words."""
+def _places(words: Column, raw: Column, lengths: list[int]) -> Column:
+    """(h, pos, n) of all windows of the given lengths, and of the whole of a text below LEAST words.
+
+    A window of placeholders alone says nothing of a question: it stands for its own values, raw.
+    """
 
     def hashed(i: Column, n: int) -> Column:
-        return F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)])
+        bare = F.lit(True)
+        for k in range(n):
+            bare = bare & F.get(words, i + k).isin("#", "<", "@")
+        values = F.xxhash64(F.lit("values"), F.lit(n), *[F.get(raw, i + k) for k in range(n)])
+        return F.when(bare, values).otherwise(F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)]))
 
     def windows(n: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
@@ -74,7 +81,7 @@ def _places(words: Column, lengths: list[int]) -> Column:
 def _placed(df: DataFrame, lengths: list[int]) -> DataFrame:
     """df (with __text) with one row a window: h, pos, n, and the window's marked words."""
     df = df.withColumn("__marked", marked_text(F.col("__text"))).withColumn("__raw", _split(F.col("__marked"))).withColumn("__t", _split(template_text(F.col("__marked"))))
-    df = df.withColumn("__w", F.explode(_places(F.col("__t"), lengths))).drop("__marked", "__t", "__text")
+    df = df.withColumn("__w", F.explode(_places(F.col("__t"), F.col("__raw"), lengths))).drop("__marked", "__t", "__text")
     return df.select("*", "__w.h", "__w.pos", "__w.n", F.slice("__raw", F.col("__w.pos") + 1, F.col("__w.n")).alias("words")).drop("__raw", "__w")
 
 
@@ -145,8 +152,8 @@ def contamination(
     sizes = placed.groupBy("item").agg(F.countDistinct("h").alias("n_windows"), (F.max("n") < window).alias("short"))
     key = placed.select("h", "item").distinct()
     base = docs.select(quoted(id_col).alias("id"), quoted(text).alias("__text")).filter("__text IS NOT NULL").withColumn("same", F.xxhash64("__text"))
-    light = base.select("id", "same", template_text(marked_text(F.col("__text"))).alias("__t")).select("id", "same", _split(F.col("__t")).alias("__w"))
-    light = light.select("id", "same", F.explode(_places(F.col("__w"), lengths)["h"]).alias("h"))
+    light = base.select("id", "same", marked_text(F.col("__text")).alias("__m")).select("id", "same", _split(F.col("__m")).alias("__raw"), _split(template_text(F.col("__m"))).alias("__w"))
+    light = light.select("id", "same", F.explode(_places(F.col("__w"), F.col("__raw"), lengths)["h"]).alias("h"))
     hits = join_checked(light, key, ["h"], limit=BROADCAST_WINDOWS).groupBy("id", "same", "item").agg(F.countDistinct("h").alias("n_matched"))
     suspects = materialise(hits.join(sizes, "item").filter(F.col("n_matched") >= coverage * F.col("n_windows")), "suspects")
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -100,20 +100,31 @@ class Model:
         return out
 
 
+def choose(rows: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """At most sample rows (u, lang and others) of each language, those with the smallest u, which is evenly spread over 0 to 1.
+
+    sizes has the rows of each language.  Rows that cannot be among the smallest, but
+    for a chance below one in a million, go at once; the rest is ranked, whatever
+    their number.
+    """
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit((sample + 6 * sample**0.5 + 20) / n))])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    return rows.filter(F.col("u") < share[F.col("lang")]).withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank")
+
+
 def fit(docs: DataFrame, text: str, lang: str, order: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Fit on about sample labelled rows of each language, chosen by a hash of the order column.
+    """Fit on at most sample labelled rows of each language, chosen by a hash of the order column.
 
     Only rows with a language and a letter in the text count.  Document
     frequencies come from all of these rows.  One small group a language is kept on
     the driver, so languages are taken to be some thousands at most.
     """
-    rows = docs.select(quoted(text).alias("text"), quoted(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(order, F.lit("sample")), F.lit(1_000_000)).alias("u"))
+    rows = docs.select(quoted(text).alias("text"), quoted(lang).cast("string").alias("lang"), (F.xxhash64(order, F.lit("sample")) / 2.0**64 + 0.5).alias("u"))
     rows = rows.filter("lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model(np.zeros(DIMENSIONS, np.float32), [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1_000_000, -(-sample * 1_000_000 // n))))])
-    chosen = rows.filter(F.col("u") < share[F.col("lang")]).select("text", "lang")
+    chosen = choose(rows, sizes, sample).select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from isobath.llm.common import map_arrow, materialise, quoted, with_fields
+from isobath.llm.common import join_checked, map_arrow, materialise, quoted, with_fields
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "person"]
 LABELERS = ["pattern", "checksum", "gazetteer", "context", "boundary", "variety"]
@@ -31,8 +31,8 @@ LABELERS = ["pattern", "checksum", "gazetteer", "context", "boundary", "variety"
 THRESHOLD = 0.8
 #: Characters before a candidate that the context labeler reads.
 CONTEXT = 48
-#: Documents that must hold a key of the gazetteer, and how many keys it has, the most frequent ones.
-GAZETTEER_DOCS, GAZETTEER = 3, 10_000
+#: Rows that must hold a key of the gazetteer.
+GAZETTEER_DOCS = 3
 #: The place of the gazetteer's vote in the vote code.
 GAZETTEER_DIGIT = 3**3
 
@@ -222,12 +222,15 @@ _CANDIDATE = StructType(
 )
 
 
-def gazetteer(rows: DataFrame, docs: int = GAZETTEER_DOCS, size: int = GAZETTEER) -> list[str]:
-    """The most frequent keys of base spans and titled names that at least docs rows hold."""
+def _held_keys(rows: DataFrame, found: Column) -> DataFrame:
+    """(__row, key): the different keys of some candidates of each row."""
+    return rows.select("__row", F.explode(F.array_distinct(F.flatten(F.transform(found, lambda c: c["keys"])))).alias("key"))
+
+
+def gazetteer(rows: DataFrame, docs: int = GAZETTEER_DOCS) -> DataFrame:
+    """(key): every key of base spans and titled names that at least docs rows hold."""
     sure = F.filter("__found", lambda c: (c["sort"] == BASE) | (c["kind"] == KINDS.index("person")))
-    keys = rows.select(F.explode(F.array_distinct(F.flatten(F.transform(sure, lambda c: c["keys"])))).alias("key"))
-    known = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= docs)
-    return [r.key for r in known.orderBy(F.desc("n"), "key").limit(size).collect()]
+    return _held_keys(rows, sure).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= docs).select("key")
 
 
 def detect(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -255,14 +258,16 @@ def detect(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
             arrays = [batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "__text"] + ["__found"])
 
-    rows = materialise(map_arrow(kept, find, schema), "candidates")
-    known = gazetteer(rows)
+    rows = materialise(map_arrow(kept, find, schema).withColumn("__row", F.monotonically_increasing_id()), "candidates")
+    # a row's known keys, which are some of its own; keys that are not in the gazetteer say no
+    known = materialise(join_checked(_held_keys(rows, F.col("__found")), gazetteer(rows), ["key"]).groupBy("__row").agg(F.collect_set("key").alias("__known")), "known")
+    rows = join_checked(rows, known, ["__row"], "left").drop("__row")
 
     def voted(c: Column) -> Column:
-        vote = F.when(F.size(c["keys"]) == 0, 1).when(F.exists(c["keys"], lambda k: k.isin(known)), 2).otherwise(0) if known else F.lit(1)
+        vote = F.when(F.size(c["keys"]) == 0, 1).when(F.coalesce(F.arrays_overlap(c["keys"], F.col("__known")), F.lit(False)), 2).otherwise(0)
         return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["sort"].alias("sort"), (c["votes"] + vote * GAZETTEER_DIGIT).alias("votes"))
 
-    rows = rows.withColumn("__found", F.transform("__found", voted))
+    rows = rows.withColumn("__found", F.transform("__found", voted)).drop("__known")
     table = rows.select(F.explode("__found").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n"))
     # at most len(KINDS) * 3 ** len(LABELERS) rows
     score = learn({(r.kind, r.votes): r.n for r in table.collect()})

@@ -103,3 +103,13 @@ def test_empty_tables(spark):
     assert contamination(docs, bench.limit(0)).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == 1
     assert decontaminate(docs, bench).count() == 0
+
+
+def test_numbers_alone_match_their_own_values_only(spark):
+    """An item that is a table of numbers has one template window; only its own numbers repeat it."""
+    numbers = " ".join(str(i * i + 3) for i in range(40))
+    bench = spark.createDataFrame([(1, numbers), (2, QUESTION)], "item_id long, text string")
+    other = " ".join(str(i * 7 + 1) for i in range(500))
+    docs = spark.createDataFrame([(1, other), (2, f"a table of {numbers} and no more"), (3, QUESTION), (4, f"{QUESTION} {other}"), (5, f"values {other} of {numbers}")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in contamination(docs, bench).collect()}
+    assert got == {(2, 1): "verbatim", (3, 2): "verbatim", (4, 2): "verbatim", (5, 1): "verbatim"}

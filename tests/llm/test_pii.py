@@ -95,3 +95,22 @@ def test_failed_matches_are_not_reported(spark):
     rows = [(1, "ip 300.1.1.1 card 4111111111111112 call +12 34"), (2, "card 4111111111111111")]
     got = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in detect(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.0).collect()}
     assert got == {1: [], 2: [("card", True)]}
+
+
+def test_every_key_of_the_gazetteer_counts(spark, monkeypatch):
+    """Also beyond any number of keys, and joined without a broadcast."""
+    from isobath.llm import common, pii
+
+    rows = [(i, f"mail user{i // 3}@host{i // 3}.example now") for i in range(600)] + [(1000 + i, f"write to user{i} [at] host{i}.example today") for i in range(250)] + [(None, None), (7, ""), (7, "Dr Ada Byron")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def voted():
+        return sorted((str(r.doc_id), [(s.kind, s.start, s.end, s.base, round(s.score, 9)) for s in r.spans]) for r in detect(df, threshold=0.0).collect())
+
+    want = voted()
+    # addresses of hosts 0 to 199 are known, whatever their number; those of the others are not
+    known, unknown = ({s[4] for i, own in want if i.isdigit() and int(i) in ids for s in own if s[0] == "email"} for ids in (range(1000, 1200), range(1200, 1250)))
+    assert len(known) == len(unknown) == 1 and min(known) > max(unknown)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(pii, "join_checked", lambda a, b, on, how="inner": common.join_checked(a, b, on, how, 3))
+    assert voted() == want
