@@ -124,9 +124,9 @@ def to_pixels(blocks: DataFrame, values: Callable[[Block], dict[str, np.ndarray]
             found = values(b)
             n = b.high * b.wide
             at = np.arange(n)
-            columns = [pa.array([b.scene] * n), pa.array(b.top + at // b.wide), pa.array(b.left + at % b.wide)]
+            columns = [pa.repeat(pa.scalar(b.scene, kinds[0]), n), pa.array(b.top + at // b.wide), pa.array(b.left + at % b.wide)]
             columns += [pa.array(np.ascontiguousarray(found[x]).reshape(n), mask=np.isnan(found[x]).reshape(n) if found[x].dtype.kind == "f" else None) for x in names]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds)], ["scene_id", "r", "c", *names])
+            yield pa.RecordBatch.from_arrays([c if c.type == t else c.cast(t) for c, t in zip(columns, kinds)], ["scene_id", "r", "c", *names])
 
     scene = blocks.schema["scene_id"].dataType.simpleString()
     logical = {"water"}

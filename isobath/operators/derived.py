@@ -13,8 +13,8 @@ _LEAST = {"xmin": F.min, "ymin": F.min, "xmax": F.max, "ymax": F.max}
 
 
 def extents(features: DataFrame) -> DataFrame:
-    """(dataset_id, features, xmin .. ymax) of features (dataset_id, xmin .. ymax), from scratch."""
-    return features.groupBy("dataset_id").agg(F.count("*").alias("features"), *[_LEAST[c](c).alias(c) for c in BOX])
+    """(dataset_id, features, xmin .. ymax) of features (dataset_id, xmin .. ymax), from scratch; those of no dataset are left out."""
+    return features.filter("dataset_id IS NOT NULL").groupBy("dataset_id").agg(F.count("*").alias("features"), *[_LEAST[c](c).alias(c) for c in BOX])
 
 
 def advanced(held: DataFrame, changes: DataFrame, current: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def advanced(held: DataFrame, changes: DataFrame, current: DataFrame) -> DataFra
     again, from current, the features after the batch.  Datasets without features go.
     """
     added, gone = F.col("sign") > 0, F.col("sign") < 0
-    delta = changes.groupBy("dataset_id").agg(
+    delta = changes.filter("dataset_id IS NOT NULL").groupBy("dataset_id").agg(
         F.sum("sign").alias("moved"), *[_LEAST[c](F.when(added, F.col(c))).alias(f"new_{c}") for c in BOX], *[_LEAST[c](F.when(gone, F.col(c))).alias(f"old_{c}") for c in BOX]
     )
     both = held.join(delta, "dataset_id", "full")

@@ -103,9 +103,10 @@ def sounding_cells(soundings: DataFrame, low: float = 0.3, high: float = 25.0) -
 
 def calibration(pairs: DataFrame, least: int = 5) -> DataFrame:
     """(scene_id, n, alpha, beta, r2) of measured = alpha + beta * depth; (0, 1, 0) with fewer than least pairs or no spread."""
-    fitted = pairs.filter(F.col("depth").isNotNull() & F.col("measured").isNotNull()).groupBy("scene_id").agg(
-        F.count("*").alias("n"), F.regr_intercept("measured", "depth").alias("a"), F.regr_slope("measured", "depth").alias("b"), F.regr_r2("measured", "depth").alias("r")
-    )
+    # regressions pass over nulls; a filter on depth would be tested for each pixel by itself, its whole expression several times
+    fitted = pairs.groupBy("scene_id").agg(
+        F.regr_count("measured", "depth").alias("n"), F.regr_intercept("measured", "depth").alias("a"), F.regr_slope("measured", "depth").alias("b"), F.regr_r2("measured", "depth").alias("r")
+    ).filter("n > 0")
     good = (F.col("n") >= least) & F.col("b").isNotNull()
     return fitted.select("scene_id", "n", F.when(good, F.col("a")).otherwise(0.0).alias("alpha"), F.when(good, F.col("b")).otherwise(1.0).alias("beta"), F.when(good, F.coalesce("r", F.lit(0.0))).otherwise(0.0).alias("r2"))
 

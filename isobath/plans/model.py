@@ -185,7 +185,7 @@ _TARGET_SQL = f"(SELECT scene_id, r, c, lon - 0.002e0 + (c + 0.5e0) * 0.0001e0 A
 
 @query(
     "warped_utm",
-    f"""SELECT t.scene_id, t.r, t.c, round(sum(p.green * w) / sum(w), 2) AS value FROM (
+    f"""SELECT t.scene_id, t.r, t.c, round(sum(p.green * w) / sum(w), 1) AS value FROM (
       SELECT scene_id, r, c, fi + a AS pr, fj + b AS pc, abs(1 - a - (fr - fi)) * abs(1 - b - (fc - fj)) AS w FROM (
         SELECT *, CAST(floor(fr) AS BIGINT) AS fi, CAST(floor(fc) AS BIGINT) AS fj FROM (SELECT *, ({UTM_NORTH} - n) / 10 - 0.5e0 AS fr, (e - ({UTM_WEST})) / 10 - 0.5e0 AS fc FROM {to_utm_sql(_TARGET_SQL, 'plon', 'plat', '39', '1')})
         WHERE fr >= -0.5e0 AND fr < 31.5e0 AND fc >= -0.5e0 AND fc < 31.5e0), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) t
@@ -198,7 +198,7 @@ def _(t):
     lon, lat = P.from_utm(F.col("west") + 160, F.col("top") - 160, F.lit(39), F.lit(1))
     targets = scenes.select("scene_id", F.lit(4326).alias("epsg"), (lon - 0.002).alias("x0"), (lat + 0.002).alias("y0"), F.lit(0.0001).alias("dx"), F.lit(-0.0001).alias("dy"), F.lit(40).alias("height"), F.lit(40).alias("width"))
     out = W.warped_rows(W.warp(t("pixel_blocks"), sources, targets, "green", SIZE, SIZE), SIZE)
-    return out.select("scene_id", "r", "c", F.round("value", 2).alias("value"))
+    return out.select("scene_id", "r", "c", F.round("value", 1).alias("value"))
 
 
 ORIGIN, SIDE = "20037508.342789244e0", "(40075016.685578488e0 / 256)"

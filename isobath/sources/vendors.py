@@ -55,7 +55,14 @@ def _last_wins(entries: Column) -> Column:
 def elements(text: Column) -> Column:
     """(key, value) of all XML elements that hold text, in the order of the document."""
     name = r"<(?:[A-Za-z0-9_]+:)?([A-Za-z0-9_]+)(?:\s[^<>]*)?>\s*([^<>\s][^<>]*?)\s*</"
-    return F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(name), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(name), F.lit(2)).alias("v")), lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value")))
+    return F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(name), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(name), F.lit(2)).alias("v")), lambda p: F.struct(p["k"].alias("key"), plain(p["v"]).alias("value")))
+
+
+def plain(text: Column) -> Column:
+    """XML text without its entities, of which the one for & goes last."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
 
 
 def root(text: Column) -> Column:
@@ -67,13 +74,12 @@ def _named(values: Column, names: dict[str, list[str]]) -> dict[str, Column]:
     return {f: first_alias(values, a) for f, a in names.items()}
 
 
-def maxar(text: Column) -> dict[str, Column]:
-    out = _named(pairs(text), MAXAR)
+def maxar(m: Column) -> dict[str, Column]:
+    out = _named(m, MAXAR)
     return out | {"cloud_cover_pct": cloud_percent(to_number(out["cloud_cover_pct"])).cast("string")}
 
 
-def landsat(text: Column) -> dict[str, Column]:
-    m = pairs(text)
+def landsat(m: Column) -> dict[str, Column]:
     day, time = F.element_at(m, "DATE_ACQUIRED"), F.element_at(m, "SCENE_CENTER_TIME")
     return _named(m, LANDSAT) | {"acquired_at": F.when(time.isNotNull(), F.concat_ws("T", day, time)).otherwise(day)}
 
@@ -98,21 +104,26 @@ def pam(text: Column) -> dict[str, Column]:
     return {"acquired_at": F.coalesce(*[F.nullif(F.trim(F.xpath_string(text, F.lit(f"//Metadata/MDI[@key='{k}']"))), F.lit("")) for k in PAM_DATES])}
 
 
-def generic(text: Column) -> dict[str, Column]:
-    """The first element whose name fits a field's pattern, with the last text of that name."""
-    entries = F.map_entries(_last_wins(elements(text)))
+def last_elements(text: Column) -> Column:
+    """(key, value) of the elements that hold text, each name at its first place with its last text."""
+    return F.map_entries(_last_wins(elements(text)))
+
+
+def generic(entries: Column) -> dict[str, Column]:
+    """The first element whose name fits a field's pattern."""
     return {f: F.get(F.filter(entries, lambda e: e["key"].rlike(f"(?i){p}")), 0)["value"] for f, p in HINTS.items()}
 
 
 @dataclass(frozen=True)
 class Vendor:
-    """A vendor: its name, its name in merged metadata, which files are read, what else the bundle must hold, and how a file is parsed."""
+    """A vendor: its name, its name in merged metadata, which files are read, what else the bundle must hold, how a file is parsed and what it is made into once before that."""
 
     name: str
     label: str
     reads: Callable[[Column, Column], Column]
     needs: Callable[[Column], Column] | None
     parse: Callable[[Column], dict[str, Column]]
+    prepare: Callable[[Column], Column] = lambda text: text
 
 
 def _ends(*ends: str) -> Callable[[Column, Column], Column]:
@@ -121,10 +132,10 @@ def _ends(*ends: str) -> Callable[[Column, Column], Column]:
 
 #: In the order in which they are asked; more vendors can be given to extract().
 VENDORS = [
-    Vendor("maxar", "maxar", _ends(".imd"), lambda path: F.lower(path).endswith(".rpb") | F.lower(path).endswith(".til"), maxar),
+    Vendor("maxar", "maxar", _ends(".imd"), lambda path: F.lower(path).endswith(".rpb") | F.lower(path).endswith(".til"), maxar, pairs),
     Vendor("dimap", "airbus_dimap", lambda path, text: F.lower(path).endswith(".xml") & (root(text) == "Dimap_Document"), None, dimap),
     Vendor("planet", "planet", _ends("_metadata.json"), None, planet),
-    Vendor("landsat", "landsat", _ends("_mtl.txt"), None, landsat),
+    Vendor("landsat", "landsat", _ends("_mtl.txt"), None, landsat, pairs),
     Vendor("pam", "pam", lambda path, text: F.lower(path).endswith(".aux.xml") & (root(text) == "PAMDataset"), None, pam),
 ]
 
@@ -133,28 +144,42 @@ def extract(files: DataFrame, vendors: list[Vendor] = VENDORS) -> DataFrame:
     """One row a bundle: vendor, the common fields, and warnings where vendors disagree.
 
     Of several vendors the earlier one's values stay, and the vendor names are joined;
-    a bundle of none is read by the hints of its XML.  Of a vendor's files the first
-    by path is read.  What is no number in a number field is null.
+    a bundle of none is read by the hints of all its XML files, by path, each field
+    from the first file that names it.  Of a vendor's files the first by path is
+    read.  What is no number in a number field is null.  Files are read once and
+    dealt out once, by bundle.
     """
-    def values(parse: dict[str, Column]) -> list[Column]:
-        return [F.nullif(parse.get(f, F.lit(None).cast("string")), F.lit("")).alias(f) for f in FIELDS]
-
-    def numbered(df: DataFrame) -> DataFrame:
-        return df.withColumns({f: to_number(F.col(f)).cast("string") for f in NUMBERS})
-
-    found = []
-    for rank, v in enumerate(vendors):
-        own = files.filter(v.reads(F.col("path"), F.col("content")))
-        if v.needs:
-            own = own.join(files.filter(v.needs(F.col("path"))).select("bundle_id").distinct(), "bundle_id", "left_semi")
-        one = own.groupBy("bundle_id").agg(F.min_by("content", "path").alias("content"))
-        found.append(numbered(one.select("bundle_id", F.lit(rank).alias("rank"), F.lit(v.name).alias("name"), F.lit(v.label).alias("label"), *values(v.parse(F.col("content"))))))
-    every = reduce(DataFrame.unionByName, found)
-    # a bundle has a row a vendor
-    first = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("rank"))).alias(f) for f in FIELDS]
-    conflicts = [F.when(F.count_distinct(f) > 1, F.lit(f)) for f in FIELDS]
-    label = F.when(F.count("*") == 1, F.first("label")).otherwise(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "+"))
-    merged = every.groupBy("bundle_id").agg(label.alias("vendor"), *first, F.concat_ws(",", *conflicts).alias("conflicts"))
-    rest = files.filter(F.lower("path").endswith(".xml")).join(merged.select("bundle_id"), "bundle_id", "left_anti").groupBy("bundle_id").agg(F.min_by("content", "path").alias("content"))
-    unknown = numbered(rest.select("bundle_id", F.lit("generic").alias("vendor"), *values(generic(F.col("content"))), F.lit("").alias("conflicts")))
-    return merged.unionByName(unknown)
+    path, content = F.col("path"), F.col("content")
+    xml = F.lower(path).endswith(".xml")
+    held = []
+    for i, v in enumerate(vendors):
+        own = v.reads(path, content)
+        held.append(F.min_by(F.when(own, content), F.when(own, path)).alias(f"content{i}"))
+        held.append((F.max(v.needs(path)) if v.needs else F.lit(True)).alias(f"needed{i}"))
+    # a bundle's own files
+    bundles = files.groupBy("bundle_id").agg(*held, F.sort_array(F.collect_list(F.when(xml, F.struct("path", "content")))).alias("xml"))
+
+    def said(prepared: Column, parse: Callable[[Column], dict[str, Column]]) -> Column:
+        """The fields of a file; each step is bound to a variable, so that it is taken once."""
+        def raw(m: Column) -> Column:
+            named = parse(m)
+            return F.struct(*[named.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS])
+
+        def clean(r: Column) -> Column:
+            value = {f: F.nullif(r[f], F.lit("")) for f in FIELDS}
+            return F.struct(*[(to_number(x).cast("string") if f in NUMBERS else x).alias(f) for f, x in value.items()])
+
+        return F.get(F.transform(F.transform(F.array(prepared), raw), clean), 0)
+
+    there = [F.col(f"content{i}").isNotNull() & F.coalesce(f"needed{i}", F.lit(False)) for i in range(len(vendors))]
+    read = [F.when(t, F.struct(F.lit(v.name).alias("name"), F.lit(v.label).alias("label"), said(v.prepare(F.col(f"content{i}")), v.parse).alias("v"))) for i, (v, t) in enumerate(zip(vendors, there))]
+    any_of = reduce(lambda a, b: a | b, there)
+    found = bundles.filter(any_of | (F.size("xml") > 0)).select("bundle_id", F.array_compact(F.array(*read)).alias("found"), F.when(~any_of, F.col("xml")).alias("xml"))
+    found = found.select("bundle_id", "found", F.transform("xml", lambda x: said(last_elements(x["content"]), generic)).alias("rest"))
+
+    def values(f: str) -> Column:
+        return F.array_compact(F.when(F.size("found") > 0, F.transform("found", lambda x: x["v"][f])).otherwise(F.transform("rest", lambda x: x[f])))
+
+    vendor = F.when(F.size("found") == 0, "generic").when(F.size("found") == 1, F.get("found", 0)["label"]).otherwise(F.array_join("found.name", "+"))
+    conflicts = F.when(F.size("found") > 0, F.concat_ws(",", *[F.when(F.size(F.array_distinct(values(f))) > 1, F.lit(f)) for f in FIELDS])).otherwise("")
+    return found.select("bundle_id", vendor.alias("vendor"), *[F.get(values(f), 0).alias(f) for f in FIELDS], conflicts.alias("conflicts"))
