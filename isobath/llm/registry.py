@@ -20,6 +20,7 @@ QUERIES = {
     "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 SQL = {
+    "op5_near_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_join.COMPONENTS_SQL.format(k=4, percent=80)})",
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
