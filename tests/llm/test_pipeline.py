@@ -80,3 +80,24 @@ def test_hosts_and_depleted_documents(spark):
     got = rows_of(corpus_pipeline.quality_rules(spark, docs, ""))
     assert got == sorted(quality(rows)) and len(got) == 150
     assert sum("Shared" in t for _, t, _ in got) == 30
+
+
+def test_stages_take_empty_tables_nulls_repeats_and_clashing_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, words, None, None, None), (1, words, None, None, None), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (None, " ".join(f"v{i}" for i in range(90)), "en", "a", 5), (4, words + " é " + "x" * 200_000, None, "b", 7)]
+    extra = spark.createDataFrame(rows, columns).selectExpr("*", "1 AS n_words", "'k' AS kept", "2 AS n_lines", "3 AS sequence_id", "4 AS component_id", "5 AS spans")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], columns), sf).count() == 0, name
+        got = stage(spark, extra, sf)
+        assert name == "packing" or got.columns == corpus_pipeline.COLUMNS
+        ids = [r.doc_id for r in got.select("doc_id").collect()]
+        if name == "quality_rules":  # null and empty texts fail it, nothing else does
+            assert sorted(ids, key=str) == [1, 1, 4, None]
+        elif name == "near_dedup":  # the repeat goes, and the near copy with a very long word
+            assert sorted(ids, key=str) == [1, 2, 3, None]
+        elif name == "packing":
+            assert set(ids) == {1, 2, 3, 4, None}
+        else:
+            assert sorted(ids, key=str) == [1, 1, 2, 3, 4, None]
