@@ -91,3 +91,57 @@ def escaped(text: Column) -> Column:
 def placemark(name: Column, coordinates: Column) -> Column:
     """A KML placemark of a point or ring, with coordinates as x,y pairs."""
     return F.concat(F.lit("<Placemark><name>"), escaped(F.coalesce(name, F.lit(""))), F.lit("</name><coordinates>"), coordinates, F.lit("</coordinates></Placemark>"))
+
+
+#: Features of a page of an exported layer, on average.
+PAGE = 1000
+
+
+def paged(features: DataFrame, key: str, order: str, page: int = PAGE) -> DataFrame:
+    """features with ``page`` and ``pages``: each key's features dealt by a hash of order to as many pages as they fill, so no page grows with its layer."""
+    counted = features.groupBy(key).agg(F.ceil(F.count("*") / page).alias("pages"))
+    place = F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return features.join(counted, key).withColumn("page", place % F.col("pages"))
+
+
+def documents(features: DataFrame, key: str, order: str, head: Column, between: str, tail: str, page: int = PAGE) -> DataFrame:
+    """(key, page, pages, features, document) of the texts in ``feature``: every page is a whole document; a layer without features gives none."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, "feature"))), lambda x: x["feature"])
+    grouped = paged(features, key, order, page).groupBy(key, "page", "pages").agg(F.count("*").alias("features"), F.array_join(listed, between).alias("body"))
+    return grouped.select(key, "page", "pages", "features", F.concat(head, "body", F.lit(tail)).alias("document"))
+
+
+def geojson_documents(features: DataFrame, key: str, order: str, page: int = PAGE) -> DataFrame:
+    """Feature collections of the GeoJSON features in ``feature``, in pages."""
+    return documents(features, key, order, F.lit('{"type":"FeatureCollection","features":['), ",", "]}", page)
+
+
+def kml_schema(fields: dict[str, str]) -> str:
+    """The schema element of a layer: whole numbers are int, other numbers float, all else string."""
+    kinds = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float"}
+    return '<Schema name="layer" id="layer">' + "".join(f'<SimpleField name="{n}" type="{kinds.get(k, "string")}"/>' for n, k in fields.items()) + "</Schema>"
+
+
+def kml_geometry(geometry: Column) -> Column:
+    """A Point, LineString or Polygon, given as GeoJSON text, as a KML element; null for other kinds."""
+    kind = F.get_json_object(geometry, "$.type")
+
+    def tuples(points: Column) -> Column:
+        return F.concat(F.lit("<coordinates>"), F.array_join(F.transform(points, lambda p: F.array_join(p.cast("array<string>"), ",")), " "), F.lit("</coordinates>"))
+
+    at = F.get_json_object(geometry, "$.coordinates")
+    point, line, rings = (F.from_json(at, k) for k in ("array<double>", "array<array<double>>", "array<array<array<double>>>"))
+    ring = lambda r, side: F.concat(F.lit(f"<{side}BoundaryIs><LinearRing>"), tuples(r), F.lit(f"</LinearRing></{side}BoundaryIs>"))
+    inner = F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: ring(r, "inner"))
+    polygon = F.concat(F.lit("<Polygon>"), ring(F.get(rings, 0), "outer"), F.array_join(inner, ""), F.lit("</Polygon>"))
+    return F.when(kind == "Point", F.concat(F.lit("<Point>"), tuples(F.array(point)), F.lit("</Point>"))).when(kind == "LineString", F.concat(F.lit("<LineString>"), tuples(line), F.lit("</LineString>"))).when(kind == "Polygon", polygon)
+
+
+def kml_documents(features: DataFrame, key: str, order: str, name: str, geometry: str, fields: list[str], page: int = PAGE) -> DataFrame:
+    """KML documents with a schema of the fields and one placemark a feature, in pages; null fields are left out, features of a kind that KML lacks too."""
+    schema = kml_schema({f: dict(features.dtypes)[f] for f in fields})
+    data = F.concat(*[F.coalesce(F.concat(F.lit(f'<SimpleData name="{f}">'), escaped(F.col(f).cast("string")), F.lit("</SimpleData>")), F.lit("")) for f in fields])
+    mark = F.concat(F.lit("<Placemark><name>"), escaped(F.coalesce(name, F.lit(""))), F.lit('</name><ExtendedData><SchemaData schemaUrl="#layer">'), data, F.lit("</SchemaData></ExtendedData>"), kml_geometry(F.col(geometry)), F.lit("</Placemark>"))
+    marked = features.select(key, order, mark.alias("feature")).filter("feature IS NOT NULL")
+    head = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + schema
+    return documents(marked, key, order, F.lit(head), "", "</Document></kml>", page)

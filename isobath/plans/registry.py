@@ -489,6 +489,7 @@ from isobath.plans import keys as _keys  # noqa: E402, F401
 from isobath.plans import model as _model  # noqa: E402, F401
 from isobath.plans import products as _products  # noqa: E402, F401
 from isobath.plans import state as _state  # noqa: E402, F401
+from isobath.plans import vectors as _vectors  # noqa: E402, F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

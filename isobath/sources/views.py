@@ -78,6 +78,12 @@ VIEWS = {
         CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN chr(123) || '"view_angle": 12.5, "sensor": "A"' || chr(125) ELSE chr(123) || '"view_angle": "n/a"' || chr(125) END AS details FROM events""",
     "raw_soundings": "SELECT o_orderkey AS id, o_custkey % 10 + 1 AS scene_id, CAST(50 AS DOUBLE) + CAST((o_custkey % 10 + 1) % 40 AS DOUBLE) / 8 + CAST(o_orderkey % 67 AS DOUBLE) / 512 - 1e0 / 256 AS lon, CAST(20 AS DOUBLE) + CAST((o_custkey % 10 + 1) % 24 AS DOUBLE) / 8 + CAST(o_orderkey * 5 % 67 AS DOUBLE) / 512 - 1e0 / 256 AS lat, CAST(0 - o_orderkey % 28 AS DOUBLE) AS depth FROM orders",
     "cache_entries": "SELECT page_id AS cache_key, CAST(length(html) AS BIGINT) AS size_bytes, (page_id * 7919) % 1000003 AS atime FROM pages",
+    "bbox_requests": """SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN CAST(value AS STRING) || ',' || CAST(user_id % 90 AS STRING) || ',' || CAST(value + 1 AS STRING) || ', ' || CAST(user_id % 90 + 1 AS STRING) || ' ' WHEN 1 THEN '1,2,' || CAST(user_id AS STRING) WHEN 2 THEN '1,2,x' || CAST(user_id AS STRING) || ',4'
+        WHEN 3 THEN '-1.5e1,' || CAST(user_id AS STRING) || ',+3,.5' WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN '1,2,3,4,' || CAST(user_id AS STRING) ELSE '1,,3,' || CAST(user_id AS STRING) END AS bbox FROM events""",
+    "survey_jobs": """SELECT job_id, CASE WHEN job_id % 20 = 4 THEN NULL WHEN job_id % 20 = 9 THEN chr(123) || '"west": ' || CAST(x AS STRING) || chr(125) WHEN job_id % 20 = 13 THEN '[1, "two", 3, 4]' WHEN job_id % 20 = 17 THEN '[' || CAST(x AS STRING) || ', 2, 3]'
+        WHEN job_id % 3 = 0 THEN '[' || CAST(x AS STRING) || ', ' || CAST(y AS STRING) || ', ' || CAST(x + 0.5e0 AS STRING) || ', ' || CAST(y + 0.5e0 AS STRING) || ']'
+        ELSE chr(123) || '"south": "' || CAST(y AS STRING) || '", "west": ' || CAST(x AS STRING) || ', "note": [1], "east": ' || CAST(x + 0.5e0 AS STRING) || ', "north": ' || CAST(y + 0.5e0 AS STRING) || chr(125) END AS bbox, x, y, name
+        FROM (SELECT c_custkey AS job_id, CAST(49 AS DOUBLE) + CAST(c_custkey * 7 % 48 AS DOUBLE) / 8 AS x, CAST(19 AS DOUBLE) + CAST((c_custkey * 7 % 48 + c_custkey % 3) % 32 AS DOUBLE) / 8 AS y, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END AS name FROM customer) j""",
     "vendor_imd": "SELECT p_partkey AS bundle_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS sat_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 9 AS DOUBLE) / 8 ELSE CAST(p_partkey % 90 AS DOUBLE) END AS cloud_cover, CASE WHEN p_partkey % 10 = 0 THEN 'n/a' ELSE CAST(p_size AS STRING) END AS mean_sun_el FROM part",
 }
 
