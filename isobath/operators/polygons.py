@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobath.functions import geo as G
+from isobath.operators.steps import dealt
 
 Point = tuple[Fraction, Fraction]
 
@@ -192,7 +193,7 @@ def repair(features: DataFrame, rings: str = "rings") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, coordinates, pa.array(said, pa.string())], [*names, "polygons", "problem"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, polygons {POLYGONS}, problem string")
+    return dealt(kept).mapInArrow(run, f"{fields}, polygons {POLYGONS}, problem string")
 
 
 def all_sides(rings: Column) -> Column:
