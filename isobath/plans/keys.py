@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isobath.functions import geo as G
 from isobath.functions import keys as K
+from isobath.operators.steps import dealt
 from isobath.plans.base import query, r6
 
 BOUNDS = ["west", "south", "east", "north"]
@@ -155,7 +156,7 @@ def _(t):
     at = lambda i, j: F.array(x + i * F.col("extent"), y + j * F.col("extent"))
     rings = [[(0, 0), (1, 0), (1, 1), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 1)], [(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)]]
     ring = F.get(F.array(*[F.array(*[at(*p) for p in r]) for r in rings]), (F.col("id") % 4).cast("int"))
-    return t("vector_features").filter("geometry_type = 'Polygon'").select("id", G.valid_ring(ring).alias("valid"))
+    return dealt(t("vector_features").filter("geometry_type = 'Polygon'"), "id").select("id", G.valid_ring(ring).alias("valid"))
 
 
 @query("roi_bounds", "SELECT id, CASE WHEN id % 3 = 0 THEN xmin - 1 ELSE xmin END AS west, ymin AS south, CASE WHEN id % 3 = 0 THEN xmin + extent + 1 ELSE xmin + extent END AS east, ymin + extent AS north FROM vector_features", ("vector_features",))
