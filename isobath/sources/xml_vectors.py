@@ -15,6 +15,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isobath.operators.steps import dealt
+
 from isobath.sources.readers import geometry_columns
 
 _RING = "STRUCT<LinearRing: STRUCT<coordinates: STRING>>"
@@ -130,7 +132,7 @@ def _shaped(features: DataFrame, keep: list[str]) -> DataFrame:
 def kml_features(documents: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row a placemark, at any depth of folders, of KML documents in a column; the columns of keep are carried and must not be named as the result's."""
     one = documents.select(*keep, F.explode(_elements(F.col(text), "Placemark")).alias("__one"))
-    read = one.select(*keep, F.from_xml("__one", PLACEMARK, OPTIONS).alias("__p"))
+    read = dealt(one).select(*keep, F.from_xml("__one", PLACEMARK, OPTIONS).alias("__p"))
     return _shaped(read.select(*keep, *_placemark_columns(F.col("__p"))), keep)
 
 
