@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isobath.operators.steps import dealt, parts_of
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 #: Pixels on a side of a scene.
@@ -98,7 +100,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             text = text.replace(f"FROM {base}", f"FROM {{{base}}}").replace(f"JOIN {base}", f"JOIN {{{base}}}")
             parts[base] = table(spark, sf_dir, base)
             if name == "pixels":  # few rows become very many: deal them out first
-                parts[base] = parts[base].repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+                parts[base] = parts[base].repartition(parts_of(spark), "s_suppkey")
     for seq in ("seq5", "seq16", "seq32"):
         if seq in text:
             text = text.replace(seq, f"{{{seq}}}")
@@ -112,8 +114,8 @@ def block_table(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
 
     keys = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit((SIDE - 1) // size))).alias("br")).select("*", F.explode(F.sequence(F.lit(0), F.lit((SIDE - 1) // size))).alias("bc"))
     # keys are few bytes, of which adaptive execution would make one task; what is made of them is much, so their number of parts is fixed
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = keys.select(F.col("s_suppkey").alias("scene_id"), "br", "bc", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width")).repartition(parts, *KEYS)
+    keys = keys.select(F.col("s_suppkey").alias("scene_id"), "br", "bc", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
+    keys = dealt(keys, *KEYS)
     # a block's own height and width, cut at the scene's edge
     high, wide = (f"least({size}, {SIDE} - {b} * {size})" for b in ("br", "bc"))
     samples = []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobath.operators import model as M
+from isobath.plans import registry
 from isobath.sources.views import block_table
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,14 @@ def test_neither_pixels_nor_weights_are_broadcast(spark):
     sampled = M.sample_depth(blocks, M.synthetic_bundle(1), 2, 16, tuned=weights)
     for df in (tuned, sampled):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["repaired_polygons", "valid_polygons", "kml_features", "sounding_cell_median", "warped_band", "feature_stack_v1"])
+def test_work_is_dealt_to_all_cores(spark, name):
+    # small files and few bytes gave these to one task or to as many as there are cores
+    assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_requests_of_a_warp_are_dealt(spark):
+    plan = registry.QUERIES["warped_utm"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(scene_id" in plan and plan.count("REPARTITION_BY_NUM") >= 2
