@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from isobath.functions.projection import MERCATOR_LIMIT, project, unproject
 from isobath.operators import blocks as B
+from isobath.operators.steps import dealt
 
 #: Pictures that one task paints over one another at once.
 PAINTED = 64
@@ -86,7 +87,7 @@ def warp(blocks: DataFrame, sources: DataFrame, targets: DataFrame, band: str, s
             yield from out.to_batches()
 
     grid = "struct<epsg:int,x0:double,y0:double,dx:double,dy:double,height:int,width:int>"
-    asked = every.select("scene_id", F.col("target").cast(grid).alias("target"), F.col("source").cast(grid).alias("source"), "tbr", "tbc")
+    asked = dealt(every, "scene_id", "tbr", "tbc").select("scene_id", F.col("target").cast(grid).alias("target"), F.col("source").cast(grid).alias("source"), "tbr", "tbc")
     asked = asked.mapInArrow(need, f"scene_id {scene}, target {grid}, source {grid}, tbr int, tbc int, br int, bc int")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
