@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobath.functions import depth as D
+from isobath.operators.steps import dealt
 
 #: Pixels on each side of the neighbourhood.
 REACH = 2
@@ -95,6 +96,7 @@ def sounding_cells(soundings: DataFrame, low: float = 0.3, high: float = 25.0) -
     aggregate and the cells stay partitioned for a join on them.
     """
     kept = soundings.select("scene_id", "r", "c", F.abs("depth").alias("d")).filter(F.col("d").between(low, high))
+    kept = dealt(kept, "scene_id", "r", "c")  # small parts, as a task sorts its part
     cell = Window.partitionBy("scene_id", "r", "c")
     placed = kept.withColumn("i", F.row_number().over(cell.orderBy("d"))).withColumn("n", F.count("*").over(cell))
     middle = placed.filter((F.col("i") == F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.floor((F.col("n") + 2) / 2)))
