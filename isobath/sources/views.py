@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobath.operators.steps import dealt, parts_of
+from isobath.operators.steps import parts_of
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -113,9 +113,9 @@ def block_table(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
     from isobath.operators.blocks import KEYS
 
     keys = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit((SIDE - 1) // size))).alias("br")).select("*", F.explode(F.sequence(F.lit(0), F.lit((SIDE - 1) // size))).alias("bc"))
-    # keys are few bytes, of which adaptive execution would make one task; what is made of them is much, so their number of parts is fixed
+    # keys are few bytes, of which adaptive execution would make one task; what is made of them is much, so their number of parts is fixed: that of other exchanges, so that only strips move
     keys = keys.select(F.col("s_suppkey").alias("scene_id"), "br", "bc", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
-    keys = dealt(keys, *KEYS)
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS)
     # a block's own height and width, cut at the scene's edge
     high, wide = (f"least({size}, {SIDE} - {b} * {size})" for b in ("br", "bc"))
     samples = []
