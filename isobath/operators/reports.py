@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isobath.operators.steps import written
+
 MISSING = "?"
 
 
@@ -98,8 +102,12 @@ PAGE = 1000
 
 
 def paged(features: DataFrame, key: str, order: str, page: int = PAGE) -> DataFrame:
-    """features with ``page`` and ``pages``: each key's features dealt by a hash of order to as many pages as they fill, so no page grows with its layer."""
-    counted = features.groupBy(key).agg(F.ceil(F.count("*") / page).alias("pages"))
+    """features with ``page`` and ``pages``: each key's features dealt by a hash of order to as many pages as they fill, so no page grows with its layer.
+
+    Layers are counted and written first: by the size of that table Spark need not
+    shuffle all features to as many tasks as there are layers to join them with it.
+    """
+    counted = written(features.groupBy(key).agg(F.ceil(F.count("*") / page).alias("pages")), "pages")
     place = F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     return features.join(counted, key).withColumn("page", place % F.col("pages"))
 
@@ -122,26 +130,37 @@ def kml_schema(fields: dict[str, str]) -> str:
     return '<Schema name="layer" id="layer">' + "".join(f'<SimpleField name="{n}" type="{kinds.get(k, "string")}"/>' for n, k in fields.items()) + "</Schema>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def kml_geometry(geometry: Column) -> Column:
     """A Point, LineString or Polygon, given as GeoJSON text, as a KML element; null for other kinds."""
-    kind = F.get_json_object(geometry, "$.type")
-
     def tuples(points: Column) -> Column:
         return F.concat(F.lit("<coordinates>"), F.array_join(F.transform(points, lambda p: F.array_join(p.cast("array<string>"), ",")), " "), F.lit("</coordinates>"))
 
-    at = F.get_json_object(geometry, "$.coordinates")
-    point, line, rings = (F.from_json(at, k) for k in ("array<double>", "array<array<double>>", "array<array<array<double>>>"))
-    ring = lambda r, side: F.concat(F.lit(f"<{side}BoundaryIs><LinearRing>"), tuples(r), F.lit(f"</LinearRing></{side}BoundaryIs>"))
-    inner = F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: ring(r, "inner"))
-    polygon = F.concat(F.lit("<Polygon>"), ring(F.get(rings, 0), "outer"), F.array_join(inner, ""), F.lit("</Polygon>"))
-    return F.when(kind == "Point", F.concat(F.lit("<Point>"), tuples(F.array(point)), F.lit("</Point>"))).when(kind == "LineString", F.concat(F.lit("<LineString>"), tuples(line), F.lit("</LineString>"))).when(kind == "Polygon", polygon)
+    def ring(r: Column, side: str) -> Column:
+        return F.concat(F.lit(f"<{side}BoundaryIs><LinearRing>"), tuples(r), F.lit(f"</LinearRing></{side}BoundaryIs>"))
+
+    def polygon(rings: Column) -> Column:
+        inner = F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: ring(r, "inner"))
+        return F.concat(F.lit("<Polygon>"), ring(F.get(rings, 0), "outer"), F.array_join(inner, ""), F.lit("</Polygon>"))
+
+    def element(g: Column) -> Column:
+        point, line, rings = (F.from_json(g["at"], k) for k in ("array<double>", "array<array<double>>", "array<array<array<double>>>"))
+        return F.when(g["kind"] == "Point", F.concat(F.lit("<Point>"), tuples(F.array(point)), F.lit("</Point>"))).when(g["kind"] == "LineString", F.concat(F.lit("<LineString>"), tuples(line), F.lit("</LineString>"))).when(g["kind"] == "Polygon", _once(rings, polygon))
+
+    return _once(F.struct(F.get_json_object(geometry, "$.type").alias("kind"), F.get_json_object(geometry, "$.coordinates").alias("at")), element)
 
 
 def kml_documents(features: DataFrame, key: str, order: str, name: str, geometry: str, fields: list[str], page: int = PAGE) -> DataFrame:
     """KML documents with a schema of the fields and one placemark a feature, in pages; null fields are left out, features of a kind that KML lacks too."""
     schema = kml_schema({f: dict(features.dtypes)[f] for f in fields})
     data = F.concat(*[F.coalesce(F.concat(F.lit(f'<SimpleData name="{f}">'), escaped(F.col(f).cast("string")), F.lit("</SimpleData>")), F.lit("")) for f in fields])
-    mark = F.concat(F.lit("<Placemark><name>"), escaped(F.coalesce(name, F.lit(""))), F.lit('</name><ExtendedData><SchemaData schemaUrl="#layer">'), data, F.lit("</SchemaData></ExtendedData>"), kml_geometry(F.col(geometry)), F.lit("</Placemark>"))
-    marked = features.select(key, order, mark.alias("feature")).filter("feature IS NOT NULL")
+    # a filter would be pushed below the marks and evaluate the geometry again
+    shaped = features.select("*", F.explode(F.array_compact(F.array(kml_geometry(F.col(geometry))))).alias("__shape"))
+    mark = F.concat(F.lit("<Placemark><name>"), escaped(F.coalesce(name, F.lit(""))), F.lit('</name><ExtendedData><SchemaData schemaUrl="#layer">'), data, F.lit("</SchemaData></ExtendedData>"), F.col("__shape"), F.lit("</Placemark>"))
+    marked = shaped.select(key, order, mark.alias("feature"))
     head = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + schema
     return documents(marked, key, order, F.lit(head), "", "</Document></kml>", page)

@@ -12,7 +12,7 @@ from isobath.operators import model as M
 from isobath.operators import raster as R
 from isobath.operators import reports as P
 from isobath.operators import survey as Y
-from isobath.operators.steps import shared_folder, written
+from isobath.operators.steps import dealt, shared_folder, written
 from isobath.plans.base import query
 from isobath.sources import xml_vectors as X
 
@@ -27,8 +27,8 @@ GEOMETRY_SQL = f"""CASE geometry_type WHEN 'Point' THEN '{{"type":"Point","coord
 
 
 def _features(t):
-    """Vector features with a geometry as GeoJSON text."""
-    f = t("vector_features").withColumns({"xmax": F.col("xmin") + F.col("extent"), "ymax": F.col("ymin") + F.col("extent")})
+    """Vector features with a geometry as GeoJSON text, dealt out before any text is made of them."""
+    f = dealt(t("vector_features"), "id").withColumns({"xmax": F.col("xmin") + F.col("extent"), "ymax": F.col("ymin") + F.col("extent")})
     point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("xmin", "ymin").alias("coordinates")))
     line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.array(F.array("xmin", "ymin"), F.array("xmax", "ymax")).alias("coordinates")))
     return f.withColumn("geometry", F.when(F.col("geometry_type") == "Point", point).when(F.col("geometry_type") == "LineString", line).otherwise(G.envelope_geojson(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")])))

@@ -57,3 +57,13 @@ def test_work_is_dealt_to_all_cores(spark, name):
 def test_requests_of_a_warp_are_dealt(spark):
     plan = registry.QUERIES["warped_utm"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(scene_id" in plan and plan.count("REPARTITION_BY_NUM") >= 2
+
+
+@pytest.mark.parametrize("name", ["layer_kml_documents", "layer_geojson_pages", "gpx_features"])
+def test_features_are_dealt_before_texts_are_made_of_them(spark, name):
+    # two tasks made all texts of 1,080,000 features, three times over
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    read = plan[plan.rindex("REPARTITION_BY_NUM") :]
+    assert "FileScan" in read and not any(made in read for made in ("ToJson", "get_json_object", "<Placemark>", "<wpt"))
+    assert "SortMergeJoin" not in plan  # with few layers
