@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobath.operators.steps import written
+from isobath.operators.steps import once, written
 
 MISSING = "?"
 
@@ -130,11 +128,6 @@ def kml_schema(fields: dict[str, str]) -> str:
     return '<Schema name="layer" id="layer">' + "".join(f'<SimpleField name="{n}" type="{kinds.get(k, "string")}"/>' for n, k in fields.items()) + "</Schema>"
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def kml_geometry(geometry: Column) -> Column:
     """A Point, LineString or Polygon, given as GeoJSON text, as a KML element; null for other kinds."""
     def tuples(points: Column) -> Column:
@@ -149,9 +142,9 @@ def kml_geometry(geometry: Column) -> Column:
 
     def element(g: Column) -> Column:
         point, line, rings = (F.from_json(g["at"], k) for k in ("array<double>", "array<array<double>>", "array<array<array<double>>>"))
-        return F.when(g["kind"] == "Point", F.concat(F.lit("<Point>"), tuples(F.array(point)), F.lit("</Point>"))).when(g["kind"] == "LineString", F.concat(F.lit("<LineString>"), tuples(line), F.lit("</LineString>"))).when(g["kind"] == "Polygon", _once(rings, polygon))
+        return F.when(g["kind"] == "Point", F.concat(F.lit("<Point>"), tuples(F.array(point)), F.lit("</Point>"))).when(g["kind"] == "LineString", F.concat(F.lit("<LineString>"), tuples(line), F.lit("</LineString>"))).when(g["kind"] == "Polygon", once(rings, polygon))
 
-    return _once(F.struct(F.get_json_object(geometry, "$.type").alias("kind"), F.get_json_object(geometry, "$.coordinates").alias("at")), element)
+    return once(F.struct(F.get_json_object(geometry, "$.type").alias("kind"), F.get_json_object(geometry, "$.coordinates").alias("at")), element)
 
 
 def kml_documents(features: DataFrame, key: str, order: str, name: str, geometry: str, fields: list[str], page: int = PAGE) -> DataFrame:

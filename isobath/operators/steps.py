@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; a larger side is shuffled.
@@ -54,3 +55,8 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with the hint to broadcast it, if it has at most limit rows; counts no further than that."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -1,11 +1,14 @@
 """Steps whose cost at size was found too high: their parts, their joins and their results against the plain forms."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isobath.operators import derived as K
 from isobath.operators import model as M
 from isobath.plans import registry
 from isobath.sources.views import block_table
@@ -67,3 +70,24 @@ def test_features_are_dealt_before_texts_are_made_of_them(spark, name):
     read = plan[plan.rindex("REPARTITION_BY_NUM") :]
     assert "FileScan" in read and not any(made in read for made in ("ToJson", "get_json_object", "<Placemark>", "<wpt"))
     assert "SortMergeJoin" not in plan  # with few layers
+
+
+def test_areas_of_few_stale_tiles_are_not_shuffled(spark):
+    # each area went with each tile above it, nine million areas to as many tasks as there are large tiles
+    plan = registry.QUERIES["stale_tiles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and plan.count("FileScan") == 2
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_stale_tiles_of_repeated_rows_equal_all_pairs(spark, few):
+    rng = random.Random(4)
+    areas = [(i, x := rng.uniform(-180, 179), y := rng.uniform(-86, 85), min(180.0, x + 10 ** rng.uniform(-4, 2.3)), min(90.0, y + 10 ** rng.uniform(-4, 2))) for i in range(80)] + [(98, -180.0, -90.0, 180.0, 90.0), (97, 0.0, 0.0, 0.0, 0.0), (96, -180.0, -90.0, -180.0, -89.0)]
+    areas += areas[:5] + [(0, 1.0, 1.0, 2.0, 2.0)]
+    tiles = [(0, 0, 0), (0, 0, 0)] + [(z, rng.randrange(2**z), rng.randrange(2**z)) for z in range(1, 9) for _ in range(50)]
+    for _, x, y, *_ in areas[:40]:  # deep ones at the areas' corners
+        z, s = rng.randrange(9, 31), math.sin(math.radians(max(-85, min(85, y))))
+        tiles.append((z, int((x + 180) / 360 * 2**z), int((0.5 - math.atanh(s) / 2 / math.pi) * 2**z)))
+    got = K.stale_tiles(spark.createDataFrame(areas, "id int, xmin double, ymin double, xmax double, ymax double"), spark.createDataFrame(tiles, "z int, x long, y long"), few)
+    lat = lambda z, y: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / 2**z))))
+    want = Counter((i, z, x, y) for i, x0, y0, x1, y1 in areas for z, x, y in tiles if x0 <= (x + 1) / 2**z * 360 - 180 and x1 >= x / 2**z * 360 - 180 and y0 <= lat(z, y) and y1 >= lat(z, y + 1))
+    assert Counter(map(tuple, got.collect())) == want and max(z for _, z, *_ in want) > 20
