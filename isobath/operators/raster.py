@@ -129,14 +129,23 @@ def percentiles(pixels: DataFrame, band: str, nodata: int | None = None) -> Data
 
 
 def least_cloudy(scenes: DataFrame, rois: DataFrame, below: float, first: str | None = None, last: str | None = None) -> DataFrame:
-    """The least cloudy scene of each region of interest (roi_id, wxmin .. wymax) in a closed range of days; ties go to the smaller id."""
+    """The least cloudy scene of each region of interest (roi_id, wxmin .. wymax) in a closed range of days; ties go to the smaller id.
+
+    Of scenes that cover the same rectangle only the least cloudy meets regions, and
+    regions of the same rectangle meet scenes once: their pairs would grow with the
+    square of the tables.
+    """
     from isobath.operators.catalog import meeting
 
     days = [F.col("acquired") >= F.lit(first).cast("date")] * (first is not None) + [F.col("acquired") <= F.lit(last).cast("date")] * (last is not None)
     for day in days:
         scenes = scenes.filter(day)
-    boxes = scenes.filter(F.col("cloud_cover") < below).select("scene_id", "cloud_cover", F.col("west").alias("xmin"), F.col("south").alias("ymin"), F.col("east").alias("xmax"), F.col("north").alias("ymax"))
-    return meeting(boxes, rois, size=0.5).groupBy("roi_id").agg(F.min_by("scene_id", F.struct("cloud_cover", "scene_id")).alias("scene_id"), F.min("cloud_cover").alias("cloud_cover"))
+    sides = [F.col(side).alias(name) for side, name in (("west", "xmin"), ("south", "ymin"), ("east", "xmax"), ("north", "ymax"))]
+    boxes = scenes.filter(F.col("cloud_cover") < below).groupBy(*sides).agg(F.min(F.struct("cloud_cover", "scene_id")).alias("best"))
+    asked = ["wxmin", "wymin", "wxmax", "wymax"]
+    found = meeting(boxes, rois.select(*asked).distinct(), size=0.5).groupBy(*asked).agg(F.min("best").alias("best"))
+    each = rois.select("roi_id", *asked).join(found, asked).groupBy("roi_id").agg(F.min("best").alias("best"))
+    return each.select("roi_id", "best.scene_id", "best.cloud_cover")
 
 
 def moving_stats_of(pixels: DataFrame, values: list[str], height: int, width: int) -> DataFrame:

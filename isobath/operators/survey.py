@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from isobath.functions import bounds as E
 from isobath.functions.depth import MAX_DEPTH
 from isobath.functions.keys import report_code, result_key
+from isobath.operators.steps import dealt
 
 #: Longest error text that is kept.
 LONGEST = 2000
@@ -89,7 +90,8 @@ def grids(depth: DataFrame, scenes: DataFrame, most: int = GRID) -> DataFrame:
     size = scenes.select("scene_id", step.alias("step"), F.floor(F.col("height") / step).alias("rows"), F.floor(F.col("width") / step).alias("cols"))
     shape = ["scene_id", "rows", "cols"]
     inside = depth.join(size, "scene_id").select(*shape, F.floor(F.col("r") / F.col("step")).alias("br"), F.floor(F.col("c") / F.col("step")).alias("bc"), "depth", "sigma").filter("br < rows AND bc < cols")
-    empty = size.select(*shape, F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("br")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("bc"))
+    # few scenes become very many blocks: deal them out first
+    empty = dealt(size, "scene_id").select(*shape, F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("br")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("bc"))
     every = inside.unionByName(empty, allowMissingColumns=True)  # so that each block is there
     cells = every.groupBy(*shape, "br", "bc").agg(F.bround(F.avg("depth"), 2).alias("depth"), F.bround(F.avg("sigma"), 2).alias("sigma"))
     listed = cells.groupBy(*shape).agg(F.sort_array(F.collect_list(F.struct("br", "bc", "depth", "sigma"))).alias("g"))  # most * most cells at most

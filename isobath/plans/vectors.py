@@ -132,13 +132,14 @@ def _(t):
 
 def survey(t):
     """All survey jobs through their stages, with depths by the model, calibrated on each scene's soundings."""
-    scenes, jobs = t("scenes"), t("survey_jobs").select("job_id", "bbox", "name")
+    # a job is few bytes, and its bounds are much work
+    scenes, jobs = t("scenes"), dealt(t("survey_jobs").select("job_id", "bbox", "name"), "job_id")
     cells = written(R.sounding_cells(t("soundings")), "cells")
     depth = written(M.predict(t("pixel_blocks"), M.synthetic_bundle(1), soundings=cells, size=16), "depth")
     pairs = depth.select("scene_id", "r", "c", "depth").join(cells, ["scene_id", "r", "c"])
     answered = written(Y.answers(depth, scenes, R.compliance(pairs)), "answers")
     box = E.coerce_bounds(F.col("bbox"))
-    sides = jobs.select(F.col("job_id").alias("roi_id"), *[F.get(box, i).alias(n) for i, n in enumerate(("wxmin", "wymin", "wxmax", "wymax"))]).filter("wxmin IS NOT NULL")
+    sides = written(jobs.select(F.col("job_id").alias("roi_id"), *[F.get(box, i).alias(n) for i, n in enumerate(("wxmin", "wymin", "wxmax", "wymax"))]), "sides").filter("wxmin IS NOT NULL")  # a filter before would be moved to where jobs are read
     first, last = "2024-01-05", "2024-02-20"
     best = R.least_cloudy(scenes, sides, 60.0, first, last).withColumnRenamed("roi_id", "job_id")
     # a scene's products are there by its number

@@ -83,3 +83,26 @@ def vectors_table(spark, name):
     from isobath.sources.views import block_table
 
     return block_table(spark, SF) if name == "pixel_blocks" else table(spark, SF, name)
+
+
+def test_scenes_and_regions_of_one_rectangle_meet_once(spark, monkeypatch):
+    from isobath.operators import catalog, raster
+
+    met, kept = [], catalog.meeting
+
+    def meeting(left, right, *args, **kw):
+        met.append((left.count(), right.count()))
+        return kept(left, right, *args, **kw)
+
+    monkeypatch.setattr(catalog, "meeting", meeting)
+    rows = [(i, float(i * 7 % 5), i % 4 / 4.0, 0.0, i % 4 / 4.0 + 0.3, 1.0) for i in range(200)] + [(200, 0.0, None, 0.0, 1.0, 1.0), (201, None, 0.0, 0.0, 0.3, 1.0)]
+    asked = [(i, i % 3 / 3.0, 0.5, i % 3 / 3.0 + 0.3, 2.0) for i in range(90)] + [(90, 5.0, 5.0, 6.0, 6.0), (91, None, 0.0, 1.0, 1.0)]
+    scenes = spark.createDataFrame(rows, "scene_id long, cloud_cover double, west double, south double, east double, north double")
+    rois = spark.createDataFrame(asked, "roi_id long, wxmin double, wymin double, wxmax double, wymax double")
+    got = {r.roi_id: (r.cloud_cover, r.scene_id) for r in raster.least_cloudy(scenes, rois, 4.0).collect()}
+    want = {}
+    for roi, x0, y0, x1, y1 in asked:
+        best = [(cloud, i) for i, cloud, w, s, e, n in rows if None not in (w, cloud, x0) and cloud < 4 and w <= x1 and e >= x0 and s <= y1 and n >= y0]
+        if best:
+            want[roi] = min(best)
+    assert got == want and len(got) == 90 and met == [(5, 5)]
